@@ -65,8 +65,8 @@ def rounded(*names: str) -> list[Column]:
 
 def by_parts(df: DataFrame, key: str, column: str) -> DataFrame:
     """One row per vector element."""
-    return df.select(key, F.posexplode(column).alias("at", "value")).select(
-        key, "at", F.col("value").cast("double").alias("value")
+    return df.select(key, F.posexplode(column).alias("pos", "value")).select(
+        key, "pos", F.col("value").cast("double").alias("value")
     )
 
 
@@ -339,7 +339,7 @@ def candidate_join(spark, sf_dir):
 @query
 def ivf_label_cells(spark, sf_dir):
     centroids = ivf.label_centroids(fx.vectors(spark, sf_dir), "cell")
-    return by_parts(centroids, "cell", "embedding").select("cell", "at", *rounded("value"))
+    return by_parts(centroids, "cell", "embedding").select("cell", "pos", *rounded("value"))
 
 
 @query
