@@ -489,7 +489,7 @@ ORACLE["filter_price"] = filtered(
     "(min_price IS NULL OR price >= min_price) AND (max_price IS NULL OR price <= max_price)"
 )
 ORACLE["filter_rating"] = filtered("min_rating IS NULL OR min_rating <= 0 OR stars >= min_rating")
-ORACLE["filter_bestseller"] = filtered("query_id % 2 <> 0 OR isBestSeller")
+ORACLE["filter_bestseller"] = filtered("min_price IS NOT NULL OR isBestSeller")
 ORACLE["filter_brand"] = filtered("brand_hint IS NULL OR contains(lower(brand), brand_hint)")
 ORACLE["displayable"] = filtered("price IS NOT NULL AND price >= 1.0")
 
@@ -592,9 +592,8 @@ FROM found JOIN products USING (product_id)""",
 
 
 def store_search(found: dict[str, str], options: StoreSearchOptions) -> dict[str, str]:
-    """``found`` ends with the part ``found``: query_id, product_id, cost."""
+    """``found`` has the parts ``products`` and ``found`` (query_id, product_id, cost)."""
     return {
-        **PRODUCTS,
         **found,
         "parsed": PARSED,
         "bounds": f"""SELECT query_id, query_text, coalesce(min_price, {options.price_min}) AS min_price,
@@ -602,16 +601,16 @@ def store_search(found: dict[str, str], options: StoreSearchOptions) -> dict[str
         "passed": f"""SELECT f.query_id, f.cost AS distance, p.* FROM found f
 JOIN products p USING (product_id) JOIN bounds b USING (query_id)
 WHERE p.price >= {options.min_valid_price} AND p.price BETWEEN b.min_price AND b.max_price""",
-        "first": f"""SELECT * FROM (SELECT *, {place(ORDERS['distance'], 'nth')} FROM passed)
+        "closest": f"""SELECT * FROM (SELECT *, {place(ORDERS['distance'], 'nth')} FROM passed)
 WHERE nth <= {options.category_multiplier * options.top_k}""",
         **DETECTED,
-        **scored("first"),
+        **scored("closest"),
         "final": f"""SELECT * FROM (
   SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id
     ORDER BY category_score DESC, distance, product_id) AS INTEGER) AS rank FROM kept)
 WHERE rank <= {options.top_k}""",
         "results": f"""SELECT query_id, product_id, {RESULT}, round(distance, 6) AS relevance_score, rank
-FROM final JOIN first USING (query_id, product_id)""",
+FROM final JOIN closest USING (query_id, product_id)""",
     }
 
 
@@ -620,14 +619,15 @@ def hashed(text: str) -> str:
     return f"""list_transform(range({DIM}), lambda i: CAST(len(list_filter({counts}, lambda b: b = i)) AS DOUBLE))"""
 
 
-PLAIN_TITLE = "lower(coalesce(title, ''))"
 TEXT_DISTANCE = "2 * -list_inner_product(q.vec, v.vec) + q.norm + v.norm"
 TEXT_FOUND = {
+    **cleaned(),
+    "products": f"SELECT *, {EMBEDDED} FROM cleaned",
     **SEARCHES,
     "texts": PARSED,
     "asked_vec": f"SELECT query_id, {hashed('cleaned_query')} AS vec FROM texts",
     "asked": "SELECT *, list_inner_product(vec, vec) AS norm FROM asked_vec",
-    "item_vec": f"SELECT product_id, {hashed(PLAIN_TITLE)} AS vec FROM products",
+    "item_vec": f"SELECT product_id, {hashed('embedding_text')} AS vec FROM products",
     "items": "SELECT *, list_inner_product(vec, vec) AS norm FROM item_vec",
     "found": ranked_pairs(
         TEXT_DISTANCE,
@@ -638,7 +638,9 @@ TEXT_FOUND = {
 ORACLE["search_catalog"] = statement(
     store_search(TEXT_FOUND, StoreSearchOptions()), "SELECT * FROM results"
 )
-SMALL = store_search(nearest(SMALL_FETCH.top_k * SMALL_FETCH.fetch_multiplier), SMALL_FETCH)
+SMALL = store_search(
+    {**PRODUCTS, **nearest(SMALL_FETCH.top_k * SMALL_FETCH.fetch_multiplier)}, SMALL_FETCH
+)
 ORACLE["search_vectors"] = statement(SMALL, "SELECT * FROM results")
 ORACLE["search_summaries"] = statement(
     SMALL,

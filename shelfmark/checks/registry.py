@@ -17,7 +17,7 @@ from shelfmark.operators import categories, cleaning, encode, filters, ivf, lsh,
 from shelfmark.operators.knn import attach_products, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.results import image, link, result_rows, search_summary
-from shelfmark.operators.textprep import with_embedding_text
+from shelfmark.operators.textprep import embedding_input, with_embedding_text
 from shelfmark.options import (
     IvfOptions,
     LshOptions,
@@ -316,8 +316,8 @@ def knn_blocks(spark, sf_dir):
         fx.vector_searches(spark, sf_dir),
         fx.vectors(spark, sf_dir),
         K,
-        block_rows=1,
-        side_rows=1,
+        block_rows=0,
+        side_rows=0,
     )
     return found.select("query_id", "product_id", *rounded("distance"))
 
@@ -530,7 +530,9 @@ _filter_query("filter_price", filters.price_between)
 _filter_query("filter_rating", filters.rating_at_least)
 _filter_query(
     "filter_bestseller",
-    lambda df: filters.bestsellers(df.withColumn("bestsellers_only", F.col("query_id") % 2 == 0)),
+    lambda df: filters.bestsellers(
+        df.withColumn("bestsellers_only", F.col("min_price").isNull())
+    ),
 )
 _filter_query("filter_brand", filters.brand_contains)
 _filter_query("displayable", filters.displayable)
@@ -638,14 +640,23 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
+def stored_catalog(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The processed catalog and its vectors, built once and read back."""
+    catalog, vectors = new_folder(spark, "catalog"), new_folder(spark, "encoded")
+    built = jobs.build_catalog(fx.catalog(spark, sf_dir), "product_id")
+    built.write.mode("overwrite").parquet(catalog)
+    processed = spark.read.parquet(catalog)
+    indexes.write_vectors(_encoder(processed, embedding_input(processed)), vectors)
+    return processed, indexes.read_vectors(spark, vectors)
+
+
 @query
 def search_catalog(spark, sf_dir):
-    products = fx.products(spark, sf_dir)
-    encoded = _encoder(products.select("product_id", F.lower("title").alias("title")), "title")
+    processed, vectors = stored_catalog(spark, sf_dir)
     found = store_search(
         fx.searches(spark, sf_dir),
-        products,
-        flat_index(encoded.select("product_id", "embedding")),
+        processed,
+        flat_index(vectors),
         _taxonomy(spark),
         encode=_encoder,
     )

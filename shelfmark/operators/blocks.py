@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # A block of queries or vectors below these sizes may go to every task.
@@ -26,6 +28,24 @@ def fits(df: DataFrame, key: str, rows: int) -> bool:
     return len(df.select(key).take(rows + 1)) <= rows
 
 
+def local_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
+    """A small table held in the plan itself, so that Spark knows its size."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    table = pa.table(dict(zip(names, [pa.array(column) for column in columns])))
+    casts = [f"cast({name} as {part.split()[1]}) {name}" for name, part in zip(names, schema.split(", "))]
+    return spark.createDataFrame(table).selectExpr(*casts)
+
+
+def filled(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows with a vector. A filter in the plan would run an encoder twice."""
+    for batch in batches:
+        if batch.column(column).null_count:
+            batch = batch.filter(pc.is_valid(batch.column(column)))
+        if batch.num_rows:
+            yield batch
+
+
 def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equally long vectors as a float32 matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -56,7 +76,8 @@ def small_block(df: DataFrame, key: str, vector: str, rows: int) -> Block | None
     """``df`` as a block, or None when it is larger than a block may be."""
     if not fits(df, key, rows):
         return None
-    table = df.select(key, vector).where(f"{vector} is not null").toArrow()
+    table = df.select(key, vector).toArrow()
+    table = table.filter(pc.is_valid(table.column(vector)))
     matrix = matrix_of(table.column(vector))
     if matrix.nbytes > BLOCK_BYTES:
         return None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators import blocks
-from shelfmark.operators.blocks import Block, matrix_of, small_block
+from shelfmark.operators.blocks import Block, filled, local_table, matrix_of, small_block
 from shelfmark.operators.knn import CELL, ITEM, QUERY, VECTOR, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
@@ -33,7 +33,7 @@ def train_centroids(vectors: DataFrame, options: IvfOptions = IvfOptions()) -> D
     )
     model = KMeans(k=options.cells, seed=options.seed, maxIter=20).fit(sample)
     rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(rows, f"{CELL} bigint, {VECTOR} array<float>")
+    return local_table(vectors.sparkSession, f"{CELL} bigint, {VECTOR} array<float>", rows)
 
 
 def label_centroids(vectors: DataFrame, label: str) -> DataFrame:
@@ -66,9 +66,7 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in filled(batches, VECTOR):
             rows = np.arange(batch.num_rows)
             best = BestPairs(batch.num_rows, 1)
             scan_block(best, matrix_of(batch.column(VECTOR)), rows, centres, cells, "l2")
@@ -78,7 +76,7 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
                 names=kept + [CELL],
             )
 
-    return vectors.where(F.col(VECTOR).isNotNull()).mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 def nearest_cells(queries: DataFrame, centroids: DataFrame, probes: int, metric: str = "l2") -> DataFrame:

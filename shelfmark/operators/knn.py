@@ -2,10 +2,10 @@
 
 Three plans give the same rows:
 
-* few queries: they travel to every task, the vectors are scanned where they
-  lie, and each task gives its best k per query;
-* few vectors, many queries: the vectors travel instead, and the queries are
-  scanned; each task's answer is final;
+* few vectors: they travel to every task, the queries are scanned, and each
+  task's answer is final;
+* few queries: they travel instead, the vectors are scanned where they lie, and
+  each task gives its best k per query;
 * both large: both sides are cut into blocks of bounded size, and each pair of
   blocks is one group of a co-group.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators import blocks
-from shelfmark.operators.blocks import Block, matrix_of, scan_tasks, small_block
+from shelfmark.operators.blocks import Block, filled, matrix_of, scan_tasks, small_block
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
 
 QUERY, ITEM, VECTOR, CELL, CELLS = "query_id", "product_id", "embedding", "cell", "cells"
@@ -35,7 +35,6 @@ GRID_QUERIES = 4096
 GRID_ITEMS = 131_072
 GRID_PARTIALS = 1_000_000
 
-MEASURE = object()
 Loader = Callable[[pa.Array], np.ndarray]
 
 
@@ -50,7 +49,6 @@ def nearest(
     k: int,
     metric: str = "l2",
     *,
-    block: Block | None | object = MEASURE,
     query_cells: DataFrame | None = None,
     load: Loader = matrix_of,
     repeated: bool = False,
@@ -63,27 +61,24 @@ def nearest(
     ``product_id`` and ``embedding``. With ``query_cells`` (``query_id, cell``)
     a query sees only vectors whose ``cell`` it lists. ``repeated`` says that a
     vector may be stored in more than one cell. ``load`` turns the stored
-    vector column into a matrix. ``block`` is the result of
-    ``query_block(queries, k)``, when the caller has it already.
+    vector column into a matrix.
     """
     if vectors.schema[ITEM].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError(f"{ITEM} must be a whole number")
     columns = [F.col(ITEM).cast("bigint").alias(ITEM), F.col(VECTOR)]
     if query_cells is not None:
         columns.append(F.col(CELL).cast("bigint").alias(CELL))
-    vectors = vectors.where(F.col(VECTOR).isNotNull()).select(*columns)
-    queries = queries.where(F.col(VECTOR).isNotNull()).select(QUERY, VECTOR)
+    vectors = vectors.select(*columns)
+    queries = queries.select(QUERY, VECTOR)
 
-    if block is MEASURE:
-        block = query_block(queries, k, block_rows)
+    if query_cells is None and load is matrix_of:
+        side = small_block(vectors, ITEM, VECTOR, side_rows)
+        if side is not None:
+            return _named(_scan_queries(queries, side, k, metric), metric)
+    block = query_block(queries, k, block_rows)
     if block is not None:
         found, partials = _scan_vectors(queries, block, vectors, k, metric, query_cells, load)
     else:
-        side = None
-        if query_cells is None and load is matrix_of:
-            side = small_block(vectors, ITEM, VECTOR, side_rows)
-        if side is not None:
-            return _named(_scan_queries(queries, side, k, metric), metric)
         found, partials = _grid(queries, vectors, k, metric, query_cells, load)
     if repeated:
         found = found.groupBy(QUERY, ITEM).agg(F.min("cost").alias("cost"))
@@ -92,7 +87,7 @@ def nearest(
 
 def query_block(queries: DataFrame, k: int, rows: int = blocks.BLOCK_ROWS) -> Block | None:
     """The queries as a block, if they and their k results each are few enough."""
-    return small_block(queries, QUERY, VECTOR, max(1, min(rows, blocks.KEPT_PAIRS // k)))
+    return small_block(queries, QUERY, VECTOR, min(rows, blocks.KEPT_PAIRS // k))
 
 
 def merge_best(found: DataFrame, k: int, partials: int) -> DataFrame:
@@ -160,9 +155,7 @@ def _scan_vectors(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestPairs(len(ids), k)
         everyone = np.arange(len(ids))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in filled(batches, VECTOR):
             items = load(batch.column(VECTOR))
             item_ids = batch.column(ITEM).to_numpy(zero_copy_only=False)
             if asking is None:
@@ -197,7 +190,7 @@ def _scan_queries(queries: DataFrame, side: Block, k: int, metric: str) -> DataF
     spread = queries.repartition(scan_tasks(queries.sparkSession), QUERY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filled(batches, VECTOR):
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 best = BestPairs(part.num_rows, k)
@@ -248,6 +241,9 @@ def _grid(
     group = [CELL, "query_part", "item_part"]
 
     def run(asked_block: pa.Table, item_block: pa.Table) -> pa.Table:
+        asked_block, item_block = (
+            side.filter(pc.is_valid(side.column(VECTOR))) for side in (asked_block, item_block)
+        )
         best = BestPairs(asked_block.num_rows, k)
         if asked_block.num_rows and item_block.num_rows:
             matrix = matrix_of(asked_block.column(VECTOR))
@@ -267,20 +263,16 @@ def _grid(
 
 
 def attach_products(
-    candidates: DataFrame, products: DataFrame, most_candidates: int | None = None
+    candidates: DataFrame, products: DataFrame, few_candidates: bool = False
 ) -> DataFrame:
     """Join candidates to product attributes on ``product_id``.
 
-    A small catalog is sent to the tasks; otherwise a provably small candidate
-    set is, so that a large catalog is read in place and not shuffled. With
-    neither, Spark joins by shuffle and splits skewed ids itself.
+    A small catalog is sent to the tasks. Otherwise a candidate set known to be
+    small (``HINTED_PAIRS`` rows) is, so that a large catalog is read in place
+    and not shuffled. With neither, Spark joins by shuffle.
     """
-    if fits_side(products):
+    if blocks.fits(products, ITEM, blocks.SIDE_ROWS):
         return candidates.join(F.broadcast(products), ITEM)
-    if most_candidates is not None and most_candidates <= blocks.HINTED_PAIRS:
+    if few_candidates:
         return F.broadcast(candidates).join(products, ITEM)
     return candidates.join(products, ITEM)
-
-
-def fits_side(products: DataFrame) -> bool:
-    return blocks.fits(products, ITEM, blocks.SIDE_ROWS)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import query_text as q
 from shelfmark.operators import blocks, filters
-from shelfmark.operators.blocks import Block
 from shelfmark.operators.categories import filter_category, with_category_keywords
-from shelfmark.operators.knn import QUERY, VECTOR, attach_products, nearest, query_block
+from shelfmark.operators.knn import QUERY, VECTOR, attach_products, nearest
 from shelfmark.operators.ranking import rank
 from shelfmark.operators.results import result_lines, result_rows, with_labels
 from shelfmark.options import (
@@ -22,12 +21,12 @@ from shelfmark.options import (
 )
 
 TextEncoder = Callable[[DataFrame, str], DataFrame]
-Searcher = Callable[[DataFrame, int, Block | None], DataFrame]
+Searcher = Callable[[DataFrame, int], DataFrame]
 
 
 def flat_index(vectors: DataFrame, metric: str = "l2") -> Searcher:
     """Exact search over all vectors."""
-    return lambda queries, k, block: nearest(queries, vectors, k, metric, block=block)
+    return lambda queries, k: nearest(queries, vectors, k, metric)
 
 
 def parsed_prices(searches: DataFrame) -> DataFrame:
@@ -91,10 +90,8 @@ def candidates(
 ) -> DataFrame:
     """The ``fetch`` nearest products of every search, with their attributes."""
     queries = _vectors_of(asked, text, encode)
-    block = query_block(queries, fetch)
-    most = block.rows * fetch if block is not None else None
-    found = index(queries, fetch, block)
-    return attach_products(found, products, most)
+    few = blocks.fits(asked, QUERY, blocks.HINTED_PAIRS // fetch)
+    return attach_products(index(queries, fetch), products, few)
 
 
 def join_searches(found: DataFrame, asked: DataFrame, few: bool, *columns: str) -> DataFrame:
