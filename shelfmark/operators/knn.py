@@ -214,23 +214,33 @@ def _grid(
     A large cell, or the whole table when there are no cells, is cut into as
     many blocks as it needs, so no group is larger than one block of each.
     """
+    def parts(size: int) -> Column:
+        return F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int")
+
     if query_cells is None:
-        asked = queries.withColumn(CELL, F.lit(0).cast("bigint"))
-        vectors = vectors.withColumn(CELL, F.lit(0).cast("bigint"))
-    else:
-        asked = queries.join(query_cells.select(QUERY, F.col(CELL).cast("bigint").alias(CELL)), QUERY)
+        asked, vectors = (df.withColumn(CELL, F.lit(0)) for df in (queries, vectors))
+        query_parts = asked.agg(parts(GRID_QUERIES)).scalar()
+        item_parts = vectors.agg(parts(GRID_ITEMS)).scalar()
 
-    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
-        count = F.ceil(F.count(F.lit(1)) / size).cast("int")
-        return df.groupBy(CELL).agg(count.alias(name))
+        def sized(df: DataFrame) -> DataFrame:
+            return df.withColumns({"query_parts": query_parts, "item_parts": item_parts})
 
-    sizes = parts(asked, GRID_QUERIES, "query_parts").join(
-        parts(vectors, GRID_ITEMS, "item_parts"), CELL
-    )
+    else:
+        asked = queries.join(
+            query_cells.select(QUERY, F.col(CELL).cast("bigint").alias(CELL)), QUERY
+        )
+        sizes = (
+            asked.groupBy(CELL)
+            .agg(parts(GRID_QUERIES).alias("query_parts"))
+            .join(vectors.groupBy(CELL).agg(parts(GRID_ITEMS).alias("item_parts")), CELL)
+        )
+
+        def sized(df: DataFrame) -> DataFrame:
+            return df.join(sizes, CELL)
 
     def cut(df: DataFrame, key: str, own: str, other: str, own_part: str, other_part: str):
         return (
-            df.join(sizes, CELL)
+            sized(df)
             .withColumn(own_part, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
             .withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .drop(own, other)

@@ -58,8 +58,7 @@ def squared_norms(matrix: np.ndarray) -> np.ndarray:
 
 
 def exact_costs(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
-    """Cost of row i of ``left`` against row i of ``right``."""
-    left, right = left.astype(np.float64), right.astype(np.float64)
+    """Cost of row i of ``left`` against row i of ``right``; ``left`` is spoilt."""
     if metric == "ip":
         return -np.einsum("ij,ij->i", left, right)
     left -= right
@@ -79,6 +78,7 @@ def scan_block(
         return
     dim = queries.shape[1]
     item_norms = squared_norms(items)
+    wide_items, wide_queries = items.astype(np.float64), queries.astype(np.float64)
     step = max(1, PAIRS_AT_ONCE // len(items))
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
@@ -95,4 +95,5 @@ def scan_block(
         pairs = max(1, CELLS_AT_ONCE // dim)
         for low in range(0, len(hit_query), pairs):
             q, x = hit_query[low : low + pairs], hit_item[low : low + pairs]
-            best.offer(part[q], item_ids[x], exact_costs(block[q], items[x], metric))
+            cost = exact_costs(wide_queries[part[q]], wide_items[x], metric)
+            best.offer(part[q], item_ids[x], cost)

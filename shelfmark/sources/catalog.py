@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,16 +102,22 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_with_backup(spark: SparkSession, path: str, backup: str | None = None) -> DataFrame:
+def read_with_backup(
+    spark: SparkSession, path: str, backup: str | None = None, check_all: bool = True
+) -> DataFrame:
     """Read a catalog; when that fails, the backup.
 
-    Spark reads late, so the first row is fetched here to see a failure now.
+    Spark reads late, so the file is parsed once here to see a failure now:
+    all of it, or with ``check_all=False`` only up to the first row.
     """
     try:
         df = read_catalog(spark, path)
-        df.isEmpty()
+        if check_all:
+            df.write.format("noop").mode("overwrite").save()
+        else:
+            df.isEmpty()
         return df
-    except (AnalysisException, PySparkException):
+    except (PySparkException, Py4JJavaError):
         if backup is None:
             raise
         return read_catalog(spark, backup)
