@@ -8,11 +8,13 @@ prices that are no numbers and titles with special characters.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.prices import parse_price
+from shelfmark.sources.workspace import new_folder
 
 CATALOG = """
 SELECT p.p_partkey AS product_id,
@@ -70,8 +72,25 @@ def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{name: table(spark, sf_dir, name) for name in used})
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A view written down once per session, as catalogs are in practice.
+
+    Left as a view, Catalyst would infer the formulas behind its columns as
+    filters on every table joined to it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        folder = new_folder(spark, name)
+        make().write.mode("overwrite").parquet(folder)
+        _STORED[key] = folder
+    return spark.read.parquet(_STORED[key])
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, CATALOG)
+    return _stored(spark, sf_dir, "catalog", lambda: _view(spark, sf_dir, CATALOG))
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +99,10 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog with numeric prices, otherwise as it is."""
-    return catalog(spark, sf_dir).withColumn("price", parse_price(F.col("price")))
+    raw = catalog(spark, sf_dir)
+    return _stored(
+        spark, sf_dir, "products", lambda: raw.withColumn("price", parse_price(F.col("price")))
+    )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

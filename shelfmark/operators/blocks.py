@@ -23,9 +23,16 @@ MERGE_ROWS = 1_000_000
 ELASTIC_TASKS = 20_000
 
 
+def rows_up_to(df: DataFrame, key: str, rows: int) -> int:
+    """The number of rows, counted no further than ``rows`` + 1.
+
+    Reads one narrow column, and only as many partitions as it takes.
+    """
+    return len(df.select(key).take(rows + 1))
+
+
 def fits(df: DataFrame, key: str, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; looks at one narrow column."""
-    return len(df.select(key).take(rows + 1)) <= rows
+    return rows_up_to(df, key, rows) <= rows
 
 
 def local_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:

@@ -26,6 +26,9 @@ def median_of(df: DataFrame, column: str) -> DataFrame:
     )
     scale = F.floor(F.log1p(F.abs("value")) * BINS_PER_UNIT)
     binned = values.withColumn("bin", F.when(F.col("value") < 0, -scale - 1).otherwise(scale))
+    # the join below would add this filter to one branch only, and part the two
+    # branches from their common shuffle
+    binned = binned.where("bin is not null")
 
     running = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -82,15 +82,16 @@ def _vectors_of(asked: DataFrame, text: str, encode: TextEncoder | None) -> Data
 
 def candidates(
     asked: DataFrame,
+    searches: int,
     text: str,
     products: DataFrame,
     index: Searcher,
     fetch: int,
     encode: TextEncoder | None,
 ) -> DataFrame:
-    """The ``fetch`` nearest products of every search, with their attributes."""
+    """The ``fetch`` nearest products of all ``searches``, with their attributes."""
     queries = _vectors_of(asked, text, encode)
-    few = blocks.fits(asked, QUERY, blocks.HINTED_PAIRS // fetch)
+    few = searches <= min(blocks.HINTED_PAIRS // fetch, blocks.SIDE_ROWS)
     return attach_products(index(queries, fetch), products, few)
 
 
@@ -100,8 +101,9 @@ def join_searches(found: DataFrame, asked: DataFrame, few: bool, *columns: str)
     return found.join(F.broadcast(side) if few else side, QUERY)
 
 
-def few_searches(searches: DataFrame) -> bool:
-    return blocks.fits(searches, QUERY, blocks.SIDE_ROWS)
+def count_searches(searches: DataFrame) -> int:
+    """How many searches there are, counted up to the size of a broadcast side."""
+    return blocks.rows_up_to(searches, QUERY, blocks.SIDE_ROWS)
 
 
 def store_search(
@@ -119,10 +121,10 @@ def store_search(
     text, and return the first ``top_k`` with display columns.
     """
     asked = with_defaults(parsed_prices(searches), options)
-    found = candidates(
-        asked, "cleaned_query", products, index, options.fetch_multiplier * options.top_k, encode
-    )
-    few = few_searches(searches)
+    count = count_searches(searches)
+    few = count <= blocks.SIDE_ROWS
+    fetch = options.fetch_multiplier * options.top_k
+    found = candidates(asked, count, "cleaned_query", products, index, fetch, encode)
     found = join_searches(
         found, asked, few, "min_price", "max_price", "min_rating", "bestsellers_only"
     )
@@ -156,10 +158,10 @@ def ranked_search(
         text = F.col("query_text")
         asked = searches.withColumn("processed_query", q.normalize_query(text))
         names = [name for name in names if name in searches.columns]
-    found = candidates(
-        asked, "processed_query", products, index, options.fetch_multiplier * options.top_k, encode
-    )
-    found = join_searches(found, asked, few_searches(searches), *names)
+    count = count_searches(searches)
+    fetch = options.fetch_multiplier * options.top_k
+    found = candidates(asked, count, "processed_query", products, index, fetch, encode)
+    found = join_searches(found, asked, count <= blocks.SIDE_ROWS, *names)
     if {"min_price", "max_price"} <= set(names):
         found = filters.price_between(found)
     if "brand_hint" in names:
