@@ -646,8 +646,8 @@ def stored_catalog(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     built = jobs.build_catalog(fx.catalog(spark, sf_dir), "product_id")
     built.write.mode("overwrite").parquet(catalog)
     processed = spark.read.parquet(catalog)
-    indexes.write_vectors(_encoder(processed, embedding_input(processed)), vectors)
-    return processed, indexes.read_vectors(spark, vectors)
+    indexes.write_flat(_encoder(processed, embedding_input(processed)), vectors)
+    return processed, indexes.read_flat(spark, vectors)
 
 
 @query

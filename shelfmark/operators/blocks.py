@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A block of queries or vectors below these sizes may go to every task.
 BLOCK_ROWS = 4096
 SIDE_ROWS = 65_536
 BLOCK_BYTES = 256 << 20
+BATCH_BYTES = 64 << 20
 KEPT_PAIRS = 8_400_000
 HINTED_PAIRS = 4_200_000
 
@@ -44,6 +46,24 @@ def local_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> Data
     return spark.createDataFrame(table).selectExpr(*casts)
 
 
+def large_batches(
+    batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The rows with a vector, in batches of about ``size`` bytes.
+
+    The larger a batch, the fewer of its rows pass for being among the best.
+    """
+    waiting, held = [], 0
+    for batch in filled(batches, column):
+        waiting.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield pa.concat_batches(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
 def filled(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """The rows with a vector. A filter in the plan would run an encoder twice."""
     for batch in batches:
@@ -54,19 +74,71 @@ def filled(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 
 def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column of equally long vectors as a float32 matrix."""
+    """A column of equally long vectors, lists or packed, as a float32 matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
     if rows == 0:
         return np.empty((0, 0), dtype=np.float32)
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if pa.types.is_binary(column.type):
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + rows + 1]
+        lengths = np.diff(ends)
+        flat = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(np.float32)
+    else:
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
     if (lengths != lengths[0]).any():
         raise ValueError("vectors of different length in one column")
     return np.ascontiguousarray(flat.reshape(rows, -1), dtype=np.float32)
 
 
+def list_column(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+
+
+def is_packed(df: DataFrame, vector: str) -> bool:
+    return df.schema[vector].dataType.typeName() == "binary"
+
+
+def pack(df: DataFrame, vector: str) -> DataFrame:
+    """Store each vector as the bytes of its float32 values.
+
+    Spark moves such a value between Parquet, its rows and Python in one piece;
+    a list it copies number by number. Searches read both.
+    """
+    if is_packed(df, vector):
+        return df
+
+    def run(lists: pa.Array) -> pa.Array:
+        valid = lists.is_valid().to_numpy(zero_copy_only=False)
+        if not valid.any():
+            return pa.nulls(len(lists), pa.binary())
+        matrix = matrix_of(lists.drop_null())
+        ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1] * matrix.itemsize
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(matrix)]
+        packed = pa.Array.from_buffers(pa.binary(), len(matrix), buffers)
+        return packed.take(pa.array(np.cumsum(valid) - 1, mask=~valid))
+
+    packer = F.arrow_udf(run, "binary").asNondeterministic()
+    return df.withColumn(vector, packer(F.col(vector).cast("array<float>")))
+
+
+def unpack(df: DataFrame, vector: str) -> DataFrame:
+    """Packed vectors as lists again."""
+    if not is_packed(df, vector):
+        return df
+
+    def run(packed: pa.Array) -> pa.Array:
+        rows = [None if value is None else np.frombuffer(value, np.float32) for value in packed.to_pylist()]
+        return pa.array(rows, pa.list_(pa.float32()))
+
+    unpacker = F.arrow_udf(run, "array<float>").asNondeterministic()
+    return df.withColumn(vector, unpacker(vector))
+
+
 @dataclass(frozen=True)
 class Block:
     """A small table taken to the driver, to be sent along with a task."""
@@ -92,8 +164,11 @@ def small_block(df: DataFrame, key: str, vector: str, rows: int) -> Block | None
     return Block(ids, matrix)
 
 
-def scan_tasks(spark: SparkSession) -> int:
-    """How many tasks scan a large side at most; each gives k rows per query."""
+def scan_tasks(spark: SparkSession, k: int = 1) -> int:
+    """How many tasks scan a large side at most; each gives k rows per query.
+
+    For a large k there are fewer tasks per core, as each adds k rows.
+    """
     if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
         return ELASTIC_TASKS
-    return max(4 * spark.sparkContext.defaultParallelism, 8)
+    return max(1, min(4, 400 // k)) * spark.sparkContext.defaultParallelism

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators import blocks
-from shelfmark.operators.blocks import Block, filled, local_table, matrix_of, small_block
+from shelfmark.operators.blocks import Block, filled, local_table, matrix_of, small_block, unpack
 from shelfmark.operators.knn import CELL, ITEM, QUERY, VECTOR, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
@@ -23,7 +23,7 @@ from shelfmark.options import IvfOptions
 def training_rows(vectors: DataFrame, rows: int | None, seed: int) -> DataFrame:
     """All vectors, or a seeded sample of them."""
     present = vectors.where(F.col(VECTOR).isNotNull()).select(ITEM, VECTOR)
-    return present if rows is None else sample_rows(present, ITEM, rows, seed)
+    return unpack(present if rows is None else sample_rows(present, ITEM, rows, seed), VECTOR)
 
 
 def train_centroids(vectors: DataFrame, options: IvfOptions = IvfOptions()) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators import blocks
-from shelfmark.operators.blocks import Block, filled, matrix_of, scan_tasks, small_block
+from shelfmark.operators.blocks import Block, filled, large_batches, matrix_of, scan_tasks, small_block
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
 
 QUERY, ITEM, VECTOR, CELL, CELLS = "query_id", "product_id", "embedding", "cell", "cells"
@@ -58,7 +58,7 @@ def nearest(
     """(query_id, product_id, distance) of the k nearest vectors per query.
 
     ``queries`` has ``query_id, embedding``; ``vectors`` has a unique bigint
-    ``product_id`` and ``embedding``. With ``query_cells`` (``query_id, cell``)
+    ``product_id`` and ``embedding``, a list or packed. With ``query_cells`` (``query_id, cell``)
     a query sees only vectors whose ``cell`` it lists. ``repeated`` says that a
     vector may be stored in more than one cell. ``load`` turns the stored
     vector column into a matrix.
@@ -144,7 +144,7 @@ def _scan_vectors(
     query_cells: DataFrame | None,
     load: Loader,
 ) -> tuple[DataFrame, int]:
-    tasks = scan_tasks(queries.sparkSession)
+    tasks = scan_tasks(queries.sparkSession, k)
     asking: dict[int, np.ndarray] | None = None
     if query_cells is not None:
         asking = _queries_by_cell(block, query_cells)
@@ -155,7 +155,7 @@ def _scan_vectors(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestPairs(len(ids), k)
         everyone = np.arange(len(ids))
-        for batch in filled(batches, VECTOR):
+        for batch in large_batches(batches, VECTOR):
             items = load(batch.column(VECTOR))
             item_ids = batch.column(ITEM).to_numpy(zero_copy_only=False)
             if asking is None:

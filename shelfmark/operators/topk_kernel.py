@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 PAIRS_AT_ONCE = 4_000_000
-CELLS_AT_ONCE = 8_000_000
+CELLS_AT_ONCE = 1 << 19
 FLOAT32_STEP = 6e-8
 
 
@@ -58,7 +58,8 @@ def squared_norms(matrix: np.ndarray) -> np.ndarray:
 
 
 def exact_costs(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
-    """Cost of row i of ``left`` against row i of ``right``; ``left`` is spoilt."""
+    """Cost of row i of ``left`` against row i of ``right``."""
+    left, right = left.astype(np.float64), right.astype(np.float64)
     if metric == "ip":
         return -np.einsum("ij,ij->i", left, right)
     left -= right
@@ -78,7 +79,6 @@ def scan_block(
         return
     dim = queries.shape[1]
     item_norms = squared_norms(items)
-    wide_items, wide_queries = items.astype(np.float64), queries.astype(np.float64)
     step = max(1, PAIRS_AT_ONCE // len(items))
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
@@ -92,8 +92,10 @@ def scan_block(
             nearest = np.partition(rough, best.k - 1, axis=1)[:, best.k - 1]
             limit = np.minimum(limit, nearest + slack)
         hit_query, hit_item = np.nonzero(rough <= (limit + slack)[:, None])
-        pairs = max(1, CELLS_AT_ONCE // dim)
+        pairs = max(1, CELLS_AT_ONCE // dim)  # a portion that stays in the cache
+        costs = []
         for low in range(0, len(hit_query), pairs):
             q, x = hit_query[low : low + pairs], hit_item[low : low + pairs]
-            cost = exact_costs(wide_queries[part[q]], wide_items[x], metric)
-            best.offer(part[q], item_ids[x], cost)
+            costs.append(exact_costs(block[q], items[x], metric))
+        if costs:
+            best.offer(part[hit_query], item_ids[hit_item], np.concatenate(costs))

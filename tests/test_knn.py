@@ -74,6 +74,26 @@ def test_every_plan_equals_brute_force(tables, data, plan, metric, value, k):
     assert by_query(found, value) == brute(asked, items, k, metric)
 
 
+@pytest.mark.parametrize("plan", PLANS)
+def test_packed_vectors_give_the_same(tables, data, plan):
+    queries, vectors = tables
+    packed = blocks.pack(vectors, "embedding")
+    found = knn.nearest(queries, packed, 12, **PLANS[plan])
+    assert by_query(found) == brute(data[1], data[0], 12)
+
+
+def test_small_batches_are_joined(data):
+    import pyarrow as pa
+
+    items = data[0]
+    batches = [
+        pa.RecordBatch.from_arrays([blocks.list_column(items[low : low + 10])], ["embedding"])
+        for low in range(0, ITEMS, 10)
+    ]
+    sizes = [b.num_rows for b in blocks.large_batches(iter(batches), "embedding", 5000)]
+    assert sum(sizes) == ITEMS and min(sizes[:-1]) > 10
+
+
 def test_grid_of_many_blocks(tables, data, monkeypatch):
     monkeypatch.setattr(knn, "GRID_QUERIES", 7)
     monkeypatch.setattr(knn, "GRID_ITEMS", 50)

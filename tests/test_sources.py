@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from shelfmark.operators import ivf
+from shelfmark.operators import blocks, ivf
 from shelfmark.sources import catalog as files
 from shelfmark.sources import indexes
 from shelfmark.sources.workspace import new_folder, shared_folder
@@ -122,6 +122,18 @@ def test_vectors_round_trip(spark, vectors, tmp_path):
     assert again.count() == 300
 
 
+def test_packed_vectors(spark, vectors):
+    holes = vectors.withColumn("embedding", F.when(F.col("product_id") != 7, F.col("embedding")))
+    packed = blocks.pack(holes, "embedding")
+    assert packed.schema["embedding"].dataType.typeName() == "binary"
+    assert blocks.pack(packed, "embedding") is packed
+    assert blocks.unpack(packed, "embedding").exceptAll(holes).isEmpty()
+    rows = packed.where("embedding is not null").select("embedding").toArrow()
+    matrix = blocks.matrix_of(rows.column("embedding").slice(5, 9))
+    assert matrix.shape == (9, 4)
+    assert indexes.index_metadata(packed, "Flat").first()["dimension"] == 4
+
+
 def test_cells_round_trip_and_pruning(spark, vectors, tmp_path):
     centroids = ivf.label_centroids(vectors, "cell")
     sizes = vectors.groupBy("cell").agg(F.count("*").alias("rows"))
@@ -131,7 +143,9 @@ def test_cells_round_trip_and_pruning(spark, vectors, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     stored, centres = indexes.read_cells(spark, str(tmp_path / "i"))
-    assert stored.select(vectors.columns).exceptAll(vectors.withColumn("cell", F.col("cell").cast("int"))).isEmpty()
+    lists = blocks.unpack(stored, "embedding").withColumn("cell", F.col("cell").cast("bigint"))
+    assert lists.select(vectors.columns).exceptAll(vectors).isEmpty()
+    assert lists.count() == 300
     assert centres.count() == 5
     assert len(list((tmp_path / "i" / "cells" / "cell=0").glob("*.parquet"))) > 1
     queries = vectors.where("product_id = 1").select(F.col("product_id").alias("query_id"), "embedding")
