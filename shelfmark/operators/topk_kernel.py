@@ -28,7 +28,8 @@ class BestPairs:
     def offer(self, query: np.ndarray, item: np.ndarray, cost: np.ndarray) -> None:
         self.parts.append((query, item, cost))
         self.waiting += len(query)
-        if self.waiting > self.room:
+        open_ended = self.waiting >= len(self.bound) * self.k and np.isinf(self.bound).any()
+        if open_ended or self.waiting > self.room:
             self._settle()
 
     def _settle(self) -> None:
@@ -84,14 +85,19 @@ def scan_block(
         part = rows[start : start + step]
         block = queries[part]
         norms = squared_norms(block)
-        product = block @ items.T
-        rough = -product if metric == "ip" else norms[:, None] + item_norms[None, :] - 2 * product
+        # the cost without the query's own part, which is the same for all items
+        rough = block @ items.T
+        rough *= -1 if metric == "ip" else -2
+        own = 0 if metric == "ip" else norms
+        if metric != "ip":
+            rough += item_norms.astype(np.float32)
         slack = (2 * dim + 16) * FLOAT32_STEP * (norms + item_norms.max())
-        limit = best.bound[part]
-        if len(items) > best.k:
+        limit = best.bound[part] - own
+        if len(items) > best.k and np.isinf(limit).any():
             nearest = np.partition(rough, best.k - 1, axis=1)[:, best.k - 1]
             limit = np.minimum(limit, nearest + slack)
-        hit_query, hit_item = np.nonzero(rough <= (limit + slack)[:, None])
+        limit = np.nextafter((limit + slack).astype(np.float32), np.float32(np.inf))
+        hit_query, hit_item = np.nonzero(rough <= limit[:, None])
         pairs = max(1, CELLS_AT_ONCE // dim)  # a portion that stays in the cache
         costs = []
         for low in range(0, len(hit_query), pairs):
