@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import ivf
 from shelfmark.operators.blocks import list_column, matrix_of
-from shelfmark.operators.knn import nearest
 from shelfmark.options import IvfOptions
+from shelfmark.plans.search import flat_index
 from shelfmark.sources import indexes
 
 ROWS, PIECES = 1_385_430, 6
@@ -82,7 +82,7 @@ def main() -> None:
         )
 
     for rows, k in ((1, 10), (100, 10), (1000, 10), (4000, 10), (100, 2000), (1000, 2000)):
-        timed(f"flat, k={k}", rows, lambda: nearest(asked(rows), items, k))
+        timed(f"flat, k={k}", rows, lambda: flat_index(items)(asked(rows), k))
 
     path = f"{folder}/ivf"
     options = IvfOptions(train_rows=20_000)

@@ -21,6 +21,11 @@ HINTED_PAIRS = 4_200_000
 
 # Partial results of one query that a single task may merge.
 MERGE_ROWS = 1_000_000
+# From so many tasks and partial results on, a first search in an index's probe
+# part pays off; it holds one vector in PROBE_SHARE.
+PROBE_TASKS = 200
+PROBE_RESULTS = 10_000_000
+PROBE_SHARE = 100
 # Upper bound of scan tasks when the cluster grows on demand.
 ELASTIC_TASKS = 20_000
 

@@ -30,7 +30,8 @@ from shelfmark.operators import blocks
 from shelfmark.operators.blocks import Block, filled, large_batches, matrix_of, scan_tasks, small_block
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
 
-QUERY, ITEM, VECTOR, CELL, CELLS = "query_id", "product_id", "embedding", "cell", "cells"
+QUERY, ITEM, VECTOR = "query_id", "product_id", "embedding"
+CELL, CELLS, PROBE = "cell", "cells", "probe"
 GRID_QUERIES = 4096
 GRID_ITEMS = 131_072
 GRID_PARTIALS = 1_000_000
@@ -50,6 +51,7 @@ def nearest(
     metric: str = "l2",
     *,
     query_cells: DataFrame | None = None,
+    probe: DataFrame | None = None,
     load: Loader = matrix_of,
     repeated: bool = False,
     block_rows: int = blocks.BLOCK_ROWS,
@@ -60,8 +62,10 @@ def nearest(
     ``queries`` has ``query_id, embedding``; ``vectors`` has a unique bigint
     ``product_id`` and ``embedding``, a list or packed. With ``query_cells`` (``query_id, cell``)
     a query sees only vectors whose ``cell`` it lists. ``repeated`` says that a
-    vector may be stored in more than one cell. ``load`` turns the stored
-    vector column into a matrix.
+    vector may be stored in more than one cell. ``probe`` is a small part of
+    ``vectors``; with many scan tasks, the k-th cost found in it limits what the
+    tasks of the full scan return. ``load`` turns the stored vector column into
+    a matrix.
     """
     if vectors.schema[ITEM].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError(f"{ITEM} must be a whole number")
@@ -77,7 +81,12 @@ def nearest(
             return _named(_scan_queries(queries, side, k, metric), metric)
     block = query_block(queries, k, block_rows)
     if block is not None:
-        found, partials = _scan_vectors(queries, block, vectors, k, metric, query_cells, load)
+        bound = None
+        if probe is not None and query_cells is None and _pays_off(queries, block, k):
+            bound = _probe_bound(queries, block, probe.select(*columns), k, metric, load)
+        found, partials = _scan_vectors(
+            queries, block, vectors, k, metric, query_cells, load, bound
+        )
     else:
         found, partials = _grid(queries, vectors, k, metric, query_cells, load)
     if repeated:
@@ -143,6 +152,7 @@ def _scan_vectors(
     metric: str,
     query_cells: DataFrame | None,
     load: Loader,
+    bound: np.ndarray | None = None,
 ) -> tuple[DataFrame, int]:
     tasks = scan_tasks(queries.sparkSession, k)
     asking: dict[int, np.ndarray] | None = None
@@ -153,7 +163,7 @@ def _scan_vectors(
     ids, matrix = block.ids, block.matrix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestPairs(len(ids), k)
+        best = BestPairs(len(ids), k, bound)
         everyone = np.arange(len(ids))
         for batch in large_batches(batches, VECTOR):
             items = load(batch.column(VECTOR))
@@ -170,6 +180,29 @@ def _scan_vectors(
     return vectors.coalesce(tasks).mapInArrow(run, _result_schema(queries)), tasks
 
 
+def _pays_off(queries: DataFrame, block: Block, k: int) -> bool:
+    tasks = scan_tasks(queries.sparkSession, k)
+    return tasks >= blocks.PROBE_TASKS and tasks * block.rows * k >= blocks.PROBE_RESULTS
+
+
+def _probe_bound(
+    queries: DataFrame, block: Block, probe: DataFrame, k: int, metric: str, load: Loader
+) -> np.ndarray:
+    """Per query the k-th cost inside a part of the vectors: the true one is no higher."""
+    found, partials = _scan_vectors(queries, block, probe, k, metric, None, load)
+    table = (
+        merge_best(found, k, partials)
+        .groupBy(QUERY)
+        .agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("cost"))
+        .where(F.col("n") == k)
+        .toArrow()
+    )
+    bound = np.full(block.rows, np.inf)
+    at = pc.index_in(table.column(QUERY).combine_chunks(), value_set=block.ids)
+    bound[at.to_numpy(zero_copy_only=False)] = table.column("cost").to_numpy()
+    return bound
+
+
 def _queries_by_cell(block: Block, query_cells: DataFrame) -> dict[int, np.ndarray]:
     """Positions of the block's queries per cell; probes are few per query."""
     table = query_cells.select(QUERY, F.col(CELL).cast("bigint").alias(CELL)).toArrow()

@@ -16,11 +16,14 @@ FLOAT32_STEP = 6e-8
 
 
 class BestPairs:
-    """The k cheapest (cost, item) pairs seen so far, per query."""
+    """The k cheapest (cost, item) pairs seen so far, per query.
 
-    def __init__(self, queries: int, k: int):
+    ``bound`` is a cost above which a pair cannot be among the k cheapest.
+    """
+
+    def __init__(self, queries: int, k: int, bound: np.ndarray | None = None):
         self.k = k
-        self.bound = np.full(queries, np.inf)
+        self.bound = np.full(queries, np.inf) if bound is None else bound.copy()
         self.room = max(2 * queries * k, 1_000_000)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
@@ -104,4 +107,6 @@ def scan_block(
             q, x = hit_query[low : low + pairs], hit_item[low : low + pairs]
             costs.append(exact_costs(block[q], items[x], metric))
         if costs:
-            best.offer(part[hit_query], item_ids[hit_item], np.concatenate(costs))
+            cost, asked = np.concatenate(costs), part[hit_query]
+            near = cost <= best.bound[asked]
+            best.offer(asked[near], item_ids[hit_item[near]], cost[near])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import query_text as q
 from shelfmark.operators import blocks, filters
 from shelfmark.operators.categories import filter_category, with_category_keywords
-from shelfmark.operators.knn import QUERY, VECTOR, attach_products, nearest
+from shelfmark.operators.knn import PROBE, QUERY, VECTOR, attach_products, nearest
 from shelfmark.operators.ranking import rank
 from shelfmark.operators.results import result_lines, result_rows, with_labels
 from shelfmark.options import (
@@ -25,8 +25,9 @@ Searcher = Callable[[DataFrame, int], DataFrame]
 
 
 def flat_index(vectors: DataFrame, metric: str = "l2") -> Searcher:
-    """Exact search over all vectors."""
-    return lambda queries, k: nearest(queries, vectors, k, metric)
+    """Exact search over all vectors, with the index's probe part if it has one."""
+    probe = vectors.where(F.col(PROBE) == 1) if PROBE in vectors.columns else None
+    return lambda queries, k: nearest(queries, vectors, k, metric, probe=probe)
 
 
 def parsed_prices(searches: DataFrame) -> DataFrame:

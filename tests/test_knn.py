@@ -101,6 +101,25 @@ def test_grid_of_many_blocks(tables, data, monkeypatch):
     assert by_query(found) == brute(data[1], data[0], 9)
 
 
+@pytest.mark.parametrize("metric,value", [("l2", "distance"), ("ip", "similarity")])
+@pytest.mark.parametrize("share", [4, 500])
+def test_probe_part_bounds_the_scan(spark, tables, data, tmp_path, monkeypatch, metric, value, share):
+    from shelfmark.plans.search import flat_index
+    from shelfmark.sources import indexes
+
+    indexes.write_flat(tables[1], str(tmp_path), share)
+    stored = indexes.read_flat(spark, str(tmp_path))
+    monkeypatch.setattr(blocks, "PROBE_TASKS", 1)
+    monkeypatch.setattr(blocks, "PROBE_RESULTS", 1)
+    probe = stored.where("probe = 1")
+    found = knn.nearest(tables[0], stored, 9, metric, probe=probe, side_rows=0)
+    assert by_query(found, value) == brute(data[1], data[0], 9, metric)
+    block = knn.query_block(tables[0], 9)
+    bound = knn._probe_bound(tables[0], block, probe, 9, metric, blocks.matrix_of)
+    assert np.isfinite(bound).all() == (probe.count() >= 9)
+    assert by_query(flat_index(stored, metric)(tables[0], 9), value) == by_query(found, value)
+
+
 def test_merge_in_salted_groups(tables, data, monkeypatch):
     monkeypatch.setattr(blocks, "MERGE_ROWS", 10)
     found = knn.nearest(*tables, 9, side_rows=0)
