@@ -37,7 +37,11 @@ class BestPairs:
 
     def _settle(self) -> None:
         query, item, cost = (np.concatenate(column) for column in zip(*self.parts))
-        order = np.lexsort((item, cost, query))
+        order = np.lexsort((item, cost))
+        if len(self.bound) <= 1 << 16:  # 16-bit keys are sorted by radix
+            order = order[np.argsort(query[order].astype(np.uint16), kind="stable")]
+        else:
+            order = order[np.argsort(query[order], kind="stable")]
         query, item, cost = query[order], item[order], cost[order]
         # the same item may come in twice when items are stored in several cells
         fresh = np.ones(len(query), dtype=bool)
@@ -53,7 +57,8 @@ class BestPairs:
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        self._settle()
+        if self.waiting:
+            self._settle()
         return self.parts[0]
 
 
