@@ -220,7 +220,9 @@ def _queries_by_cell(block: Block, query_cells: DataFrame) -> dict[int, np.ndarr
 def _scan_queries(queries: DataFrame, side: Block, k: int, metric: str) -> DataFrame:
     items = side.matrix
     item_ids = side.ids.to_numpy(zero_copy_only=False)
-    spread = queries.repartition(scan_tasks(queries.sparkSession), QUERY)
+    if blocks.fits(queries, QUERY, blocks.SIDE_ROWS):
+        # so few may lie in one file; more are scanned as they lie
+        queries = queries.repartition(scan_tasks(queries.sparkSession), QUERY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filled(batches, VECTOR):
@@ -231,7 +233,7 @@ def _scan_queries(queries: DataFrame, side: Block, k: int, metric: str) -> DataF
                 scan_block(best, matrix_of(part.column(VECTOR)), everyone, items, item_ids, metric)
                 yield from _result_batches(best, part.column(QUERY))
 
-    return spread.mapInArrow(run, _result_schema(queries))
+    return queries.mapInArrow(run, _result_schema(queries))
 
 
 def _grid(

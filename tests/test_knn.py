@@ -142,6 +142,14 @@ def test_kernel_settles_often(data):
     assert {q: item[query == q].tolist() for q in everyone} == expected
 
 
+def test_a_large_query_side_is_not_shuffled(tables, data, monkeypatch):
+    assert "REPARTITION" in plan_of(knn.nearest(*tables, 3))
+    monkeypatch.setattr(blocks, "SIDE_ROWS", 5)
+    found = knn.nearest(*tables, 3)
+    assert "Exchange" not in plan_of(found).split("InMemoryRelation")[0]
+    assert by_query(found) == brute(data[1], data[0], 3)
+
+
 def test_equal_vectors_tie_by_id(tables):
     found = knn.nearest(*tables, 11)
     assert by_query(found)[0] == [0, *range(100, 110)]
