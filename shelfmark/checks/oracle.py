@@ -209,7 +209,7 @@ ORACLE["fill_defaults"] = statement(
     RAW,
     "SELECT product_id, coalesce(reviews, 0) AS reviews, coalesce(stars, 0) AS stars FROM catalog",
 )
-ORACLE["parse_prices"] = statement(
+ORACLE["parse_price"] = statement(
     RAW, f"SELECT product_id, price AS price_text, {price('price')} AS price FROM catalog"
 )
 ORACLE["median_impute"] = statement(
@@ -292,7 +292,7 @@ ORACLE["encode_udf"] = " UNION ALL ".join(
 ORACLE["embedding_summary"] = """SELECT CAST(max(len(embedding)) AS INTEGER) AS embedding_dim,
   count(*) AS num_products, CAST(32 AS INTEGER) AS batch_size, 'embedding_text' AS input_column
 FROM embeddings"""
-ORACLE["sampled_rows"] = statement(
+ORACLE["sample_rows"] = statement(
     RAW,
     f"""SELECT product_id, title FROM catalog
 ORDER BY md5(CAST(product_id AS VARCHAR) || ':42'), product_id LIMIT {SAMPLE}""",
@@ -642,7 +642,7 @@ SMALL = store_search(
     {**PRODUCTS, **nearest(SMALL_FETCH.top_k * SMALL_FETCH.fetch_multiplier)}, SMALL_FETCH
 )
 ORACLE["search_vectors"] = statement(SMALL, "SELECT * FROM results")
-ORACLE["search_summaries"] = statement(
+ORACLE["search_summary"] = statement(
     SMALL,
     """SELECT query_id, query_text, coalesce(n, 0) AS n_results,
   printf('$%.2f', min_price) || ' - ' || printf('$%.2f', max_price) AS price_range,
@@ -681,13 +681,18 @@ WHERE p.price BETWEEN 5.0 AND 800.0 AND p.stars >= 1.5""",
     **with_scores("matching"),
     "ranked": f"SELECT * FROM (SELECT *, {place(ORDERS['hybrid'])} FROM hybrid) WHERE rank <= 5",
 }
-ORACLE["search_lines_simple"] = statement(
-    LINES,
-    "SELECT query_id, rank, rank || '. ' || coalesce(title, 'Unknown Product') AS line FROM ranked",
-)
-ORACLE["search_lines_detailed"] = statement(
-    LINES,
-    """SELECT query_id, rank, rank || '. ' || coalesce(title, 'Unknown Product')
-  || printf(' - $%.2f', price) || printf(' - %.1f ★', stars)
-  || coalesce(' (' || reviews || ' reviews)', '') AS line FROM ranked""",
-)
+SIMPLE_LINE = """SELECT query_id, rank,
+  rank || '. ' || coalesce(title, 'Unknown Product') AS line FROM ranked"""
+DETAILED_LINE = """SELECT query_id, rank, rank || '. ' || coalesce(title, 'Unknown Product')
+  || coalesce(printf(' - $%.2f', price), '') || coalesce(printf(' - %.1f ★', stars), '')
+  || coalesce(' (' || reviews || ' reviews)', '') AS line FROM ranked"""
+ORACLE["search_lines_simple"] = statement(LINES, SIMPLE_LINE)
+ORACLE["search_lines"] = statement(LINES, DETAILED_LINE)
+PLAIN = {
+    **PRODUCTS,
+    **nearest(K),
+    "ranked": f"""SELECT *, {place('cost, product_id')}
+FROM found JOIN products USING (product_id)""",
+}
+ORACLE["format_results_simple"] = statement(PLAIN, SIMPLE_LINE)
+ORACLE["format_results"] = statement(PLAIN, DETAILED_LINE)

@@ -16,7 +16,7 @@ from shelfmark.functions.text import drop_special, first_words
 from shelfmark.operators import categories, cleaning, encode, filters, ivf, lsh, pq, ranking
 from shelfmark.operators.knn import attach_products, nearest
 from shelfmark.operators.order_statistics import sample_rows
-from shelfmark.operators.results import image, link, result_rows, search_summary
+from shelfmark.operators.results import image, link, result_lines, result_rows, search_summary
 from shelfmark.operators.textprep import embedding_input, with_embedding_text
 from shelfmark.options import (
     IvfOptions,
@@ -55,7 +55,8 @@ SMALL_FETCH = StoreSearchOptions(top_k=5, fetch_multiplier=8)
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register under the function's name; a final underscore is not part of it."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -173,7 +174,7 @@ def fill_defaults(spark, sf_dir):
 
 
 @query
-def parse_prices(spark, sf_dir):
+def parse_price_(spark, sf_dir):
     return fx.catalog(spark, sf_dir).select(
         "product_id", F.col("price").alias("price_text"), parse_price(F.col("price")).alias("price")
     )
@@ -265,7 +266,7 @@ def embedding_summary(spark, sf_dir):
 
 
 @query
-def sampled_rows(spark, sf_dir):
+def sample_rows_(spark, sf_dir):
     return sample_rows(fx.products(spark, sf_dir), "product_id", SAMPLE).select(
         "product_id", "title"
     )
@@ -625,6 +626,21 @@ def result_projection(spark, sf_dir):
     return result_rows(found).withColumn("relevance_score", F.round("relevance_score", 6))
 
 
+def _formatted(spark, sf_dir, details: bool) -> DataFrame:
+    found = attach_products(_found(spark, sf_dir, K), fx.products(spark, sf_dir))
+    return result_lines(ranking.rank(found, "distance"), details)
+
+
+@query
+def format_results(spark, sf_dir):
+    return _formatted(spark, sf_dir, True)
+
+
+@query
+def format_results_simple(spark, sf_dir):
+    return _formatted(spark, sf_dir, False)
+
+
 # Searches
 
 
@@ -676,7 +692,7 @@ def search_vectors(spark, sf_dir):
 
 
 @query
-def search_summaries(spark, sf_dir):
+def search_summary_(spark, sf_dir):
     asked = fx.vector_searches(spark, sf_dir)
     found = store_search(
         asked, fx.products(spark, sf_dir), _index(spark, sf_dir), _taxonomy(spark), SMALL_FETCH
@@ -713,7 +729,7 @@ def _lines(spark, sf_dir, details: bool) -> DataFrame:
 
 
 @query
-def search_lines_detailed(spark, sf_dir):
+def search_lines_(spark, sf_dir):
     return _lines(spark, sf_dir, True)
 
 
