@@ -21,7 +21,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, so that its work is not repeated and its lineage ends."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, secrets
+from shelfmark.llm import mixing, packing, rans, secret_scan
 from shelfmark.llm.common import table
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     own = F.col("quotas")[0]
@@ -18,13 +22,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    count = [secrets.count_of(F.col("spans"), rule[0]).alias(f"n_{rule[0]}") for rule in secrets.RULES]
-    text = secrets.label(F.col("spans"))
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    count = [secret_scan.count_of(F.col("spans"), rule[0]).alias(f"n_{rule[0]}") for rule in secret_scan.RULES]
+    text = secret_scan.label(F.col("spans"))
     return found.select("doc_id", *count, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_retrieval_packing": op2_retrieval_packing,
     "op3_mix_sources": op3_mix_sources,
+    "op6_rans_files": op6_rans_files,
     "op7_secret_ledger": op7_secret_ledger,
 }
