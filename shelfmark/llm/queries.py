@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, packing, rans, secret_scan
+from shelfmark.llm import fingerprint, mixing, packing, rans, secret_scan
 from shelfmark.llm.common import table
 
 
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_mix_sources": op3_mix_sources,
     "op6_rans_files": op6_rans_files,
