@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import fingerprint, mixing, packing, rans, secret_scan
+from shelfmark.llm import fingerprint, mixing, packing, quality, rans, secret_scan, toxicity
 from shelfmark.llm.common import table
 
 
@@ -32,6 +32,14 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_mix_sources": op3_mix_sources,
+    "op4_quality_discriminant": op4_quality_discriminant,
+    "op5_toxic_neighbours": op5_toxic_neighbours,
     "op6_rans_files": op6_rans_files,
     "op7_secret_ledger": op7_secret_ledger,
 }
