@@ -34,4 +34,25 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN labels_ USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op7_secret_ledger": _OP7}
+_OP10 = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+           label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid
+    FROM embeddings),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y
+    FROM vectors AS a JOIN vectors AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.valid AND b.valid
+      AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reached AS (
+    SELECT vec_id AS x, vec_id AS y FROM vectors
+    UNION
+    SELECT r.x, l.y FROM reached AS r JOIN links AS l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
+FROM vectors AS v JOIN least AS l ON l.x = v.vec_id LEFT JOIN counted AS c ON c.x = v.vec_id"""
+
+ORACLE: dict[str, str] = {"op10_metric_range_join": _OP10, "op7_secret_ledger": _OP7}

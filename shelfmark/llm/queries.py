@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bagminhash, fingerprint, mixing, packing, quality, rans, secret_scan, toxicity
+from shelfmark.llm import bagminhash, fingerprint, metric_join, mixing, packing, quality, rans, secret_scan, toxicity
 from shelfmark.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -57,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rans_files": op6_rans_files,
     "op7_secret_ledger": op7_secret_ledger,
     "op9_bagminhash_dedup": op9_bagminhash_dedup,
+    "op10_metric_range_join": op10_metric_range_join,
 }
