@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bagminhash, fingerprint, metric_join, mixing, packing, quality, rans, secret_scan, toxicity
+from shelfmark.llm import bagminhash, fingerprint, hmm, metric_join, mixing, packing, quality, rans, secret_scan, toxicity
 from shelfmark.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxic_neighbours": op5_toxic_neighbours,
     "op6_rans_files": op6_rans_files,
     "op7_secret_ledger": op7_secret_ledger,
+    "op8_hmm_scoring": op8_hmm_scoring,
     "op9_bagminhash_dedup": op9_bagminhash_dedup,
     "op10_metric_range_join": op10_metric_range_join,
 }
