@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import pieces_of, seeds, slices_by_size, text_of
+from shelfmark.llm.near import bands_of, near_links
 from shelfmark.llm.shingles import shingles
 
 PERMUTATIONS = 128
@@ -161,14 +162,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(compare, RESULT)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and signature (all values packed, 32 bits each) of every text; empty for a text without words."""
+def sign(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Compact signatures and band keys; a text without words has band keys of 0."""
+    signature = signatures(texts)
+    kept = compact(signature)
+    bands = bands_of(kept, PERMUTATIONS // BANDS)
+    bands[signature[:, 0] == NOTHING] = 0
+    return kept, bands
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
-            rows = signatures(batch.column(1))
-            packed = [b"" if r[0] == NOTHING else r.astype(np.uint32).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "signature"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(sign, "doc_id bigint, signature binary")
+def near_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies (doc_id, rep), links (a, b, similarity) between them and their components (node, root).
+
+    Signature bands are joined in Spark and the Jaccard similarity of every candidate pair is verified on whole texts.
+    """
+    return near_links(docs, sign, multiset=False)

@@ -52,7 +52,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     if over < 0:
         scaled[order[0]] -= over
     while over > 0:  # rare ids were lifted to 1: the frequent ones pay
-        room = np.minimum(scaled[order] - 1, max(1, over // 64))
+        room = np.clip(scaled[order] - 1, 0, max(1, over // 64))
         take = np.minimum(room, np.maximum(over - (np.cumsum(room) - room), 0))
         scaled[order] -= take
         over -= int(take.sum())
