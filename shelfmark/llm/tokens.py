@@ -8,7 +8,10 @@ that hold the vocabulary's special string, go to the library whole.
 from __future__ import annotations
 
 import os
+import struct
+import sys
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import pieces_of, stored, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
-MAX_PARTS = 400_000  # entries of a worker's cache of encoded parts; a full cache is begun anew
+MAX_PARTS = 1_000_000  # entries of a worker's cache of encoded parts
+LETTERS = 0x250  # letters below it (Latin ones) are known to be letters for the pre-splitting
+MARKS = ".,;:!?%&*#$"
 SPECIAL = "<|endoftext|>"
 
 
@@ -38,7 +43,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        # How the vocabulary writes the bytes of letters: as the characters that it shows for them.
+        self.written = {i: i for i in range(256)}
+        for c in map(chr, range(0xC0, LETTERS)):
+            for raw, char in zip(c.encode(), shown(c)[0][0], strict=True):
+                self.written[raw] = ord(char)
+        self.blank = shown(" a")[0][0][0]
 
     def _pack(self, ids: Iterable[int]) -> bytes:
         return np.array(ids, np.uint16).tobytes()
@@ -46,36 +60,65 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.parts]
-        if len(self.parts) + len(new) > MAX_PARTS:
-            self.parts = {}
-            new = list(parts)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.parts.update(zip(some, self._encode([" " + p for p in some]), strict=True))
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of all parts, each with a blank before it."""
+        known = dict(zip(parts, map(self.parts.get, parts), strict=True))  # small, so that looking up stays in the caches
+        new = [p for p, ids in known.items() if ids is None]
+        rest, words, tokenize = [], {}, self.model.tokenize
+        for p in new:
+            word = p.rstrip(MARKS)
+            if word.isalpha() and ord(max(word)) < LETTERS:  # one piece of the pre-splitting, then one of marks
+                mark = p[len(word) :]
+                if mark not in self.marks:
+                    self.marks[mark] = self._encode([mark])[0]
+                ids = words.get(word)
+                if ids is None:
+                    if not word.isascii():
+                        written = word.encode().decode("latin-1").translate(self.written)
+                    else:
+                        written = word
+                    found = [t.id for t in tokenize(self.blank + written)]
+                    ids = words[word] = struct.pack(f"<{len(found)}H", *found)
+                known[p] = ids + self.marks[mark]
+            else:
+                rest.append(p)
+        known.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
+        if len(self.parts) < MAX_PARTS:  # what is met first is the most frequent
+            self.parts.update((p, known[p]) for p in new)
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         for text in texts:
             whole = "  " in text or text[-1:] == " " or SPECIAL in text
             cut.append(None if whole else text.split(" "))
-        self._learn({p for parts in cut if parts for p in parts[1:]})
-        get = self.parts.__getitem__
-        firsts = iter(self._encode([parts[0] if parts else text for parts, text in zip(cut, texts, strict=True)]))
+        distinct: set[str] = set()
+        for parts in cut:
+            if parts:
+                distinct.update(islice(parts, 1, None))
+        get = self._learn(distinct).__getitem__
+        firsts = self._encode([parts[0] if parts else text for parts, text in zip(cut, texts, strict=True)])
         return [
-            first + b"".join(map(get, parts[1:])) if parts is not None else first
+            first + b"".join(map(get, islice(parts, 1, None))) if parts is not None else first
             for parts, first in zip(cut, firsts, strict=True)
         ]
 
 
+def encoder(path: str | None = None) -> Encoder:
+    """The worker process's own encoder, kept for its further tasks with all that it has learnt."""
+    kept = sys.__dict__.setdefault("_shelfmark_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (packed, with end_id last) of every row; a null text is an empty one."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], np.uint16).tobytes()
+        known, end = encoder(path), np.array([end_id], np.uint16).tobytes()
         for batch in pieces_of(batches):
-            ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            ids = [x + end for x in known.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "n_tokens", "ids"],
