@@ -8,7 +8,7 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,19 +49,40 @@ KNOWN_TYPES = {
 }
 
 
+def has_line_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether a quoted value runs over a line's end.
+
+    Quotes inside values are doubled, so such a line, and only such a one, has
+    an odd number of them. The files are looked through in splits.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _read_text(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool | None
+) -> DataFrame:
+    if multi_line is None:
+        multi_line = has_line_breaks(spark, path)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    return spark.read.schema(text).options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
+
+
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, multi_line: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType | str,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read catalog CSV files with a declared schema.
 
     Everything is read as text first, missing-value texts become NULL, then the
-    columns are cast. A malformed row raises. With ``multi_line`` titles may
-    hold line breaks, but a file is then read by one task: land it once with
-    ``land`` before further work.
+    columns are cast. A malformed row raises. Files in which values hold line
+    breaks are read by one task each, others in splits; ``multi_line`` says
+    which, and without it the files are looked through for such values first.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
-    raw = spark.read.schema(text).options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
+    raw = _read_text(spark, path, wanted, multi_line)
     return raw.select(*[_typed(field) for field in wanted])
 
 
@@ -72,13 +93,24 @@ def _typed(field: T.StructField):
     if kind == "string":
         return present.alias(field.name)
     if kind == "long":
-        # a whole number may have been written as 12.0
-        present = present.cast("double")
+        return _whole(present).alias(field.name)
     if kind == "double":
         return without_nan(present.cast("double")).alias(field.name)
     return present.cast(field.dataType).alias(field.name)
 
 
+def _whole(text: Column) -> Column:
+    """An exact whole number, which may be written as 12.0; any other text raises."""
+    exact, decimal = text.try_cast("bigint"), text.try_cast("decimal(38,10)")
+    wrong = F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast("bigint")
+    return (
+        F.when(text.isNull(), F.lit(None).cast("bigint"))
+        .when(exact.isNotNull() & ~text.contains("."), exact)
+        .when(decimal == F.floor(decimal), F.floor(decimal).try_cast("bigint"))
+        .otherwise(wrong)
+    )
+
+
 def header_schema(spark: SparkSession, path: str) -> T.StructType:
     """The columns of a CSV file with the types this package knows for them."""
     names = spark.read.options(**CSV_OPTIONS).csv(path).columns
@@ -87,7 +119,7 @@ def header_schema(spark: SparkSession, path: str) -> T.StructType:
     )
 
 
-def read_catalog(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Read a catalog CSV whose columns are taken from its header."""
     return read_csv(spark, path, header_schema(spark, path), multi_line)
 
@@ -124,7 +156,7 @@ def read_with_backup(
 
 
 def land(
-    spark: SparkSession, source: str, target: str, multi_line: bool = False
+    spark: SparkSession, source: str, target: str, multi_line: bool | None = None
 ) -> DataFrame:
     """Copy a catalog CSV to Parquet and give every row its place in the input.
 
@@ -133,8 +165,7 @@ def land(
     text need not number rows alike.
     """
     schema = header_schema(spark, source)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(text).options(**CSV_OPTIONS, multiLine=multi_line).csv(source)
+    raw = _read_text(spark, source, schema, multi_line)
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
