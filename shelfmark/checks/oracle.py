@@ -73,7 +73,7 @@ def squared(left: str, right: str) -> str:
 
 
 def statement(parts: dict[str, str], final: str) -> str:
-    named = ",\n".join(f"{name} AS (\n{text}\n)" for name, text in parts.items())
+    named = ",\n".join(f"{name} AS MATERIALIZED (\n{text}\n)" for name, text in parts.items())
     return f"WITH {named}\n{final}" if parts else final
 
 
@@ -148,15 +148,23 @@ GROUP BY query_id""",
 def scored(source: str) -> dict[str, str]:
     """Category score of each candidate, and the candidates the category keeps."""
     return {
-        "titled": f"""SELECT query_id, product_id, distance, lower(coalesce(title, '')) AS text,
-  {words("lower(coalesce(title, ''))")} AS tokens FROM {source}""",
+        "worded": f"""SELECT product_id, text, {words("text")} AS tokens
+FROM (SELECT DISTINCT product_id, lower(coalesce(title, '')) AS text FROM {source})""",
+        "titled": f"""SELECT c.query_id, c.product_id, c.distance, w.text, w.tokens
+FROM {source} c JOIN worded w USING (product_id)""",
+        "pairs": """SELECT c.*, t.keyword, t.category = h.primary_category AS first_choice
+FROM titled c JOIN chosen h USING (query_id)
+JOIN taxonomy t ON t.category = h.primary_category OR t.category = h.secondary_category
+WHERE contains(c.text, t.keyword)""",
+        "summed": """SELECT query_id, product_id,
+  sum(CASE WHEN first_choice THEN
+      CASE WHEN list_contains(tokens, keyword) OR list_contains(tokens, keyword || 's')
+           THEN 3 ELSE 1 END END) AS category_score,
+  bool_or(NOT first_choice) AS second
+FROM pairs GROUP BY query_id, product_id""",
         "scored": """SELECT c.query_id, c.product_id, c.distance,
-  coalesce(sum(CASE WHEN t.category = h.primary_category AND contains(c.text, t.keyword) THEN
-      CASE WHEN list_contains(c.tokens, t.keyword) OR list_contains(c.tokens, t.keyword || 's')
-           THEN 3 ELSE 1 END END), 0) AS category_score,
-  coalesce(bool_or(t.category = h.secondary_category AND contains(c.text, t.keyword)), false) AS second
-FROM titled c LEFT JOIN chosen h USING (query_id), taxonomy t
-GROUP BY ALL""",
+  coalesce(s.category_score, 0) AS category_score, coalesce(s.second, false) AS second
+FROM titled c LEFT JOIN summed s USING (query_id, product_id)""",
         "kept": """SELECT * FROM (
   SELECT *, bool_or(category_score > 0) OVER (PARTITION BY query_id) AS any_first,
             bool_or(second) OVER (PARTITION BY query_id) AS any_second FROM scored)
@@ -369,6 +377,40 @@ WHERE nth <= {PROBES}""",
 )
 ORACLE["ivf_roundtrip"] = ORACLE["ivf_probe"]
 
+
+def product(left: str, right: str) -> str:
+    pair = "CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)"
+    return f"list_sum(list_transform(list_zip({left}, {right}), lambda p: {pair}))"
+
+
+SCALED = """SELECT vec_id AS product_id, CAST(label AS BIGINT) AS cell,
+  list_transform(embedding, lambda x: CAST(x * (label + 1) AS FLOAT)) AS embedding FROM embeddings"""
+BEST_CELL = f"""SELECT product_id, cell, embedding FROM (
+  SELECT v.product_id, v.embedding, c.cell, row_number() OVER (
+    PARTITION BY v.product_id ORDER BY {product('v.embedding', 'c.centre')} DESC, c.cell) AS nth
+  FROM vectors v, centroids c)
+WHERE nth = 1"""
+ORACLE["ivf_probe_ip"] = statement(
+    {
+        **ASKED,
+        **ELEMENTS,
+        "vectors": SCALED,
+        "assigned": BEST_CELL,
+        "probed": f"""SELECT query_id, cell FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d DESC, cell) AS nth FROM (
+    SELECT q.query_id, c.cell, {product('q.embedding', 'c.centre')} AS d
+    FROM asked q, centroids c))
+WHERE nth <= {PROBES}""",
+        "found": ranked_pairs(
+            product("q.embedding", "v.embedding"),
+            K,
+            "asked q JOIN probed p USING (query_id) JOIN assigned v ON v.cell = p.cell",
+            "cost DESC",
+        ),
+    },
+    "SELECT query_id, product_id, round(cost, 6) AS similarity FROM found",
+)
+
 BUCKETED = f"CAST(floor(list_sum(list_transform(list_zip(v.embedding, c.centre), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / {BUCKET}) AS BIGINT)"
 ORACLE["lsh_label_buckets"] = statement(
     ELEMENTS,
@@ -598,11 +640,12 @@ def store_search(found: dict[str, str], options: StoreSearchOptions) -> dict[str
         "parsed": PARSED,
         "bounds": f"""SELECT query_id, query_text, coalesce(min_price, {options.price_min}) AS min_price,
   coalesce(max_price, {options.price_max}) AS max_price FROM parsed""",
-        "passed": f"""SELECT f.query_id, f.cost AS distance, p.* FROM found f
+        "passed": f"""SELECT f.query_id, f.product_id, f.cost AS distance FROM found f
 JOIN products p USING (product_id) JOIN bounds b USING (query_id)
 WHERE p.price >= {options.min_valid_price} AND p.price BETWEEN b.min_price AND b.max_price""",
-        "closest": f"""SELECT * FROM (SELECT *, {place(ORDERS['distance'], 'nth')} FROM passed)
+        "nearer": f"""SELECT * FROM (SELECT *, {place(ORDERS['distance'], 'nth')} FROM passed)
 WHERE nth <= {options.category_multiplier * options.top_k}""",
+        "closest": "SELECT n.query_id, n.distance, n.nth, p.* FROM nearer n JOIN products p USING (product_id)",
         **DETECTED,
         **scored("closest"),
         "final": f"""SELECT * FROM (
@@ -614,9 +657,14 @@ FROM final JOIN closest USING (query_id, product_id)""",
     }
 
 
-def hashed(text: str) -> str:
-    counts = f"list_transform({words(text)}, lambda w: {bucket('w')})"
-    return f"""list_transform(range({DIM}), lambda i: CAST(len(list_filter({counts}, lambda b: b = i)) AS DOUBLE))"""
+def histogram(text: str) -> str:
+    """How many tokens fall into each bucket, as a map; every token is hashed once."""
+    return f"list_histogram(list_transform({words(text)}, lambda w: {bucket('w')}))"
+
+
+def hashed(counts: str) -> str:
+    value = f"coalesce(map_extract({counts}, i)[1], 0)"
+    return f"list_transform(range({DIM}), lambda i: CAST({value} AS DOUBLE))"
 
 
 TEXT_DISTANCE = "2 * -list_inner_product(q.vec, v.vec) + q.norm + v.norm"
@@ -625,9 +673,11 @@ TEXT_FOUND = {
     "products": f"SELECT *, {EMBEDDED} FROM cleaned",
     **SEARCHES,
     "texts": PARSED,
-    "asked_vec": f"SELECT query_id, {hashed('cleaned_query')} AS vec FROM texts",
+    "asked_counts": f"SELECT query_id, {histogram('cleaned_query')} AS h FROM texts",
+    "asked_vec": f"SELECT query_id, {hashed('h')} AS vec FROM asked_counts",
     "asked": "SELECT *, list_inner_product(vec, vec) AS norm FROM asked_vec",
-    "item_vec": f"SELECT product_id, {hashed('embedding_text')} AS vec FROM products",
+    "item_counts": f"SELECT product_id, {histogram('embedding_text')} AS h FROM products",
+    "item_vec": f"SELECT product_id, {hashed('h')} AS vec FROM item_counts",
     "items": "SELECT *, list_inner_product(vec, vec) AS norm FROM item_vec",
     "found": ranked_pairs(
         TEXT_DISTANCE,
@@ -638,6 +688,23 @@ TEXT_FOUND = {
 ORACLE["search_catalog"] = statement(
     store_search(TEXT_FOUND, StoreSearchOptions()), "SELECT * FROM results"
 )
+# A search of all cells finds what an exact one does.
+ORACLE["search_catalog_ivf"] = ORACLE["search_catalog"]
+ORACLE["knn_large"] = statement(
+    {
+        **cleaned(),
+        "products": f"SELECT *, {EMBEDDED} FROM cleaned",
+        **SEARCHES,
+        "asked_counts": f"SELECT query_id, {histogram('query_text')} AS h FROM searches",
+        "asked_vec": f"SELECT query_id, {hashed('h')} AS vec FROM asked_counts",
+        "asked": "SELECT *, list_inner_product(vec, vec) AS norm FROM asked_vec",
+        "item_counts": f"SELECT product_id, {histogram('embedding_text')} AS h FROM products",
+        "item_vec": f"SELECT product_id, {hashed('h')} AS vec FROM item_counts",
+        "items": "SELECT *, list_inner_product(vec, vec) AS norm FROM item_vec",
+        "found": ranked_pairs(TEXT_DISTANCE, K, "asked q, items v"),
+    },
+    NEIGHBOURS,
+)
 SMALL = store_search(
     {**PRODUCTS, **nearest(SMALL_FETCH.top_k * SMALL_FETCH.fetch_multiplier)}, SMALL_FETCH
 )
@@ -671,6 +738,28 @@ for _method, _order in ORDERS.items():
   printf('%.1f ★', stars) AS stars_formatted, round(distance, 6) AS distance
 FROM (SELECT *, {place(_order)} FROM hybrid) WHERE rank <= {RANKED_TOP}""",
     )
+ORACLE["search_ranked_ivf"] = statement(
+    {
+        **PRODUCTS,
+        **ASKED,
+        **ELEMENTS,
+        "probed": f"""SELECT query_id, cell FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, cell) AS nth FROM (
+    SELECT q.query_id, c.cell, {squared('q.embedding', 'c.centre')} AS d
+    FROM asked q, centroids c))
+WHERE nth <= {PROBES}""",
+        "found": ranked_pairs(
+            squared("q.embedding", "v.embedding"),
+            RANKED_FETCH,
+            "asked q JOIN probed p USING (query_id) JOIN vectors v ON v.cell = p.cell",
+        ),
+        **{name: RANKED[name] for name in ("hints", "matching")},
+        **with_scores("matching"),
+    },
+    f"""SELECT query_id, product_id, rank, printf('$%.2f', price) AS price_formatted,
+  printf('%.1f ★', stars) AS stars_formatted, round(distance, 6) AS distance
+FROM (SELECT *, {place(ORDERS['distance'])} FROM hybrid) WHERE rank <= {RANKED_TOP}""",
+)
 
 LINES = {
     **PRODUCTS,

@@ -13,7 +13,8 @@ from shelfmark.functions import formatting as fmt
 from shelfmark.functions import query_text as qt
 from shelfmark.functions.prices import parse_price
 from shelfmark.functions.text import drop_special, first_words
-from shelfmark.operators import categories, cleaning, encode, filters, ivf, lsh, pq, ranking
+from shelfmark.operators import blocks, categories, cleaning, encode, filters, ivf, lsh, pq, ranking
+from shelfmark.operators.blocks import taken_block
 from shelfmark.operators.knn import attach_products, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.results import image, link, result_lines, result_rows, search_summary
@@ -29,6 +30,7 @@ from shelfmark.plans import cleaning as jobs
 from shelfmark.plans.search import (
     extracted_filters,
     flat_index,
+    ivf_index,
     join_searches,
     parsed_prices,
     ranked_search,
@@ -362,6 +364,34 @@ def ivf_probe(spark, sf_dir):
     return _probe(spark, sf_dir, PROBES)
 
 
+@query
+def ivf_probe_ip(spark, sf_dir):
+    # lengths differ after scaling, so the cell of the largest product is another
+    vectors = fx.vectors(spark, sf_dir).withColumn(
+        "embedding",
+        F.transform("embedding", lambda x: (x * (F.col("cell") + 1)).cast("float")),
+    )
+    centroids = ivf.label_centroids(vectors, "cell")
+    assigned = ivf.assign_cells(vectors, centroids, "ip")
+    found = ivf.search_cells(
+        fx.vector_searches(spark, sf_dir), assigned, centroids, K, PROBES, "ip"
+    )
+    return found.select("query_id", "product_id", *rounded("similarity"))
+
+
+@query
+def knn_large(spark, sf_dir):
+    """All searches on all products by the plan for two large sides, in several rounds."""
+    products = stored_catalog(spark, sf_dir)[1].drop("probe")
+    asked = _encoder(fx.searches(spark, sf_dir).select("query_id", "query_text"), "query_text")
+    path = new_folder(spark, "asked")
+    asked.select("query_id", "embedding").write.mode("overwrite").parquet(path)
+    found = nearest(
+        spark.read.parquet(path), products, K, block_rows=0, side_rows=0, round_bytes=1 << 17
+    )
+    return found.select("query_id", "product_id", *rounded("distance"))
+
+
 @query
 def ivf_probe_all(spark, sf_dir):
     return _probe(spark, sf_dir, CELLS)
@@ -383,7 +413,8 @@ def ivf_knn(spark, sf_dir):
 
 
 def _label_lines(vectors: DataFrame) -> np.ndarray:
-    return ivf.centroid_block(ivf.label_centroids(vectors, "cell").orderBy("cell")).matrix
+    centroids = ivf.label_centroids(vectors, "cell").orderBy("cell")
+    return taken_block(centroids, "cell", "embedding").matrix  # a row per label
 
 
 @query
@@ -679,6 +710,35 @@ def search_catalog(spark, sf_dir):
     return _shown(found)
 
 
+@query
+def search_catalog_ivf(spark, sf_dir):
+    processed, vectors = stored_catalog(spark, sf_dir)
+    # given centres: the mean vector of the products of every last digit
+    cells = blocks.unpack(vectors, "embedding").withColumn("cell", F.col("product_id") % CELLS)
+    centroids = ivf.label_centroids(cells, "cell")
+    assigned = ivf.assign_cells(vectors, centroids)
+    found = store_search(
+        fx.searches(spark, sf_dir),
+        processed,
+        ivf_index(assigned, centroids, CELLS),
+        _taxonomy(spark),
+        encode=_encoder,
+    )
+    return _shown(found)
+
+
+@query
+def search_ranked_ivf(spark, sf_dir):
+    vectors = fx.vectors(spark, sf_dir)
+    index = ivf_index(vectors, ivf.label_centroids(vectors, "cell"), PROBES)
+    found = ranked_search(
+        fx.vector_searches(spark, sf_dir), fx.products(spark, sf_dir), index, RankedSearchOptions(method="distance")
+    )
+    return found.select(
+        "query_id", "product_id", "rank", "price_formatted", "stars_formatted", *rounded("distance")
+    )
+
+
 @query
 def search_vectors(spark, sf_dir):
     found = store_search(

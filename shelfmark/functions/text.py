@@ -37,7 +37,3 @@ def squeeze(text: Column) -> Column:
 def drop_special(text: Column) -> Column:
     """Keep word characters, white space and common punctuation."""
     return F.regexp_replace(text, DROPPED, "")
-
-
-def null_if_blank(text: Column) -> Column:
-    return F.when(text != "", text)

@@ -26,6 +26,10 @@ MERGE_ROWS = 1_000_000
 PROBE_TASKS = 200
 PROBE_RESULTS = 10_000_000
 PROBE_SHARE = 100
+# What one scan task reads at most, about.
+TASK_BYTES = 4 << 30
+# Estimates from here on stand for tables whose size the optimizer doesn't know.
+UNKNOWN_BYTES = 1 << 60
 # Upper bound of scan tasks when the cluster grows on demand.
 ELASTIC_TASKS = 20_000
 
@@ -35,7 +39,7 @@ def rows_up_to(df: DataFrame, key: str, rows: int) -> int:
 
     Reads one narrow column, and only as many partitions as it takes.
     """
-    return len(df.select(key).take(rows + 1))
+    return df.select(key).limit(rows + 1).count()
 
 
 def fits(df: DataFrame, key: str, rows: int) -> bool:
@@ -157,23 +161,44 @@ class Block:
 
 
 def small_block(df: DataFrame, key: str, vector: str, rows: int) -> Block | None:
-    """``df`` as a block, or None when it is larger than a block may be."""
-    if not fits(df, key, rows):
+    """``df`` as a block, or None when it has more rows or bytes than a block may have."""
+    count = rows_up_to(df, key, rows)
+    if count > rows or count * vector_bytes(df, vector) > BLOCK_BYTES:
         return None
+    return taken_block(df, key, vector)
+
+
+def taken_block(df: DataFrame, key: str, vector: str) -> Block:
+    """A table whose size has been checked, as a block."""
     table = df.select(key, vector).toArrow()
     table = table.filter(pc.is_valid(table.column(vector)))
-    matrix = matrix_of(table.column(vector))
-    if matrix.nbytes > BLOCK_BYTES:
-        return None
-    ids = table.column(key).combine_chunks()
-    return Block(ids, matrix)
+    return Block(table.column(key).combine_chunks(), matrix_of(table.column(vector)))
+
+
+def vector_bytes(df: DataFrame, vector: str) -> int:
+    """Bytes of one vector as float32, measured on the first one."""
+    size = F.octet_length(vector) if is_packed(df, vector) else F.size(vector) * 4
+    first = df.where(F.col(vector).isNotNull()).select(size.alias("size")).first()
+    return max(first["size"], 4) if first is not None else 4
 
 
-def scan_tasks(spark: SparkSession, k: int = 1) -> int:
+def stored_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size, 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else 0
+
+
+def scan_tasks(df: DataFrame, k: int = 1) -> int:
     """How many tasks scan a large side at most; each gives k rows per query.
 
-    For a large k there are fewer tasks per core, as each adds k rows.
+    For a large k there are fewer tasks per core, as each adds k rows; but no
+    task scans much more than ``TASK_BYTES``, however few cores there are.
     """
+    return max(core_tasks(df.sparkSession, k), -(-stored_bytes(df) // TASK_BYTES))
+
+
+def core_tasks(spark: SparkSession, k: int = 1) -> int:
+    """Tasks that keep all cores busy."""
     if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
         return ELASTIC_TASKS
     return max(1, min(4, 400 // k)) * spark.sparkContext.defaultParallelism

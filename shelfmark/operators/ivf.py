@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators import blocks
-from shelfmark.operators.blocks import Block, filled, local_table, matrix_of, small_block, unpack
+from shelfmark.operators.blocks import local_table, matrix_of, small_block, unpack
 from shelfmark.operators.knn import CELL, ITEM, QUERY, VECTOR, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
@@ -27,11 +27,17 @@ def training_rows(vectors: DataFrame, rows: int | None, seed: int) -> DataFrame:
 
 
 def train_centroids(vectors: DataFrame, options: IvfOptions = IvfOptions()) -> DataFrame:
-    """(cell, embedding) of the k-means centres; at most ``options.cells`` rows."""
+    """(cell, embedding) of the k-means centres; at most ``options.cells`` rows.
+
+    For inner products the centres are those of the directions.
+    """
     sample = training_rows(vectors, options.train_rows, options.seed).select(
         array_to_vector(VECTOR).alias("features")
     )
-    model = KMeans(k=options.cells, seed=options.seed, maxIter=20).fit(sample)
+    measure = "euclidean" if options.metric == "l2" else "cosine"
+    model = KMeans(
+        k=options.cells, seed=options.seed, maxIter=options.iterations, distanceMeasure=measure
+    ).fit(sample)
     rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(model.clusterCenters())]
     return local_table(vectors.sparkSession, f"{CELL} bigint, {VECTOR} array<float>", rows)
 
@@ -48,16 +54,17 @@ def label_centroids(vectors: DataFrame, label: str) -> DataFrame:
     )
 
 
-def centroid_block(centroids: DataFrame) -> Block:
+def assign_cells(vectors: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
+    """Add the cell of the nearest centroid by ``metric``; NULL without a vector.
+
+    Centroids that may go to every task make it a scan without a shuffle; more
+    of them are searched as any other vectors are, and the cells joined.
+    """
     block = small_block(centroids, CELL, VECTOR, blocks.SIDE_ROWS)
     if block is None:
-        raise ValueError("too many centroids to send to every task")
-    return block
-
-
-def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Add the cell of the nearest centroid; a scan without a shuffle."""
-    block = centroid_block(centroids)
+        asked = vectors.where(F.col(VECTOR).isNotNull()).select(F.col(ITEM).alias(QUERY), VECTOR)
+        found = nearest_cells(asked, centroids, 1, metric).withColumnRenamed(QUERY, ITEM)
+        return vectors.drop(CELL).join(found, ITEM, "left").select(*[c for c in vectors.columns if c != CELL], CELL)
     order = np.argsort(block.ids.to_numpy(zero_copy_only=False))
     cells, centres = block.ids.to_numpy(zero_copy_only=False)[order], block.matrix[order]
     kept = [name for name in vectors.columns if name != CELL]
@@ -66,13 +73,16 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filled(batches, VECTOR):
-            rows = np.arange(batch.num_rows)
-            best = BestPairs(batch.num_rows, 1)
-            scan_block(best, matrix_of(batch.column(VECTOR)), rows, centres, cells, "l2")
-            _, nearest_cells, _ = best.result()
+        for batch in batches:
+            found = np.zeros(batch.num_rows, np.int64)
+            known = batch.column(VECTOR).is_valid().to_numpy(zero_copy_only=False)
+            if known.any():
+                matrix = matrix_of(batch.column(VECTOR).drop_null())
+                best = BestPairs(len(matrix), 1)
+                scan_block(best, matrix, np.arange(len(matrix)), centres, cells, metric)
+                found[known] = best.result()[1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(name) for name in kept] + [pa.array(nearest_cells)],
+                [batch.column(name) for name in kept] + [pa.array(found, mask=~known)],
                 names=kept + [CELL],
             )
 

@@ -2,14 +2,15 @@
 
 Three plans give the same rows:
 
-* few vectors: they travel to every task, the queries are scanned, and each
-  task's answer is final;
+* few vectors: they travel to every task, and the queries are scanned;
 * few queries: they travel instead, the vectors are scanned where they lie, and
   each task gives its best k per query;
-* both large: both sides are cut into blocks of bounded size, and each pair of
-  blocks is one group of a co-group.
+* both large: the side with fewer bytes is taken in rounds of bounded size, and
+  each round scans the other side where it lies. Neither side is shuffled or
+  copied; only results are.
 
-No plan ever emits a row per (query, vector) pair. Ties go to the lower item
+A query id stands for one vector: an id that occurs twice is an error in every
+plan. No plan ever emits a row per (query, vector) pair. Ties go to the lower item
 id. ``cells`` restricts every query to some groups of vectors; that is how the
 clustered and the hashed index search.
 """
@@ -27,14 +28,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.operators import blocks
-from shelfmark.operators.blocks import Block, filled, large_batches, matrix_of, scan_tasks, small_block
+from shelfmark.operators.blocks import (
+    Block,
+    core_tasks,
+    filled,
+    large_batches,
+    matrix_of,
+    scan_tasks,
+    small_block,
+    taken_block,
+    vector_bytes,
+)
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
+from shelfmark.sources.workspace import new_folder
 
 QUERY, ITEM, VECTOR = "query_id", "product_id", "embedding"
 CELL, CELLS, PROBE = "cell", "cells", "probe"
-GRID_QUERIES = 4096
-GRID_ITEMS = 131_072
-GRID_PARTIALS = 1_000_000
+ROUND_FILL = 0.8  # hashed rounds are uneven: so much of a block is aimed at
+LITERAL_CELLS = 1000
 
 Loader = Callable[[pa.Array], np.ndarray]
 
@@ -56,6 +67,7 @@ def nearest(
     repeated: bool = False,
     block_rows: int = blocks.BLOCK_ROWS,
     side_rows: int = blocks.SIDE_ROWS,
+    round_bytes: int = blocks.BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, product_id, distance) of the k nearest vectors per query.
 
@@ -75,20 +87,24 @@ def nearest(
     vectors = vectors.select(*columns)
     queries = queries.select(QUERY, VECTOR)
 
-    if query_cells is None and load is matrix_of:
+    if not queries.groupBy(QUERY).count().where("count > 1").isEmpty():
+        raise ValueError(f"a {QUERY} occurs more than once")
+
+    plain = query_cells is None and load is matrix_of
+    if plain:
         side = small_block(vectors, ITEM, VECTOR, side_rows)
         if side is not None:
             return _named(_scan_queries(queries, side, k, metric), metric)
     block = query_block(queries, k, block_rows)
     if block is not None:
         bound = None
-        if probe is not None and query_cells is None and _pays_off(queries, block, k):
+        if probe is not None and query_cells is None and _pays_off(vectors, block, k):
             bound = _probe_bound(queries, block, probe.select(*columns), k, metric, load)
         found, partials = _scan_vectors(
             queries, block, vectors, k, metric, query_cells, load, bound
         )
     else:
-        found, partials = _grid(queries, vectors, k, metric, query_cells, load)
+        found, partials = _rounds(queries, vectors, k, metric, query_cells, load, probe, plain, round_bytes)
     if repeated:
         found = found.groupBy(QUERY, ITEM).agg(F.min("cost").alias("cost"))
     return _named(merge_best(found, k, partials), metric)
@@ -154,12 +170,16 @@ def _scan_vectors(
     load: Loader,
     bound: np.ndarray | None = None,
 ) -> tuple[DataFrame, int]:
-    tasks = scan_tasks(queries.sparkSession, k)
+    tasks = scan_tasks(vectors, k)
     asking: dict[int, np.ndarray] | None = None
     if query_cells is not None:
         asking = _queries_by_cell(block, query_cells)
-        # a literal list, so that a table partitioned by cell is pruned
-        vectors = vectors.where(F.col(CELL).isin(sorted(asking)))
+        wanted = sorted(asking)
+        if len(wanted) <= LITERAL_CELLS:  # a literal list prunes a table partitioned by cell
+            vectors = vectors.where(F.col(CELL).isin(wanted))
+        else:  # at most as many rows as the block has probes
+            cells = blocks.local_table(queries.sparkSession, f"{CELL} bigint", [(c,) for c in wanted])
+            vectors = vectors.join(F.broadcast(cells), CELL, "left_semi").select(*vectors.columns)
     ids, matrix = block.ids, block.matrix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +200,8 @@ def _scan_vectors(
     return vectors.coalesce(tasks).mapInArrow(run, _result_schema(queries)), tasks
 
 
-def _pays_off(queries: DataFrame, block: Block, k: int) -> bool:
-    tasks = scan_tasks(queries.sparkSession, k)
+def _pays_off(vectors: DataFrame, block: Block, k: int) -> bool:
+    tasks = scan_tasks(vectors, k)
     return tasks >= blocks.PROBE_TASKS and tasks * block.rows * k >= blocks.PROBE_RESULTS
 
 
@@ -222,7 +242,7 @@ def _scan_queries(queries: DataFrame, side: Block, k: int, metric: str) -> DataF
     item_ids = side.ids.to_numpy(zero_copy_only=False)
     if blocks.fits(queries, QUERY, blocks.SIDE_ROWS):
         # so few may lie in one file; more are scanned as they lie
-        queries = queries.repartition(scan_tasks(queries.sparkSession), QUERY)
+        queries = queries.repartition(core_tasks(queries.sparkSession), QUERY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filled(batches, VECTOR):
@@ -236,75 +256,50 @@ def _scan_queries(queries: DataFrame, side: Block, k: int, metric: str) -> DataF
     return queries.mapInArrow(run, _result_schema(queries))
 
 
-def _grid(
+def _rounds(
     queries: DataFrame,
     vectors: DataFrame,
     k: int,
     metric: str,
     query_cells: DataFrame | None,
     load: Loader,
+    probe: DataFrame | None,
+    plain: bool,
+    round_bytes: int,
 ) -> tuple[DataFrame, int]:
-    """Blocks of queries against blocks of vectors, cell by cell.
+    """Partial results of two large sides: one is scanned in place, once a round.
 
-    A large cell, or the whole table when there are no cells, is cut into as
-    many blocks as it needs, so no group is larger than one block of each.
+    A round takes a hashed part of the other side, of about ``round_bytes``
+    (and, for queries, ``KEPT_PAIRS`` results and probes), to all scan tasks. Its
+    partial results go to the shared folder.
     """
-    def parts(size: int) -> Column:
-        return F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int")
-
-    if query_cells is None:
-        asked, vectors = (df.withColumn(CELL, F.lit(0)) for df in (queries, vectors))
-        query_parts = asked.agg(parts(GRID_QUERIES)).scalar()
-        item_parts = vectors.agg(parts(GRID_ITEMS)).scalar()
-
-        def sized(df: DataFrame) -> DataFrame:
-            return df.withColumns({"query_parts": query_parts, "item_parts": item_parts})
-
-    else:
-        asked = queries.join(
-            query_cells.select(QUERY, F.col(CELL).cast("bigint").alias(CELL)), QUERY
-        )
-        sizes = (
-            asked.groupBy(CELL)
-            .agg(parts(GRID_QUERIES).alias("query_parts"))
-            .join(vectors.groupBy(CELL).agg(parts(GRID_ITEMS).alias("item_parts")), CELL)
-        )
-
-        def sized(df: DataFrame) -> DataFrame:
-            return df.join(sizes, CELL)
-
-    def cut(df: DataFrame, key: str, own: str, other: str, own_part: str, other_part: str):
-        return (
-            sized(df)
-            .withColumn(own_part, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
-            .withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop(own, other)
-        )
-
-    left = cut(asked, QUERY, "query_parts", "item_parts", "query_part", "item_part")
-    right = cut(vectors, ITEM, "item_parts", "query_parts", "item_part", "query_part")
-    group = [CELL, "query_part", "item_part"]
-
-    def run(asked_block: pa.Table, item_block: pa.Table) -> pa.Table:
-        asked_block, item_block = (
-            side.filter(pc.is_valid(side.column(VECTOR))) for side in (asked_block, item_block)
-        )
-        best = BestPairs(asked_block.num_rows, k)
-        if asked_block.num_rows and item_block.num_rows:
-            matrix = matrix_of(asked_block.column(VECTOR))
-            items = load(item_block.column(VECTOR).combine_chunks())
-            item_ids = item_block.column(ITEM).to_numpy()
-            scan_block(best, matrix, np.arange(len(matrix)), items, item_ids, metric)
-        ids = asked_block.column(QUERY).combine_chunks()
-        query, item, cost = best.result()
-        return pa.table(
-            {QUERY: ids.take(pa.array(query)), ITEM: pa.array(item), "cost": pa.array(cost)}
-        )
-
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
-        run, _result_schema(queries)
-    )
-    return found, GRID_PARTIALS
+    spark = queries.sparkSession
+    asked = queries.count()
+    per_query = k
+    if query_cells is not None:
+        per_query = max(k, -(-query_cells.count() // max(asked, 1)))
+    width = vector_bytes(queries, VECTOR)
+    fill = ROUND_FILL * min(round_bytes // width, blocks.KEPT_PAIRS // per_query)
+    by_query = math.ceil(asked / max(1, fill))
+    by_item = math.ceil(vectors.count() * width / (ROUND_FILL * round_bytes)) if plain else by_query + 1
+    path = new_folder(spark, "partial-results")
+    swap = by_item < by_query
+    rounds, key = (by_item, ITEM) if swap else (by_query, QUERY)
+    for at in range(rounds):
+        mine = F.pmod(F.xxhash64(key), F.lit(rounds)) == at
+        if swap:
+            side = taken_block(vectors.where(mine), ITEM, VECTOR)
+            found = _scan_queries(queries, side, k, metric)
+        else:
+            block = taken_block(queries.where(mine), QUERY, VECTOR)
+            cells = query_cells.where(mine) if query_cells is not None else None
+            bound = None
+            if probe is not None and cells is None and _pays_off(vectors, block, k):
+                bound = _probe_bound(queries, block, probe.select(ITEM, VECTOR), k, metric, load)
+            found, _ = _scan_vectors(queries, block, vectors, k, metric, cells, load, bound)
+        found.write.mode("append").parquet(path)
+    schema = _result_schema(queries)
+    return spark.read.schema(schema).parquet(path), rounds if swap else scan_tasks(vectors, k)
 
 
 def attach_products(

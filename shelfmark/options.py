@@ -62,6 +62,7 @@ class IvfOptions:
     cells: int = 100
     probes: int = 10
     metric: str = "l2"
+    iterations: int = 20
     train_rows: int | None = None
     seed: int = 42
 
@@ -70,7 +71,7 @@ class IvfOptions:
 class PqOptions:
     subspaces: int = 8
     bits: int = 8
-    metric: str = "l2"
+    iterations: int = 10
     train_rows: int | None = None
     seed: int = 42
 
@@ -84,8 +85,4 @@ class LshOptions:
 
 LINES_TOP_K = 5
 ENCODER_BATCH = 32
-EMBEDDING_DIM = 384
 EMBEDDING_COLUMN = "embedding_text"
-PROBE_QUERIES = 100
-PROBE_K = 10
-SAMPLE_ROWS = 1000

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from shelfmark.functions import query_text as q
 from shelfmark.operators import blocks, filters
 from shelfmark.operators.categories import filter_category, with_category_keywords
+from shelfmark.operators.ivf import search_cells
 from shelfmark.operators.knn import PROBE, QUERY, VECTOR, attach_products, nearest
 from shelfmark.operators.ranking import rank
 from shelfmark.operators.results import result_lines, result_rows, with_labels
 from shelfmark.options import (
     LINES_TOP_K,
     HybridWeights,
+    IvfOptions,
     RankedSearchOptions,
     StoreSearchOptions,
 )
+from shelfmark.sources.workspace import new_folder
 
 TextEncoder = Callable[[DataFrame, str], DataFrame]
 Searcher = Callable[[DataFrame, int], DataFrame]
@@ -30,6 +33,19 @@ def flat_index(vectors: DataFrame, metric: str = "l2") -> Searcher:
     return lambda queries, k: nearest(queries, vectors, k, metric, probe=probe)
 
 
+def ivf_index(
+    cell_vectors: DataFrame,
+    centroids: DataFrame,
+    probes: int = IvfOptions.probes,
+    metric: str = "l2",
+) -> Searcher:
+    """Search in the ``probes`` nearest cells of every query.
+
+    ``sources.indexes.stored_probes`` gives the number an index was saved with.
+    """
+    return lambda queries, k: search_cells(queries, cell_vectors, centroids, k, probes, metric)
+
+
 def parsed_prices(searches: DataFrame) -> DataFrame:
     """Add price bounds and the remaining text of every search."""
     low, high, rest = q.price_bounds(F.col("query_text"))
@@ -75,8 +91,12 @@ def extracted_filters(searches: DataFrame) -> DataFrame:
 
 def _vectors_of(asked: DataFrame, text: str, encode: TextEncoder | None) -> DataFrame:
     if encode is not None:
-        asked = encode(asked.select(QUERY, text), text)
-    elif VECTOR not in asked.columns:
+        # written once: a search reads its queries several times
+        spark = asked.sparkSession
+        path = new_folder(spark, "encoded-searches")
+        encode(asked.select(QUERY, text), text).select(QUERY, VECTOR).write.parquet(path)
+        return spark.read.parquet(path)
+    if VECTOR not in asked.columns:
         raise ValueError("searches need an embedding column or an encoder")
     return asked.select(QUERY, VECTOR)
 

@@ -60,7 +60,7 @@ def by_query(df, value="distance"):
 PLANS = {
     "scan queries": {},
     "scan vectors": {"side_rows": 0},
-    "grid": {"side_rows": 0, "block_rows": 0},
+    "rounds": {"side_rows": 0, "block_rows": 0, "round_bytes": 2000},
 }
 
 
@@ -94,13 +94,28 @@ def test_small_batches_are_joined(data):
     assert sum(sizes) == ITEMS and min(sizes[:-1]) > 10
 
 
-def test_grid_of_many_blocks(tables, data, monkeypatch):
-    monkeypatch.setattr(knn, "GRID_QUERIES", 7)
-    monkeypatch.setattr(knn, "GRID_ITEMS", 50)
-    found = knn.nearest(*tables, 9, side_rows=0, block_rows=0)
+@pytest.mark.parametrize("round_bytes", [1000, 20_000, 1 << 20])
+def test_rounds_of_two_large_sides(tables, data, round_bytes):
+    found = knn.nearest(*tables, 9, side_rows=0, block_rows=0, round_bytes=round_bytes)
     assert by_query(found) == brute(data[1], data[0], 9)
 
 
+def test_large_sides_are_scanned_in_place(spark, tables, data, tmp_path):
+    """More vectors than queries: the queries go round, no exchange lies below a vector scan."""
+    tables[1].write.parquet(f"{tmp_path}/vectors")
+    stored = spark.read.parquet(f"{tmp_path}/vectors")
+    block = knn.query_block(tables[0], 9)
+    found, _ = knn._scan_vectors(tables[0], block, stored, 9, "l2", None, blocks.matrix_of)
+    assert "Exchange" not in plan_of(found)
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_a_repeated_query_id_is_an_error_in_every_plan(tables, plan):
+    queries, vectors = tables
+    with pytest.raises(ValueError, match="more than once"):
+        knn.nearest(queries.union(queries.limit(1)), vectors, 2, **PLANS[plan])
+
+
 @pytest.mark.parametrize("metric,value", [("l2", "distance"), ("ip", "similarity")])
 @pytest.mark.parametrize("share", [4, 500])
 def test_probe_part_bounds_the_scan(spark, tables, data, tmp_path, monkeypatch, metric, value, share):

@@ -62,87 +62,56 @@ def taxonomy(spark):
     return categories.taxonomy_of(spark, STARTER_CATEGORIES)
 
 
-def literal_search(products, vectors, query, options):
-    """One search at a time over plain lists, step by step."""
-    import hashlib
-
-    number, low, high, rest = r"(\d+(?:\.\d+)?)", options.price_min, options.price_max, query
-    span = re.findall(rf"\${number}\s*-\s*\$?{number}", query)
-    if span:
-        low, high = map(float, span[0])
-        rest = re.sub(rf"\${number}\s*-\s*\$?{number}", "", query).strip()
-    else:
-        for words, side in (
-            ("under|less than|below|cheaper than|at most|no more than", "high"),
-            ("over|more than|above|at least|exceeding|min|minimum|starting at", "low"),
-        ):
-            pattern = rf"(?i)(?:{words})\s*\$?{number}"
-            if hit := re.findall(pattern, query):
-                low, high = (float(hit[0]), high) if side == "low" else (low, float(hit[0]))
-                rest = re.sub(pattern, "", query).strip()
-    asked = np.zeros(DIM)
-    for token in rest.split():
-        asked[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % DIM] += 1
-    pool = sorted(
-        (float(((np.array(vectors[i]) - asked) ** 2).sum()), i) for i in vectors
-    )[: options.top_k * options.fetch_multiplier]
-    pool = [
-        (d, i)
-        for d, i in pool
-        if products[i]["price"] is not None
-        and products[i]["price"] >= 1
-        and low <= products[i]["price"] <= high
-        and (not options.min_rating or products[i]["stars"] >= options.min_rating)
-        and (not options.bestsellers_only or products[i]["isBestSeller"])
-    ][: options.top_k * options.category_multiplier]
-    lowered, tokens, entries = query.lower(), query.lower().split(), []
-    for category, keywords in STARTER_CATEGORIES.items():
-        for keyword in keywords:
-            if keyword in lowered and (
-                keyword in tokens
-                or keyword + "s" in tokens
-                or lowered.startswith(keyword + " ")
-                or lowered.endswith(" " + keyword)
-            ):
-                entries.append((category, len(keyword.split())))
-    entries.sort(key=lambda entry: -entry[1])
-    if not entries:
-        return [i for _, i in pool[: options.top_k]]
-
-    def score(title):
-        return sum(
-            (3 if keyword in title.split() or keyword + "s" in title.split() else 1)
-            for keyword in STARTER_CATEGORIES[entries[0][0]]
-            if keyword in title
-        )
-
-    kept = [(d, i) for d, i in pool if score(products[i]["title"])]
-    kept.sort(key=lambda pair: -score(products[pair[1]]["title"]))
-    if not kept and len(entries) > 1:
-        second = STARTER_CATEGORIES[entries[1][0]]
-        kept = [(d, i) for d, i in pool if any(w in products[i]["title"] for w in second)]
-    return [i for _, i in (kept or pool)[: options.top_k]]
+SHELF = [
+    (1, "laptop stand", 20.0, 4.0, 10, False, [1.0]),
+    (2, "gaming laptop", 55.0, 3.0, 20, True, [2.0]),
+    (3, "red mug", 5.0, 5.0, 30, False, [3.0]),
+    (4, "laptops mouse", 70.0, 4.5, 40, True, [4.0]),
+    (5, "laptop sleeve", None, 4.0, 50, False, [5.0]),
+    (6, "laptop bag", 0.5, 4.0, 60, False, [6.0]),
+    (7, "green mugs", 30.0, 2.0, 70, False, [7.0]),
+    (8, "mouse pad", 15.0, 1.0, 80, False, [8.0]),
+]
+KINDS = {"computers": ["laptop", "mouse"], "kitchen": ["mug"], "phones": ["smart phone"]}
+# Every search lies at 0, so products come in the order of their numbers unless their category scores differ.
+EXPECTED = {
+    "laptop under $60": [1, 2, 8],
+    "mug $10-$80": [7],
+    "lamp": [1, 2, 3, 4, 7, 8],
+    "laptop": [4, 1, 2, 8],
+    "chair at least $65": [4],
+    "mug under $3": [],
+    "smart phone mug": [3, 7],
+}
 
 
 @pytest.mark.parametrize(
-    "options",
+    "options, expected",
     [
-        StoreSearchOptions(),
-        StoreSearchOptions(top_k=4, fetch_multiplier=5, category_multiplier=2),
-        StoreSearchOptions(top_k=3, min_rating=3.0, bestsellers_only=True, price_max=50.0),
-        StoreSearchOptions(top_k=3, fetch_multiplier=2),
+        (StoreSearchOptions(), EXPECTED),
+        (StoreSearchOptions(top_k=2), {text: found[:2] for text, found in EXPECTED.items()}),
+        (StoreSearchOptions(min_rating=3.0, bestsellers_only=True), {"laptop": [4, 2], "lamp": [2, 4], "mug under $3": []}),
+        (StoreSearchOptions(price_max=50.0), {"lamp": [1, 3, 7, 8], "chair at least $65": []}),
+        # three candidates are fetched, and one of them is left before categories are looked at
+        (StoreSearchOptions(top_k=1, fetch_multiplier=3, category_multiplier=1), {"laptop": [1], "mug $10-$80": [1]}),
     ],
 )
-def test_store_search_equals_the_literal_steps(store, taxonomy, options):
-    searches, products, vectors = store
-    found = store_search(searches, products, flat_index(vectors), taxonomy, options, coded)
-    ours = {}
-    for row in found.orderBy("query_id", "rank").collect():
-        ours.setdefault(row["query_id"], []).append(row["product_id"])
-    by_id = {row["product_id"]: row.asDict() for row in products.collect()}
-    codes = {row["product_id"]: row["embedding"] for row in vectors.collect()}
-    for at, text in enumerate(TEXTS):
-        assert ours.get(at, []) == literal_search(by_id, codes, text, options), text
+def test_store_search_of_a_small_shelf(spark, options, expected):
+    shelf = spark.createDataFrame(
+        SHELF,
+        "product_id bigint, title string, price double, stars double, reviews bigint,"
+        " isBestSeller boolean, embedding array<float>",
+    )
+    asked = spark.createDataFrame(
+        [(at, text, [0.0]) for at, text in enumerate(expected)],
+        "query_id bigint, query_text string, embedding array<float>",
+    )
+    index = flat_index(shelf.select("product_id", "embedding"))
+    kinds = categories.taxonomy_of(spark, KINDS)
+    found = {}
+    for row in store_search(asked, shelf.drop("embedding"), index, kinds, options).orderBy("query_id", "rank").collect():
+        found.setdefault(row["query_id"], []).append(row["product_id"])
+    assert {text: found.get(at, []) for at, text in enumerate(expected)} == expected
 
 
 def test_cut_comes_before_the_filters(store, taxonomy):
@@ -216,10 +185,25 @@ def test_plan_has_no_cross_join_and_cuts_early(store, taxonomy, monkeypatch):
     assert sorted(small.collect()) == sorted(large.collect())
 
 
-def test_encoder_runs_once(store, taxonomy):
+@pytest.mark.parametrize("sides", [{}, {"side_rows": 0}, {"side_rows": 0, "block_rows": 0}])
+def test_encoder_runs_once_a_search(spark, store, taxonomy, sides):
+    from shelfmark.operators.knn import nearest
+
     searches, products, vectors = store
-    found = store_search(searches, products, flat_index(vectors), taxonomy, encode=coded)
-    assert plan_of(found).count("ArrowEvalPython") == 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df, text):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return coded(df.mapInArrow(count, df.schema), text)
+
+    store_search(
+        searches, products, lambda asked, k: nearest(asked, vectors, k, **sides), taxonomy, encode=counted
+    ).collect()
+    assert seen.value == searches.count()
 
 
 def test_workers_need_no_copy_of_the_package(spark, store):
