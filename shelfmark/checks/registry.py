@@ -155,12 +155,14 @@ def dedup_asin(spark, sf_dir):
 @query
 def dedup_title(spark, sf_dir):
     first = cleaning.keep_first(fx.catalog(spark, sf_dir), "asin", "product_id")
-    return cleaning.keep_first(first, "title", "product_id").select("product_id", "asin", "title")
+    digest = first.select("product_id", "asin", "title", F.unhex(F.md5("title")).alias("_title"))
+    return cleaning.keep_first(digest, "_title", "product_id").drop("_title")
 
 
 @query
 def dedup_documents(spark, sf_dir):
-    return cleaning.keep_first(fx.documents(spark, sf_dir), "text", "doc_id").select("doc_id")
+    digest = fx.documents(spark, sf_dir).select("doc_id", F.unhex(F.md5("text")).alias("_text"))
+    return cleaning.keep_first(digest, "_text", "doc_id").select("doc_id")
 
 
 @query
