@@ -174,6 +174,12 @@ WHERE CASE WHEN any_first THEN category_score > 0 WHEN any_second THEN second EL
 
 # Sources and sinks
 
+ORACLE["csv_texts"] = """SELECT doc_id + 9007199254740993 AS product_id, nullif(text, '') AS title
+FROM documents"""
+ORACLE["fmt_decimals"] = """SELECT l_orderkey, l_linenumber,
+  printf('$%.2f', l_extendedprice * 0.0625) AS price_label,
+  printf('%.1f ★', l_extendedprice * 0.0625 / 1000) AS stars_label
+FROM lineitem"""
 ORACLE["csv_roundtrip"] = statement(RAW, "SELECT * FROM catalog")
 ORACLE["union_scan"] = statement(RAW, "SELECT * FROM catalog")
 ORACLE["fallback_scan"] = statement(RAW, "SELECT asin, title, price FROM catalog")

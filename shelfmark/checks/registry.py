@@ -76,6 +76,17 @@ def by_parts(df: DataFrame, key: str, column: str) -> DataFrame:
 # Sources and sinks
 
 
+@query
+def csv_texts(spark, sf_dir):
+    """Whole texts with quotes and line breaks, and ids that a double can't hold."""
+    docs = fx.documents(spark, sf_dir).select(
+        (F.col("doc_id") + F.lit(9007199254740993)).alias("product_id"), F.col("text").alias("title")
+    )
+    path = new_folder(spark, "texts-csv")
+    files.write_csv(docs, path)
+    return files.read_csv(spark, path, "product_id bigint, title string")
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     raw = fx.catalog(spark, sf_dir)
@@ -643,6 +654,19 @@ _format_query("fmt_reviews", lambda: fmt.review_label(F.col("reviews")).alias("r
 _format_query("fmt_stars", lambda: fmt.star_label(F.col("stars")).alias("stars_formatted"))
 
 
+@query
+def fmt_decimals(spark, sf_dir):
+    """Prices with many decimals, true halves among them."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice") * F.lit(0.0625)
+    return lines.select(
+        "l_orderkey",
+        "l_linenumber",
+        fmt.dollars(price).alias("price_label"),
+        fmt.star_label(price / 1000).alias("stars_label"),
+    )
+
+
 @query
 def fmt_links(spark, sf_dir):
     shown = fx.products(spark, sf_dir)

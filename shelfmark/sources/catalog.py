@@ -126,7 +126,14 @@ def read_catalog(spark: SparkSession, path: str, multi_line: bool | None = None)
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a table as CSV with a header; NULL is written as nothing."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    df.write.mode("overwrite").options(
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
