@@ -399,9 +399,9 @@ def knn_large(spark, sf_dir):
     asked = _encoder(fx.searches(spark, sf_dir).select("query_id", "query_text"), "query_text")
     path = new_folder(spark, "asked")
     asked.select("query_id", "embedding").write.mode("overwrite").parquet(path)
-    found = nearest(
-        spark.read.parquet(path), products, K, block_rows=0, side_rows=0, round_bytes=1 << 17
-    )
+    asked = spark.read.parquet(path)
+    quarter = asked.count() * DIM * 4 // 4 + 1  # bytes: several rounds at any size
+    found = nearest(asked, products, K, block_rows=0, side_rows=0, round_bytes=quarter)
     return found.select("query_id", "product_id", *rounded("distance"))
 
 
