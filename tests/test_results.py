@@ -95,3 +95,11 @@ def test_summary(spark):
         (1, "tv", 1, "$0.00 - $10.00", False),
         (2, "x", 0, "$5.50 - $7.25", True),
     ]
+
+
+def test_labels_round_the_binary_value(column):
+    from shelfmark.functions.formatting import fixed
+
+    values = [1.015, 2.675, 0.005, 0.015, 0.125, 0.375, 9.995, 1e11 + 0.125, 0.004, 4.25, 0.25, 9.95, -1.015, 0.0, 123456.785]
+    assert column(values, lambda x: fixed(x, 2), "double") == [f"{x:.2f}" for x in values]
+    assert column(values, lambda x: fixed(x, 1), "double") == [f"{x:.1f}" for x in values]

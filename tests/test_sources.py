@@ -167,3 +167,18 @@ def test_sizes_are_scaled_up(spark):
     sample = spark.createDataFrame([(0,), (0,), (1,)], "cell bigint")
     sizes = indexes.estimated_sizes(sample, 3, 300).orderBy("cell").collect()
     assert [row["rows"] for row in sizes] == [200, 100]
+
+
+def test_whole_numbers_are_exact_and_line_breaks_are_found(spark, tmp_path):
+    path = str(tmp_path / "exact.csv")
+    with open(path, "w") as file:
+        file.write('product_id,title\n9007199254740993,"a ""q"" x"\n5.0,"two\nlines"\n1e3,\n')
+    schema = "product_id bigint, title string"
+    rows = files.read_csv(spark, path, schema).collect()
+    assert sorted(tuple(r) for r in rows) == [(5, "two\nlines"), (1000, None), (9007199254740993, 'a "q" x')]
+    assert files.has_line_breaks(spark, path)
+    with open(path, "w") as file:
+        file.write("product_id,title\n12.7,x\n")
+    assert not files.has_line_breaks(spark, path)
+    with pytest.raises((PySparkException, Py4JJavaError), match="not a whole number"):
+        files.read_csv(spark, path, schema).collect()
