@@ -3,8 +3,9 @@
 Copies of a text are one class from the start. Signatures of the classes' least documents are banded; documents
 that agree in a band share a bucket. First each bucket's members are compared with its least member; the verified
 links are contracted to components. Only buckets in which several components remain are looked at again: all their
-pairs across components whose signatures agree enough are verified (large buckets in slices, so that no task holds a
-whole one). Pairs inside a component can't change the result and are left out.
+pairs across components whose signatures agree enough are verified on the spot (large buckets in slices, so that no
+task holds a whole one), and those that link give the rest of the classes. Pairs inside a component can't change the
+result and are left out.
 
 A pair is dropped unverified only if its signatures agree in fewer entries than the threshold less four standard
 deviations, or if it agrees in no band.
@@ -70,8 +71,8 @@ def signed(docs: DataFrame, copies: DataFrame, sign: Sign) -> DataFrame:
 
 
 def buckets(signatures: DataFrame) -> DataFrame:
-    """key, rep and least of every bucket with several members."""
-    each = signatures.select(F.explode("bands").alias("key"), "rep")
+    """key, band, rep and least of every bucket with several members."""
+    each = signatures.select(F.posexplode("bands").alias("band", "key"), "rep")
     several = each.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     return stored(each.join(several.select("key", "least"), "key"), "buckets")
 
@@ -145,10 +146,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(run, "a bigint, b bigint, similarity double"), "links")
 
 
-def across(members: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that share a bucket and agree enough."""
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: each hash with the number of its occurrence."""
+    first = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint32(1)))
+    nth = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+    return (hashes.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64)
+
+
+def across(members: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, verified; as many as connect what they connect.
+
+    A pair is looked at in the first band in which it agrees only. Its similarity is computed where its bucket's
+    members meet, so pairs that fail are never rows.
+    """
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = stored(placed.select("key", "rep", "root"), "placed")
+    placed = stored(placed.select("key", "band", "rep", "root"), "placed")
     mixed = (
         placed.groupBy("key")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -159,28 +171,45 @@ def across(members: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataF
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     rows = (
         placed.join(mixed, "key")
-        .join(signatures.select("rep", "signature"), "rep")
+        .join(signatures.select("rep", "signature", F.size("bands").alias("bands")), "rep")
+        .join(sets, "rep")
         .withColumn("own", own)
         .withColumn("other", other)
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "signature")
-    )
+        .select(
+            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+            "band", "bands", "rep", "root", "signature", "hashes",
+        )
+    )
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        own, rep, root = (table[c].to_numpy() for c in ("own", "rep", "root"))
+        i, j, band, bands = (table[c][0].as_py() for c in ("i", "j", "band", "bands"))
+        own, rep, root = (table[c].to_numpy().copy() for c in ("own", "rep", "root"))
         matrix = _matrix(table["signature"])
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        low, a, b = least_agreement(matrix.shape[1]), [], []
-        for at in left:
+        width = matrix.shape[1] // bands
+        banded = matrix[:, : bands * width].reshape(len(matrix), bands, width)
+        sets = [_numbered(np.frombuffer(h.as_buffer(), np.uint32)) for h in table["hashes"]]
+        right, low, links = np.flatnonzero(own == j), least_agreement(matrix.shape[1]), []
+        for at in np.flatnonzero(own == i):
             some = right[(root[right] != root[at]) & ((i != j) | (right > at))]
             some = some[(matrix[some] == matrix[at]).sum(axis=1) >= low]
-            a.append(np.full(len(some), rep[at]))
-            b.append(rep[some])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+            if not len(some):
+                continue
+            some = some[(banded[some] == banded[at]).all(axis=2).argmax(axis=1) == band]
+            if not len(some):
+                continue
+            length = np.array([len(sets[x]) for x in some])
+            same = np.isin(np.concatenate([sets[x] for x in some]), sets[at], kind="sort")
+            both = np.bincount(np.repeat(np.arange(len(some)), length), same, len(some)).astype(np.int64)
+            union = length + len(sets[at]) - both
+            for n in np.flatnonzero(both * SIMILARITY[1] >= union * SIMILARITY[0]):
+                x = some[n]
+                if root[x] != root[at]:
+                    links.append((min(rep[at], rep[x]), max(rep[at], rep[x]), both[n] / union[n]))
+                    root[root == root[x]] = root[at]
+        a, b, similarity = zip(*links, strict=True) if links else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
+
+    return stored(rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint, similarity double"), "links")
 
 
 def near_links(docs: DataFrame, sign: Sign, multiset: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,7 +225,7 @@ def near_links(docs: DataFrame, sign: Sign, multiset: bool) -> tuple[DataFrame,
     sets = shingle_sets(docs, ids, multiset)
     star = members.filter("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = verified(agreeing(star, signatures), sets)
-    more = verified(across(members, components(links.select("a", "b")), signatures), sets)
+    more = across(members, components(links.select("a", "b")), signatures, sets)
     links = links.unionByName(more)
     return copies, links, components(links.select("a", "b"))
 
