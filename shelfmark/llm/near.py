@@ -67,7 +67,8 @@ def signed(docs: DataFrame, copies: DataFrame, sign: Sign) -> DataFrame:
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(text_of()).alias("key"), text_of().alias("text"))
     made = rows.mapInArrow(run, "doc_id bigint, key string, signature binary, bands array<bigint>")
     own = copies.filter("doc_id = rep").select("doc_id", "key")
-    return stored(made.join(own, ["doc_id", "key"], "left_semi").withColumnRenamed("doc_id", "rep").drop("key"), "signatures")
+    single = made.join(own, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    return stored(single.select(F.col("doc_id").alias("rep"), "signature", "bands"), "signatures")
 
 
 def buckets(signatures: DataFrame) -> DataFrame:
