@@ -30,6 +30,7 @@ SHRINK_POOLED = 0.05
 FLOOR = 0.05  # least standard deviation of a statistic within a class
 OFFSET = 1e-2
 EASE = 20.0  # added to what shares are taken of, so that a few words don't make an extreme one
+PIECE = 1 << 20  # bytes of text that a task looks at at a time: it takes about a hundred times as much memory
 TEMPER = 4.0  # log densities are divided by it: statistics of one text aren't independent
 STATISTICS = (
     "words", "word_length", "distinct_words", "repeated_shingles", "same_as_before", "upper", "digits", "symbols",
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Discr
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {c: (0.0, np.zeros(m), np.zeros((m, m))) for c in (0, 1)}
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, PIECE):
             x, y = statistics(batch.column(1)), batch.column(2).to_numpy()
             for c in (0, 1):
                 some = x[y == c]
@@ -165,15 +166,12 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, with the columns of docs."""
     model = fit(docs, labels)
 
-    @F.pandas_udf("double")
-    def quality_score(texts):
-        import pandas as pd
-
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], names=["text"])
-        out = [model.scores(statistics(piece.column(0))) for piece in pieces_of([batch])]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, PIECE):
+            good = model.scores(statistics(batch.column(batch.schema.get_field_index("text")))) >= THRESHOLD
+            yield batch.filter(pa.array(good))
 
-    return docs.filter(quality_score(text_of()) >= THRESHOLD)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,7 +179,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, PIECE):
             s = model.scores(statistics(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
