@@ -28,9 +28,9 @@ from shelfmark.llm.common import stored
 from shelfmark.llm.tokens import stored_tokens, token_counts
 
 SCALE = 20
-LANES = 512
+LANES = 1024
 BLOCK = 1 << 18
-SEGMENT = 256  # steps between checkpoints
+SEGMENT = 128  # steps between checkpoints
 LOW = np.uint64(1 << 31)
 PARTITION_TOKENS = 4_000_000
 MASK = np.uint64((1 << SCALE) - 1)

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import pieces_of, stored, text_of
+from shelfmark.llm.common import batch_bytes, pieces_of, stored, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
-MAX_PARTS = 1_000_000  # entries of a worker's cache of encoded parts
+MAX_PARTS = 500_000  # entries of a worker's cache of encoded parts
 LETTERS = 0x250  # letters below it (Latin ones) are known to be letters for the pre-splitting
 MARKS = ".,;:!?%&*#$"
 SPECIAL = "<|endoftext|>"
@@ -71,7 +71,7 @@ class Encoder:
                 mark = p[len(word) :]
                 if mark not in self.marks:
                     self.marks[mark] = self._encode([mark])[0]
-                ids = words.get(word)
+                ids = words.get(word) or self.parts.get(word)
                 if ids is None:
                     if not word.isascii():
                         written = word.encode().decode("latin-1").translate(self.written)
@@ -139,14 +139,14 @@ def token_counts(tokens: DataFrame, per_document: bool = False) -> np.ndarray:
         total = np.zeros(1 << 16, np.int64)
         seen = np.zeros(1 << 16, bool)
         for batch in batches:
+            if not per_document:
+                total += np.bincount(batch_bytes(batch.column(0))[0].view(np.uint16), minlength=1 << 16)
+                continue
             for ids in batch.column(0):
                 ids = np.frombuffer(ids.as_buffer(), np.uint16)
-                if per_document:
-                    seen[ids] = True
-                    total[np.flatnonzero(seen)] += 1
-                    seen[ids] = False
-                else:
-                    total += np.bincount(ids, minlength=1 << 16)
+                seen[ids] = True
+                total[np.flatnonzero(seen)] += 1
+                seen[ids] = False
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
 
