@@ -1,9 +1,14 @@
 """Packing documents into token windows by lexical retrieval.
 
-Documents are dealt evenly to shards of bounded size. A shard holds a BM25 inverted index of its documents' token
-ids, weighted by document frequencies over the whole table. A seed document opens a window; the index returns its
-best unused neighbours, which fill the window greedily. The last one is cut where the window ends, and its rest
-seeds the next window. Only a shard's last window can be short.
+All documents are grouped by lexical nearness first, over the whole table. A document's BM25 vector, projected to few
+dimensions, goes to the nearest of the cells that k-means finds in a sample. Documents that overlap (that share one of
+BANDS pairs of minima over their runs of RUN ids) go where the one among them with the least hash goes, so copies and
+near copies aren't parted by a border between cells. Small cells share a shard; hot ones are split by the second nearest
+cell, then by content, then evenly. A shard, of bounded size, holds a BM25 inverted index of its documents' token ids,
+weighted by document frequencies over the whole table. A seed
+document opens a window; the index ranks all unused documents by all of the seed's terms, and the best of them fill the
+window greedily. The last one is cut where the window ends, and its rest seeds the next window. Only a shard's last
+window can be short, and those which no document left shares an id with.
 
 Defined results: a null text is empty and holds just the end id; repeated rows are packed as often as they occur; a
 null doc_id is kept; a document of more than CHUNK ids is dealt out in chunks; an empty table gives no rows.
@@ -17,27 +22,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import mix64, pieces_of, slices_by_size, stored
 from shelfmark.llm.tokens import stored_tokens, token_counts
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
 CHUNK = 1 << 18
-QUERY_TERMS = 24  # a seed's heaviest terms, which are looked up
-NEIGHBOURS = 64  # candidates a look-up returns at most; a window that they don't fill goes on with the next seed
+QUERY_TERMS = 1 << 16  # a seed's terms that are looked up: all
+DENSE = 16  # a term in more than this part of the documents has a row over all of them
+STEP = 64  # candidates that are sorted at a time
+DIMENSIONS = 64  # of the projected vectors that cells are made of
+MOST_CELLS = 4096  # they travel with the job; larger tables have more shards a cell
+CELL_SAMPLE = 32  # sampled documents a cell
+ROUNDS = 10  # of k-means
+SIDES = 64  # parts of a hot cell, by the second nearest one
+FINE = 16  # parts by content of a hot one of these
+SLICE_IDS = 1 << 18  # ids whose runs are hashed at a time
+RUN = 4  # ids in a row, for overlaps
+BANDS = 8  # keys of a document that overlapping ones share, two minima each
+MOST_BROADCAST = 500_000  # overlapping documents whose places travel to all tasks; more are joined by a shuffle
 K1, B = 1.2, 0.75
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and how often each occurs."""
+    ids = np.sort(ids, kind="stable")  # by radix
+    opens = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=opens[1:-1])
+    at = np.flatnonzero(opens)
+    return ids[at[:-1]], np.diff(at)
+
+
 class Index:
     """BM25 postings of one shard, by term and by document."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        keys = [np.unique(x, return_counts=True) for x in ids]
+        keys = [counted(x) for x in ids]
         length = np.array([len(x) for x in ids], np.float64)
         doc = np.repeat(np.arange(len(ids)), [len(k) for k, _ in keys])
         self.term = np.concatenate([k for k, _ in keys]).astype(np.int64) if keys else np.zeros(0, np.int64)
@@ -45,24 +71,159 @@ class Index:
         norm = K1 * (1 - B + B * length / max(mean_length, 1.0))
         self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[doc])
         self.begin = np.concatenate([[0], np.cumsum([len(k) for k, _ in keys])]).astype(np.int64)
-        order = np.argsort(self.term, kind="stable")
-        self.by_term, self.by_weight = doc[order], self.weight[order]
-        self.first = np.searchsorted(self.term[order], np.arange((1 << 16) + 1))
+        self.doc = doc
+        self.order = np.argsort(self.term, kind="stable")
+        self.slot = np.arange(len(ids))  # where a document's scores lie; kept() closes the gaps
         self.docs = len(ids)
+        self._post(self.order)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, best first; ties by place."""
+    def _post(self, order: np.ndarray) -> None:
+        """Postings by term; those of a term in many documents as a row over all of them."""
+        term, doc, weight = self.term[order], self.slot[self.doc[order]], self.weight[order]
+        self.by_term, self.by_weight = doc, weight
+        self.first = np.searchsorted(term, np.arange((1 << 16) + 1))
+        number = np.diff(self.first)
+        frequent = np.flatnonzero(number * DENSE > self.docs)
+        self.row = np.full(1 << 16, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.docs))
+        some = self.row[term] >= 0
+        self.rows[self.row[term[some]], doc[some]] = weight[some]
+
+    def kept(self, unused: np.ndarray) -> None:
+        """Leave the postings of used documents."""
+        self.order = self.order[unused[self.doc[self.order]]]
+        self.slot = np.cumsum(unused) - 1
+        self.docs = int(unused.sum())
+        self._post(self.order)
+
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """BM25 of every unused document for the seed's terms; 0 for others."""
         own = slice(self.begin[seed], self.begin[seed + 1])
         terms, weights = self.term[own], self.weight[own]
         if len(terms) > QUERY_TERMS:
             terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
-        lists = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        docs = np.concatenate([self.by_term[x] for x in lists])
-        score = np.bincount(docs, np.concatenate([self.by_weight[x] for x in lists]), self.docs) * unused
+        row = self.row[terms]
+        rare = terms[row < 0]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        if len(rare):
+            lists = list(map(slice, self.first[rare].tolist(), self.first[rare + 1].tolist()))
+            docs = np.concatenate([self.by_term[x] for x in lists])
+            score += np.bincount(docs, np.concatenate([self.by_weight[x] for x in lists]), self.docs)
+        return np.where(unused, score[np.minimum(self.slot, self.docs - 1)], 0.0)
+
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best first; ties by place. Sorted as far as they are asked for."""
+        score = self.scores(seed, unused)
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))]
+        while len(found):
+            least = np.partition(score[found], -STEP)[-STEP] if len(found) > STEP else 0.0
+            best = found[score[found] >= least]
+            yield from best[np.lexsort((best, -score[best]))].tolist()
+            found = found[score[found] < least]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        return np.array(list(self.ranked(seed, unused)), np.int64)
+
+
+def projection(seed: int = 7) -> np.ndarray:
+    """A row of random signs per token id."""
+    return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (1 << 16, DIMENSIONS))
+
+
+class Sketch:
+    """Unit vectors of few dimensions that keep the cosines of documents' BM25 vectors nearly."""
+
+    def __init__(self, idf: np.ndarray, mean_length: float):
+        self.idf, self.mean_length, self.signs = idf, max(mean_length, 1.0), projection()
+
+    def vectors(self, ids: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(ids), DIMENSIONS), np.float32)
+        for i, x in enumerate(ids):
+            term, count = counted(x)
+            weight = self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(x) / self.mean_length))
+            out[i] = weight.astype(np.float32) @ self.signs[term]
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def centres_of(vectors: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centres of spherical k-means, in an order in which neighbours are alike."""
+    rng = np.random.default_rng(11)
+    centres = vectors[np.sort(rng.choice(len(vectors), min(cells, len(vectors)), replace=False))]
+    for _ in range(ROUNDS):
+        home, _ = two_nearest(vectors, centres)
+        order = np.argsort(home, kind="stable")
+        held, at = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(vectors[order], at, axis=0)
+        centres = centres.copy()
+        centres[held] = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-12)
+    chain, left = [0], np.ones(len(centres), bool)
+    left[0] = False
+    while left.any():
+        chain.append(int(np.where(left, centres @ centres[chain[-1]], -2).argmax()))
+        left[chain[-1]] = False
+    return centres[chain]
+
+
+def two_nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cell, side = np.zeros(len(vectors), np.int64), np.zeros(len(vectors), np.int64)
+    for at in range(0, len(vectors), 2048):
+        cosine = vectors[at : at + 2048] @ centres.T
+        cell[at : at + 2048] = best = cosine.argmax(axis=1)
+        cosine[np.arange(len(cosine)), best] = -2
+        side[at : at + 2048] = cosine.argmax(axis=1)
+    return cell, side
+
+
+def overlap_keys(ids: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of each document; the more runs of RUN ids two documents share, the likelier they share a key."""
+    data = np.concatenate([*ids, np.zeros(RUN - 1, np.uint16)]).astype(np.uint64)
+    runs = np.zeros(len(data) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        runs |= data[k : k + len(runs)] << np.uint64(16 * k)
+    size = np.array([len(x) for x in ids])
+    # A document's last runs would go over its end; one of fewer ids has one run, its first, with what follows cut off.
+    number = np.maximum(1, size - RUN + 1)
+    first = np.cumsum(size) - size
+    doc = np.repeat(np.arange(len(ids)), number)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number) + first[doc]
+    found = runs[at]
+    short = (size < RUN)[doc]
+    found[short] &= (np.uint64(1) << (np.uint64(16) * size[doc[short]].astype(np.uint64))) - np.uint64(1)
+    found = mix64(found + np.uint64(0x9E3779B97F4A7C15))
+    bins = 2 * BANDS
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = np.full(len(ids) * bins, none)
+    np.minimum.at(least, doc * bins + (found & np.uint64(bins - 1)).astype(np.int64), found)
+    least = least.reshape(len(ids), bins)
+    filled = least.copy()
+    for k in range(1, bins):  # an empty bin borrows from the next full one
+        filled = np.where(filled == none, np.roll(least, -k, axis=1), filled)
+    band = np.arange(BANDS, dtype=np.uint64)
+    return mix64(filled[:, 0::2] ^ mix64(filled[:, 1::2] + band)).view(np.int64)
+
+
+def shards_of(parts: list[tuple[int, int, int, int]]) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """First shard and number of shards of every (cell, side, fine), in order, from their ids: (cell, side, fine, ids).
+
+    Parts in order share a shard while they fit it; one that is larger by itself has several. A cell that fits a shard
+    isn't divided between two.
+    """
+    out, shard, filled = {}, 0, 0
+    whole: dict[int, int] = {}
+    for cell, _, _, n in parts:
+        whole[cell] = whole.get(cell, 0) + n
+    before = None
+    for cell, side, fine, n in sorted(parts):
+        fresh = cell != before
+        before = cell
+        need = whole[cell] if fresh and whole[cell] <= SHARD_TOKENS else n
+        if filled and filled + need > SHARD_TOKENS and (fresh or whole[cell] > SHARD_TOKENS):
+            shard, filled = shard + 1, 0
+        many = max(1, -(-n // (2 * SHARD_TOKENS)))
+        out[cell, side, fine] = (shard, many)
+        shard, filled = (shard + many, 0) if many > 1 else (shard, filled + n)
+    return out
 
 
 def pack(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -96,11 +257,13 @@ def pack(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int
         seed, cut = (following if cut is None else cut), None
         while not place(seed):
             pass
-        if offset:
-            for i in index.neighbours(seed, unused):
-                whole = place(int(i))
+        if offset and (number := int(unused.sum())):
+            if number <= index.docs * 3 // 4:
+                index.kept(unused)
+            for i in index.ranked(seed, unused):
+                whole = place(i)
                 if offset == 0:
-                    cut = None if whole else int(i)
+                    cut = None if whole else i
                     break
 
 
@@ -113,19 +276,55 @@ def packed(docs: DataFrame, end_id: int = 1, window: int = WINDOW) -> DataFrame:
     idf = np.log1p((count - frequency + 0.5) / (frequency + 0.5))
     mean_length = (total or 0) / max(1, count)
 
+    cells = min(shards, MOST_CELLS)
+    centres = None
+    if shards > 1:
+        # Copies of a text are sampled once.
+        content = F.xxhash64("ids", F.lit(3))
+        place = F.shiftrightunsigned(content, 2) / F.lit(float(1 << 62))
+        sample = tokens.withColumn("content", content).filter(place < min(1.0, CELL_SAMPLE * cells / count))
+
+        def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sketch = Sketch(idf, mean_length)
+            for batch in batches:
+                ids = [np.frombuffer(x.as_buffer(), np.uint16)[:CHUNK] for x in batch.column(1)]
+                found = [v.tobytes() for v in sketch.vectors(ids)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["content", "vec"])
+
+        rows = sample.select("content", "ids").mapInArrow(sketched, "content bigint, vec binary")
+        rows = rows.groupBy("content").agg(F.min("vec").alias("vec")).orderBy("content").collect()  # about CELL_SAMPLE a cell
+        if len(rows) > 1:
+            centres = centres_of(np.array([np.frombuffer(r.vec, np.float32) for r in rows]), cells)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # In turn, begun at a place of the partition's own: even, whatever the keys are.
+        sketch = Sketch(idf, mean_length) if centres is not None and len(centres) > 1 else None
+        # The order of parts that are split evenly, begun at a place of the partition's own.
         turn = TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            rows = []
+        for batch in pieces_of(batches, 2 * SLICE_IDS, "ids"):
+            rows, parts = [], []
             for doc_id, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 packed_ids = ids.as_buffer()
                 for start in range(0, n, CHUNK):
                     turn += 1
-                    rows.append((turn % shards, doc_id, start, n, packed_ids[2 * start : 2 * min(n, start + CHUNK)].to_pybytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "before", "doc_tokens", "ids"])
+                    part = packed_ids[2 * start : 2 * min(n, start + CHUNK)].to_pybytes()
+                    parts.append(np.frombuffer(part, np.uint16))
+                    rows.append((zlib.crc32(part) % FINE, turn, doc_id, start, n, part))
+            if not rows:
+                continue
+            cell = side = np.zeros(len(rows), np.int64)
+            keys = np.zeros((len(rows), 0), np.int64)
+            if shards > 1:
+                at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                keys = np.concatenate([overlap_keys(parts[a:b]) for a, b in slices_by_size(at, SLICE_IDS)])
+            if sketch:
+                cell, side = two_nearest(sketch.vectors(parts), centres)
+                side = side * SIDES // len(centres)
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)]
+            cuts = pa.array(np.arange(len(rows) + 1) * keys.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell), pa.array(side), *columns, pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))],
+                names=["cell", "side", "fine", "turn", "doc_id", "before", "doc_tokens", "ids", "keys"],
+            )
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("before", "ascending"), ("ids", "ascending")])
@@ -146,5 +345,51 @@ def packed(docs: DataFrame, end_id: int = 1, window: int = WINDOW) -> DataFrame:
             }
         )
 
-    dealt = tokens.mapInArrow(deal, "shard bigint, doc_id bigint, before bigint, doc_tokens bigint, ids binary")
-    return dealt.groupBy("shard").applyInArrow(fill, PIECES)
+    dealt = tokens.mapInArrow(
+        deal,
+        "cell bigint, side bigint, fine bigint, turn bigint, doc_id bigint, before bigint, doc_tokens bigint, ids binary, keys array<bigint>",
+    )
+    return with_shards(dealt, shards).groupBy("shard").applyInArrow(fill, PIECES)
+
+
+def with_shards(dealt: DataFrame, shards: int) -> DataFrame:
+    """The rows of dealt with their shard."""
+    columns = ["shard", "doc_id", "before", "doc_tokens", "ids"]
+    if shards == 1:
+        return dealt.withColumn("shard", F.lit(0).cast("bigint")).select(columns)
+    spark = dealt.sparkSession
+    dealt = stored(dealt.withColumn("content", F.xxhash64("ids")), "packing-cells")
+    place = F.struct("content", "cell", "side", "fine")
+    keyed = dealt.select("content", place.alias("place"), F.explode("keys").alias("key"))
+    # Copies of a text have all keys in common: they count once.
+    keyed = keyed.groupBy("key", "content").agg(F.min("place").alias("place"))
+    shared = keyed.groupBy("key").agg(F.min("place").alias("lead"), F.max("content").alias("last")).filter("lead.content < last")
+    leads = keyed.join(shared, "key").groupBy("content").agg(F.min("lead").alias("lead")).filter("lead.content < content")
+    leads = stored(leads.select("content", "lead"), "packing-leads")
+    if leads.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        leads = F.broadcast(leads)
+    dealt = dealt.join(leads, "content", "left")
+    own = {c: F.coalesce(F.col(f"lead.{c}"), F.col(c)) for c in ("cell", "side", "fine")}
+    dealt = dealt.select(*[x.alias(c) for c, x in own.items()], "turn", "doc_id", "before", "doc_tokens", "ids")
+    ids = F.sum(F.length("ids") / 2).cast("bigint").alias("n")
+    # Only what is hot is divided: a cell by sides, a side by content. At most MOST_CELLS * SIDES rows, then FINE a shard.
+    sums = [tuple(r) for r in dealt.groupBy("cell", "side").agg(ids).collect()]
+    whole: dict[int, int] = {}
+    for cell, _, n in sums:
+        whole[cell] = whole.get(cell, 0) + n
+    split = [(c, s, s if whole[c] > SHARD_TOKENS else -1, n > SHARD_TOKENS) for c, s, n in sums]
+    split = spark.createDataFrame(split, "cell bigint, side bigint, by_side bigint, hot boolean")
+    dealt = dealt.join(F.broadcast(split), ["cell", "side"])
+    dealt = dealt.withColumn("by_fine", F.when(F.col("hot"), F.col("fine")).otherwise(F.lit(-1).cast("bigint")))
+    parts: dict[tuple[int, int, int], int] = {}
+    for cell, side, n in sums:
+        if n <= SHARD_TOKENS:
+            key = (cell, side if whole[cell] > SHARD_TOKENS else -1, -1)
+            parts[key] = parts.get(key, 0) + n
+    if any(n > SHARD_TOKENS for *_, n in sums):
+        for r in dealt.filter("hot").groupBy("cell", "side", "by_fine").agg(ids).collect():
+            parts[r.cell, r.side, r.by_fine] = r.n
+    rows = [(*k, *v) for k, v in shards_of([(*k, n) for k, n in parts.items()]).items()]
+    known = spark.createDataFrame(rows, "cell bigint, by_side bigint, by_fine bigint, first bigint, many bigint")
+    dealt = dealt.join(F.broadcast(known), ["cell", "by_side", "by_fine"])
+    return dealt.withColumn("shard", F.col("first") + F.pmod("turn", "many")).select(columns)

@@ -68,6 +68,59 @@ def test_packing_in_shards(tokenizer, corpus_docs, corpus, monkeypatch):
     assert check_pieces(tokenizer, corpus, found, 256) <= shards
 
 
+def test_near_texts_share_a_shard_at_every_number_of_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(150):
+        some = rng.integers(0, 900, 200)
+        near = some.copy()
+        near[rng.integers(0, 200, 5)] = 7
+        for copy in (some, near):
+            rows.append((len(rows), " ".join(word[k] for k in copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for most in (60_000, 12_000):
+        monkeypatch.setattr(packing, "SHARD_TOKENS", most)
+        shards = {}
+        for p in packing.packed(docs, window=256).collect():
+            shards.setdefault(p.doc_id, set()).add(p.sequence_id >> 32)
+        assert len({s for found in shards.values() for s in found}) > 2
+        together = [bool(shards[i] & shards[i + 1]) for i in range(0, len(rows), 2)]
+        assert np.mean(together) > 0.95
+
+
+def test_hot_text_is_spread(spark, monkeypatch):
+    """A text in most rows, without ids: its shards stay bounded."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 3_000)
+    rows = [(None, "same words here " * 20)] * 300 + [(i, f"other{i} text " * 20) for i in range(100)]
+    found = packing.packed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), window=64).collect()
+    size = {}
+    for p in found:
+        size[p.sequence_id >> 32] = size.get(p.sequence_id >> 32, 0) + p.length
+    assert sum(size.values()) / len(size) > 1_000 and max(size.values()) <= 9_000
+
+
+def test_windows_go_on_beyond_the_first_candidates():
+    """A seed shares its one rare id with 200 short documents: all of them come before others."""
+    ids = [np.array([5] * 3 + list(range(1000, 1040)), np.uint16)]
+    ids += [np.array([2000 + i, 2001 + i], np.uint16) for i in range(0, 400, 2)]
+    ids += [np.array([5, 3000 + i], np.uint16) for i in range(200)]
+    pieces = packing.pack(ids, np.ones(1 << 16), 3.0, window=443)
+    first = {doc for doc, *_, sequence, _ in pieces if sequence == 0}
+    assert first == {0, *range(201, 401)}
+
+
+def test_dropping_used_documents_changes_no_score():
+    rng = np.random.default_rng(8)
+    ids = [rng.zipf(1.3, rng.integers(2, 60)).clip(0, 3000).astype(np.uint16) for _ in range(120)]
+    unused = rng.random(120) < 0.5
+    index = packing.Index(ids, np.linspace(3, 1, 1 << 16), 30.0)
+    before = [index.scores(i, unused) for i in range(120)]
+    index.kept(unused)
+    for i in range(120):
+        assert np.allclose(before[i], index.scores(i, unused))
+
+
 def test_index_ranks_by_bm25():
     rng = np.random.default_rng(3)
     ids = [rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint16) for _ in range(50)]
