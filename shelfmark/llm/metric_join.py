@@ -30,6 +30,8 @@ CELL = 2048  # classes for which a label gets a further pivot
 MOST_PIVOTS = 1024  # of one label
 ALL_PIVOTS = 16_384  # of all labels; they travel with the job
 SLICE = 8192
+SLACK = 1e-9  # of squared distances; well above their rounding errors, which a bound that goes to 0 wouldn't cover
+SAME = 1e-5  # pivots nearer than this are one
 EDGE = 1e-9  # cosines this near the threshold are computed again
 
 
@@ -89,7 +91,18 @@ def choose_pivots(classes: DataFrame) -> dict[str, np.ndarray]:
     out: dict[str, list] = {}
     for r in sorted(found, key=lambda r: r["key"]):
         out.setdefault(r["grp"], []).append(np.frombuffer(r["vec"]))
-    return {g: unit(np.array(v)) for g, v in out.items() if len(v) >= 2}
+    apart = {g: directions(unit(np.array(v))) for g, v in out.items()}
+    return {g: v for g, v in apart.items() if len(v) >= 2}
+
+
+def directions(pivots: np.ndarray) -> np.ndarray:
+    """Pivots without those that lie at an earlier one: they would share all that is near and split nothing."""
+    near = 2 - 2 * (pivots @ pivots.T) < SAME**2
+    kept: list[int] = []
+    for i in range(len(pivots)):
+        if not near[i, kept].any():
+            kept.append(i)
+    return pivots[kept]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -104,9 +117,10 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarra
     home = distance.argmin(axis=1)
     own = distance[np.arange(len(x)), home]
     by_triangle = distance <= own[:, None] + 2 * reach
-    between = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))[home]
-    # Distance to the plane between the own pivot and the other one.
-    by_plane = distance**2 - own[:, None] ** 2 <= 2 * reach * between
+    between = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)) + SLACK)[home]
+    # Distance to the plane between the own pivot and the other one, times twice the distance between both: pivots of
+    # one direction have no plane, so what lies at both is copied.
+    by_plane = distance**2 - own[:, None] ** 2 <= 2 * reach * between + SLACK
     near = by_triangle & by_plane
     near[np.arange(len(x)), home] = True
     return home, near

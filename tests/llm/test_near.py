@@ -175,6 +175,25 @@ def test_copies_reach_every_cell_in_range():
     assert close[b, home[a]].all() and not close.all()
 
 
+def test_copies_reach_cells_of_equal_pivots():
+    rng = np.random.default_rng(12)
+    x = metric_join.unit(rng.normal(size=8) * rng.uniform(0.1, 10, (300, 1)))
+    home, close = metric_join.cells_of(x, x[:40], 0.2)
+    assert close[:, np.unique(home)].all()
+    assert len(metric_join.directions(x[:40])) == 1
+
+
+def test_scaled_copies_of_a_vector_link(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 4)
+    rng = np.random.default_rng(13)
+    one = rng.normal(size=8)
+    rows = [(i, (one * rng.uniform(0.1, 10)).astype(np.float32).tolist(), 0) for i in range(200)]
+    rows += [(200 + i, rng.normal(size=8).astype(np.float32).tolist(), 0) for i in range(100)]
+    links = brute_links([(*r, None) for r in rows])
+    found = metric_join.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in found} == {i: len(js) for i, js in links.items()}
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<double>, label int")
     assert metric_join.near_vectors(empty).count() == 0
