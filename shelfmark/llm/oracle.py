@@ -55,4 +55,28 @@ counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT v.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept
 FROM vectors AS v JOIN least AS l ON l.x = v.vec_id LEFT JOIN counted AS c ON c.x = v.vec_id"""
 
-ORACLE: dict[str, str] = {"op10_metric_range_join": _OP10, "op7_secret_ledger": _OP7}
+_OP12 = """
+WITH rows_ AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+positives AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS positive_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS positive_score
+    FROM rows_ AS a JOIN rows_ AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 100 = 0
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY positive_score DESC, b.vec_id) <= 5),
+others AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS negative_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS negative_score
+    FROM rows_ AS a JOIN rows_ AS b ON a.label <> b.label AND len(a.v) = len(b.v)
+    WHERE a.vec_id % 100 = 0),
+ranked AS (
+    SELECT anchor_id, positive_id, negative_id, positive_score, negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS place
+    FROM positives JOIN others USING (anchor_id)
+    WHERE 30 * positive_score <= 100 * negative_score AND 100 * negative_score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE place <= 10"""
+
+ORACLE: dict[str, str] = {"op10_metric_range_join": _OP10, "op12_hilbert_negatives": _OP12, "op7_secret_ledger": _OP7}
