@@ -75,18 +75,27 @@ def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+def built_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """The folder of something that is built once per session, as catalogs and indexes are in practice."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        folder = new_folder(spark, name)
+        build(folder)
+        _STORED[key] = folder
+    return _STORED[key]
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A view written down once per session, as catalogs are in practice.
+    """A view written down once per session.
 
     Left as a view, Catalyst would infer the formulas behind its columns as
     filters on every table joined to it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        folder = new_folder(spark, name)
+
+    def build(folder: str) -> None:
         make().write.mode("overwrite").parquet(folder)
-        _STORED[key] = folder
-    return spark.read.parquet(_STORED[key])
+
+    return spark.read.parquet(built_once(spark, sf_dir, name, build))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

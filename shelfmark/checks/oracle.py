@@ -694,8 +694,46 @@ TEXT_FOUND = {
 ORACLE["search_catalog"] = statement(
     store_search(TEXT_FOUND, StoreSearchOptions()), "SELECT * FROM results"
 )
-# A search of all cells finds what an exact one does.
-ORACLE["search_catalog_ivf"] = ORACLE["search_catalog"]
+TEXT_CELLS = {
+    **{name: part for name, part in TEXT_FOUND.items() if name != "found"},
+    "centres": f"""SELECT cell, pos, CAST(CAST(avg(vec[pos]) AS FLOAT) AS DOUBLE) AS c
+FROM (SELECT product_id % {CELLS} AS cell, vec, unnest(range(1, {DIM} + 1)) AS pos FROM items)
+GROUP BY cell, pos""",
+    "centroids": "SELECT cell, list(c ORDER BY pos) AS centre FROM centres GROUP BY cell",
+    "assigned": f"""SELECT product_id, vec, norm, cell FROM (
+  SELECT v.*, c.cell, row_number() OVER (
+    PARTITION BY v.product_id ORDER BY {squared('v.vec', 'c.centre')}, c.cell) AS nth
+  FROM items v, centroids c)
+WHERE nth = 1""",
+    "probed": f"""SELECT query_id, cell FROM (
+  SELECT q.query_id, c.cell, row_number() OVER (
+    PARTITION BY q.query_id ORDER BY {squared('q.vec', 'c.centre')}, c.cell) AS nth
+  FROM asked q, centroids c)
+WHERE nth <= {PROBES}""",
+    "found": ranked_pairs(
+        TEXT_DISTANCE,
+        StoreSearchOptions.top_k * StoreSearchOptions.fetch_multiplier,
+        "asked q JOIN probed p USING (query_id) JOIN assigned v ON v.cell = p.cell",
+    ),
+}
+ORACLE["search_catalog_ivf"] = statement(
+    store_search(TEXT_CELLS, StoreSearchOptions()), "SELECT * FROM results"
+)
+# Filtering first: every pair is a candidate.
+ALL_PAIRS = 1 << 40
+TEXT_ALL = {**TEXT_FOUND, "found": ranked_pairs(TEXT_DISTANCE, ALL_PAIRS, "asked q, items v")}
+ORACLE["search_pre"] = statement(
+    store_search(TEXT_ALL, StoreSearchOptions()), "SELECT * FROM results"
+)
+ORACLE["one_pass_queries_held"] = ORACLE["one_pass_vectors_held"] = statement(
+    {
+        **TEXT_FOUND,
+        "texts": "SELECT query_id, query_text AS cleaned_query FROM searches",
+        "found": ranked_pairs(TEXT_DISTANCE, 200 * K, "asked q, items v"),
+    },
+    """SELECT query_id, count(*) AS candidates, CAST(round(max(cost), 6) AS DOUBLE) AS farthest
+FROM found GROUP BY query_id""",
+)
 ORACLE["knn_large"] = statement(
     {
         **cleaned(),
@@ -725,6 +763,24 @@ LEFT JOIN (SELECT query_id, count(*) AS n FROM results WHERE price >= 1.0 GROUP
 USING (query_id)""",
 )
 
+ORACLE["knn_matching"] = statement(
+    {
+        **PRODUCTS,
+        **ASKED,
+        "hints": HINTS,
+        "found": ranked_pairs(
+            squared("q.embedding", "v.embedding"),
+            K,
+            """asked q JOIN hints h USING (query_id), vectors v JOIN products p USING (product_id)
+WHERE p.price >= 1.0 AND (h.min_price IS NULL OR p.price BETWEEN h.min_price AND h.max_price)
+  AND (h.brand_hint IS NULL OR contains(lower(p.brand), h.brand_hint))
+  AND (h.min_rating IS NULL OR h.min_rating <= 0 OR p.stars >= h.min_rating)
+  AND (q.query_id % 11 <> 0 OR p.isBestSeller)""",
+        ),
+    },
+    NEIGHBOURS,
+)
+
 RANKED_TOP, RANKED_FETCH = 50, 150
 RANKED = {
     **PRODUCTS,
@@ -744,6 +800,22 @@ for _method, _order in ORDERS.items():
   printf('%.1f ★', stars) AS stars_formatted, round(distance, 6) AS distance
 FROM (SELECT *, {place(_order)} FROM hybrid) WHERE rank <= {RANKED_TOP}""",
     )
+ORACLE["search_ranked_pre"] = statement(
+    {
+        **{name: part for name, part in RANKED.items() if name not in ("found", "matching", "parts", "hybrid")},
+        "matching": f"""SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, product_id) AS nth FROM (
+    SELECT q.query_id, {squared('q.embedding', 'v.embedding')} AS distance, p.*
+    FROM asked q JOIN hints h USING (query_id), vectors v JOIN products p USING (product_id)
+    WHERE (h.min_price IS NULL OR p.price BETWEEN h.min_price AND h.max_price)
+      AND (h.brand_hint IS NULL OR contains(lower(p.brand), h.brand_hint))
+      AND (h.min_rating IS NULL OR p.stars >= h.min_rating)))
+WHERE nth <= {RANKED_FETCH}""",
+    },
+    f"""SELECT query_id, product_id, rank, printf('$%.2f', price) AS price_formatted,
+  printf('%.1f ★', stars) AS stars_formatted, round(distance, 6) AS distance
+FROM (SELECT *, {place(ORDERS['price'])} FROM matching) WHERE rank <= {RANKED_TOP}""",
+)
 ORACLE["search_ranked_ivf"] = statement(
     {
         **PRODUCTS,

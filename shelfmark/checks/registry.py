@@ -13,8 +13,21 @@ from shelfmark.functions import formatting as fmt
 from shelfmark.functions import query_text as qt
 from shelfmark.functions.prices import parse_price
 from shelfmark.functions.text import drop_special, first_words
-from shelfmark.operators import blocks, categories, cleaning, encode, filters, ivf, lsh, pq, ranking
+from shelfmark.operators import (
+    blocks,
+    categories,
+    cleaning,
+    encode,
+    filtered,
+    filters,
+    ivf,
+    lsh,
+    one_pass,
+    pq,
+    ranking,
+)
 from shelfmark.operators.blocks import taken_block
+from shelfmark.operators.filtered import RANKED_RULE
 from shelfmark.operators.knn import attach_products, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.results import image, link, result_lines, result_rows, search_summary
@@ -32,6 +45,7 @@ from shelfmark.plans.search import (
     flat_index,
     ivf_index,
     join_searches,
+    matching_index,
     parsed_prices,
     ranked_search,
     search_lines,
@@ -394,14 +408,47 @@ def ivf_probe_ip(spark, sf_dir):
 
 @query
 def knn_large(spark, sf_dir):
-    """All searches on all products by the plan for two large sides, in several rounds."""
+    """All searches on all products by the plan for two large sides, in several groups."""
     products = stored_catalog(spark, sf_dir)[1].drop("probe")
     asked = _encoder(fx.searches(spark, sf_dir).select("query_id", "query_text"), "query_text")
     path = new_folder(spark, "asked")
     asked.select("query_id", "embedding").write.mode("overwrite").parquet(path)
     asked = spark.read.parquet(path)
-    quarter = asked.count() * DIM * 4 // 4 + 1  # bytes: several rounds at any size
-    found = nearest(asked, products, K, block_rows=0, side_rows=0, round_bytes=quarter)
+    quarter = asked.count() * DIM * 4 // 4 + 1  # bytes: several groups at any size
+    found = nearest(asked, products, K, block_rows=0, side_rows=0, held_bytes=quarter)
+    return found.select("query_id", "product_id", *rounded("distance"))
+
+
+def _one_pass(spark, sf_dir, hold: str) -> DataFrame:
+    """The 2000 nearest of all products for all searches; both sides are read once."""
+    products = stored_catalog(spark, sf_dir)[1].drop("probe")
+    asked = _encoder(fx.searches(spark, sf_dir).select("query_id", "query_text"), "query_text")
+    path = new_folder(spark, "asked")
+    asked.select("query_id", "embedding").write.mode("overwrite").parquet(path)
+    found = one_pass.search(spark.read.parquet(path), products, 200 * K, hold=hold)
+    return found.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.round(F.max("cost"), 6).alias("farthest")
+    )
+
+
+@query
+def one_pass_queries_held(spark, sf_dir):
+    return _one_pass(spark, sf_dir, "queries")
+
+
+@query
+def one_pass_vectors_held(spark, sf_dir):
+    return _one_pass(spark, sf_dir, "vectors")
+
+
+@query
+def knn_matching(spark, sf_dir):
+    """The nearest of the products that each search's filters let pass."""
+    items = fx.vectors(spark, sf_dir).drop("cell").join(fx.products(spark, sf_dir), "product_id")
+    asked = extracted_filters(fx.vector_searches(spark, sf_dir)).withColumn(
+        "bestsellers_only", F.col("query_id") % 11 == 0
+    )
+    found = filtered.nearest_matching(asked, items, K)
     return found.select("query_id", "product_id", *rounded("distance"))
 
 
@@ -714,13 +761,35 @@ def _shown(df: DataFrame) -> DataFrame:
 
 
 def stored_catalog(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The processed catalog and its vectors, built once and read back."""
-    catalog, vectors = new_folder(spark, "catalog"), new_folder(spark, "encoded")
-    built = jobs.build_catalog(fx.catalog(spark, sf_dir), "product_id")
-    built.write.mode("overwrite").parquet(catalog)
-    processed = spark.read.parquet(catalog)
-    indexes.write_flat(_encoder(processed, embedding_input(processed)), vectors)
-    return processed, indexes.read_flat(spark, vectors)
+    """The processed catalog and its vectors, built once a session and read back."""
+
+    def build(catalog: str) -> None:
+        built = jobs.build_catalog(fx.catalog(spark, sf_dir), "product_id")
+        built.write.mode("overwrite").parquet(catalog)
+
+    processed = spark.read.parquet(fx.built_once(spark, sf_dir, "built-catalog", build))
+
+    def encode_all(vectors: str) -> None:
+        indexes.write_flat(_encoder(processed, embedding_input(processed)), vectors)
+
+    return processed, indexes.read_flat(spark, fx.built_once(spark, sf_dir, "encoded", encode_all))
+
+
+def stored_cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The catalog's vectors in cells, a folder each, and the centroids; built once a session."""
+    vectors = stored_catalog(spark, sf_dir)[1]
+
+    def build(path: str) -> None:
+        # given centres: the mean vector of the products of every last digit
+        marked = blocks.unpack(vectors, "embedding").withColumn("cell", F.col("product_id") % CELLS)
+        centroids = ivf.label_centroids(marked, "cell").persist()
+        assigned = ivf.assign_cells(vectors.drop("probe"), centroids).persist()
+        sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+        indexes.write_cells(assigned, centroids, path, sizes)
+        assigned.unpersist()
+        centroids.unpersist()
+
+    return indexes.read_cells(spark, fx.built_once(spark, sf_dir, "cells", build))
 
 
 @query
@@ -738,21 +807,53 @@ def search_catalog(spark, sf_dir):
 
 @query
 def search_catalog_ivf(spark, sf_dir):
+    """Text searches that look into the 3 nearest of 10 stored cells."""
+    processed = stored_catalog(spark, sf_dir)[0]
+    cells, centroids = stored_cells(spark, sf_dir)
+    found = store_search(
+        fx.searches(spark, sf_dir),
+        processed,
+        ivf_index(cells, centroids, PROBES),
+        _taxonomy(spark),
+        encode=_encoder,
+    )
+    return _shown(found)
+
+
+@query
+def search_pre(spark, sf_dir):
+    """Text searches that filter first: the nearest products that pass, however far down they lie."""
     processed, vectors = stored_catalog(spark, sf_dir)
-    # given centres: the mean vector of the products of every last digit
-    cells = blocks.unpack(vectors, "embedding").withColumn("cell", F.col("product_id") % CELLS)
-    centroids = ivf.label_centroids(cells, "cell")
-    assigned = ivf.assign_cells(vectors, centroids)
+    path = fx.built_once(
+        spark, sf_dir, "matching", lambda folder: indexes.write_matching(vectors, processed, folder)
+    )
     found = store_search(
         fx.searches(spark, sf_dir),
         processed,
-        ivf_index(assigned, centroids, CELLS),
+        matching_index(indexes.read_matching(spark, path)),
         _taxonomy(spark),
         encode=_encoder,
+        filter_first=True,
     )
     return _shown(found)
 
 
+@query
+def search_ranked_pre(spark, sf_dir):
+    products = fx.products(spark, sf_dir)
+    items = fx.vectors(spark, sf_dir).drop("cell").join(products, "product_id")
+    found = ranked_search(
+        fx.vector_searches(spark, sf_dir),
+        products,
+        matching_index(items, rule=RANKED_RULE),
+        RankedSearchOptions(method="price"),
+        filter_first=True,
+    )
+    return found.select(
+        "query_id", "product_id", "rank", "price_formatted", "stars_formatted", *rounded("distance")
+    )
+
+
 @query
 def search_ranked_ivf(spark, sf_dir):
     vectors = fx.vectors(spark, sf_dir)

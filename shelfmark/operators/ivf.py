@@ -18,6 +18,7 @@ from shelfmark.operators.knn import CELL, ITEM, QUERY, VECTOR, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
 from shelfmark.options import IvfOptions
+from shelfmark.sources.workspace import new_folder
 
 
 def training_rows(vectors: DataFrame, rows: int | None, seed: int) -> DataFrame:
@@ -89,10 +90,13 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, metric: str = "l2") -
     return vectors.mapInArrow(run, schema)
 
 
-def nearest_cells(queries: DataFrame, centroids: DataFrame, probes: int, metric: str = "l2") -> DataFrame:
+def nearest_cells(
+    queries: DataFrame, centroids: DataFrame, probes: int, metric: str = "l2", checked: bool = False
+) -> DataFrame:
     """(query_id, cell) of the ``probes`` nearest centroids of each query."""
     items = centroids.select(F.col(CELL).alias(ITEM), VECTOR)
-    return nearest(queries, items, probes, metric).select(QUERY, F.col(ITEM).alias(CELL))
+    found = nearest(queries, items, probes, metric, checked=checked)
+    return found.select(QUERY, F.col(ITEM).alias(CELL))
 
 
 def search_cells(
@@ -109,4 +113,7 @@ def search_cells(
     A query whose cells hold fewer than k vectors gets fewer rows.
     """
     probed = nearest_cells(queries, centroids, probes, metric)
-    return nearest(queries, cell_vectors, k, metric, query_cells=probed, **sizes)
+    path = new_folder(queries.sparkSession, "probed-cells")  # read several times
+    probed.write.parquet(path)
+    probed = queries.sparkSession.read.schema(probed.schema).parquet(path)
+    return nearest(queries, cell_vectors, k, metric, query_cells=probed, checked=True, **sizes)

@@ -5,9 +5,8 @@ Three plans give the same rows:
 * few vectors: they travel to every task, and the queries are scanned;
 * few queries: they travel instead, the vectors are scanned where they lie, and
   each task gives its best k per query;
-* both large: the side with fewer bytes is taken in rounds of bounded size, and
-  each round scans the other side where it lies. Neither side is shuffled or
-  copied; only results are.
+* both large: both sides are read once and meet in groups of bounded size
+  (``operators.one_pass``).
 
 A query id stands for one vector: an id that occurs twice is an error in every
 plan. No plan ever emits a row per (query, vector) pair. Ties go to the lower item
@@ -18,7 +17,7 @@ clustered and the hashed index search.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.operators import blocks
+from shelfmark.operators import blocks, one_pass
 from shelfmark.operators.blocks import (
     Block,
     core_tasks,
@@ -36,19 +35,13 @@ from shelfmark.operators.blocks import (
     matrix_of,
     scan_tasks,
     small_block,
-    taken_block,
-    vector_bytes,
 )
+from shelfmark.operators.one_pass import CELL, ITEM, QUERY, VECTOR, Loader
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
-from shelfmark.sources.workspace import new_folder
 
-QUERY, ITEM, VECTOR = "query_id", "product_id", "embedding"
-CELL, CELLS, PROBE = "cell", "cells", "probe"
-ROUND_FILL = 0.8  # hashed rounds are uneven: so much of a block is aimed at
+CELLS, PROBE = "cells", "probe"
 LITERAL_CELLS = 1000
 
-Loader = Callable[[pa.Array], np.ndarray]
-
 
 def distance_name(metric: str) -> str:
     """L2 searches give a squared ``distance``, IP searches a ``similarity``."""
@@ -67,7 +60,8 @@ def nearest(
     repeated: bool = False,
     block_rows: int = blocks.BLOCK_ROWS,
     side_rows: int = blocks.SIDE_ROWS,
-    round_bytes: int = blocks.BLOCK_BYTES,
+    held_bytes: int | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """(query_id, product_id, distance) of the k nearest vectors per query.
 
@@ -77,7 +71,7 @@ def nearest(
     vector may be stored in more than one cell. ``probe`` is a small part of
     ``vectors``; with many scan tasks, the k-th cost found in it limits what the
     tasks of the full scan return. ``load`` turns the stored vector column into
-    a matrix.
+    a matrix. ``checked`` says that no query id occurs twice.
     """
     if vectors.schema[ITEM].dataType.typeName() not in ("long", "integer", "short", "byte"):
         raise TypeError(f"{ITEM} must be a whole number")
@@ -87,14 +81,14 @@ def nearest(
     vectors = vectors.select(*columns)
     queries = queries.select(QUERY, VECTOR)
 
-    if not queries.groupBy(QUERY).count().where("count > 1").isEmpty():
+    if not checked and not queries.groupBy(QUERY).count().where("count > 1").isEmpty():
         raise ValueError(f"a {QUERY} occurs more than once")
 
     plain = query_cells is None and load is matrix_of
     if plain:
         side = small_block(vectors, ITEM, VECTOR, side_rows)
         if side is not None:
-            return _named(_scan_queries(queries, side, k, metric), metric)
+            return named(_scan_queries(queries, side, k, metric), metric)
     block = query_block(queries, k, block_rows)
     if block is not None:
         bound = None
@@ -104,10 +98,17 @@ def nearest(
             queries, block, vectors, k, metric, query_cells, load, bound
         )
     else:
-        found, partials = _rounds(queries, vectors, k, metric, query_cells, load, probe, plain, round_bytes)
+        if query_cells is not None:
+            found = one_pass.search_groups(
+                queries, vectors, query_cells, k, metric, load=load, held_bytes=held_bytes, repeated=repeated
+            )
+        else:
+            small = probe.select(*columns) if probe is not None else None
+            found = one_pass.search(queries, vectors, k, metric, load=load, probe=small, held_bytes=held_bytes)
+        return named(found, metric)
     if repeated:
         found = found.groupBy(QUERY, ITEM).agg(F.min("cost").alias("cost"))
-    return _named(merge_best(found, k, partials), metric)
+    return named(merge_best(found, k, partials), metric)
 
 
 def query_block(queries: DataFrame, k: int, rows: int = blocks.BLOCK_ROWS) -> Block | None:
@@ -135,12 +136,12 @@ def merge_best(found: DataFrame, k: int, partials: int) -> DataFrame:
     return found.withColumn("_nth", F.row_number().over(whole)).where(F.col("_nth") <= k).drop("_nth")
 
 
-def _named(found: DataFrame, metric: str) -> DataFrame:
+def named(found: DataFrame, metric: str) -> DataFrame:
     value: Column = F.col("cost") if metric == "l2" else -F.col("cost")
     return found.select(QUERY, ITEM, value.alias(distance_name(metric)))
 
 
-def _result_schema(queries: DataFrame) -> T.StructType:
+def result_schema(queries: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField(QUERY, queries.schema[QUERY].dataType),
@@ -150,7 +151,7 @@ def _result_schema(queries: DataFrame) -> T.StructType:
     )
 
 
-def _result_batches(best: BestPairs, ids: pa.Array, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+def result_batches(best: BestPairs, ids: pa.Array, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     query, item, cost = best.result()
     for low in range(0, len(query), rows):
         part = slice(low, low + rows)
@@ -195,9 +196,9 @@ def _scan_vectors(
             for cell in np.unique(cells):
                 inside = np.flatnonzero(cells == cell)
                 scan_block(best, matrix, asking[cell], items[inside], item_ids[inside], metric)
-        yield from _result_batches(best, ids)
+        yield from result_batches(best, ids)
 
-    return vectors.coalesce(tasks).mapInArrow(run, _result_schema(queries)), tasks
+    return vectors.coalesce(tasks).mapInArrow(run, result_schema(queries)), tasks
 
 
 def _pays_off(vectors: DataFrame, block: Block, k: int) -> bool:
@@ -248,58 +249,12 @@ def _scan_queries(queries: DataFrame, side: Block, k: int, metric: str) -> DataF
         for batch in filled(batches, VECTOR):
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                best = BestPairs(part.num_rows, k)
+                best = BestPairs(part.num_rows, k, repeated=False)
                 everyone = np.arange(part.num_rows)
                 scan_block(best, matrix_of(part.column(VECTOR)), everyone, items, item_ids, metric)
-                yield from _result_batches(best, part.column(QUERY))
-
-    return queries.mapInArrow(run, _result_schema(queries))
-
+                yield from result_batches(best, part.column(QUERY))
 
-def _rounds(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    metric: str,
-    query_cells: DataFrame | None,
-    load: Loader,
-    probe: DataFrame | None,
-    plain: bool,
-    round_bytes: int,
-) -> tuple[DataFrame, int]:
-    """Partial results of two large sides: one is scanned in place, once a round.
-
-    A round takes a hashed part of the other side, of about ``round_bytes``
-    (and, for queries, ``KEPT_PAIRS`` results and probes), to all scan tasks. Its
-    partial results go to the shared folder.
-    """
-    spark = queries.sparkSession
-    asked = queries.count()
-    per_query = k
-    if query_cells is not None:
-        per_query = max(k, -(-query_cells.count() // max(asked, 1)))
-    width = vector_bytes(queries, VECTOR)
-    fill = ROUND_FILL * min(round_bytes // width, blocks.KEPT_PAIRS // per_query)
-    by_query = math.ceil(asked / max(1, fill))
-    by_item = math.ceil(vectors.count() * width / (ROUND_FILL * round_bytes)) if plain else by_query + 1
-    path = new_folder(spark, "partial-results")
-    swap = by_item < by_query
-    rounds, key = (by_item, ITEM) if swap else (by_query, QUERY)
-    for at in range(rounds):
-        mine = F.pmod(F.xxhash64(key), F.lit(rounds)) == at
-        if swap:
-            side = taken_block(vectors.where(mine), ITEM, VECTOR)
-            found = _scan_queries(queries, side, k, metric)
-        else:
-            block = taken_block(queries.where(mine), QUERY, VECTOR)
-            cells = query_cells.where(mine) if query_cells is not None else None
-            bound = None
-            if probe is not None and cells is None and _pays_off(vectors, block, k):
-                bound = _probe_bound(queries, block, probe.select(ITEM, VECTOR), k, metric, load)
-            found, _ = _scan_vectors(queries, block, vectors, k, metric, cells, load, bound)
-        found.write.mode("append").parquet(path)
-    schema = _result_schema(queries)
-    return spark.read.schema(schema).parquet(path), rounds if swap else scan_tasks(vectors, k)
+    return queries.mapInArrow(run, result_schema(queries))
 
 
 def attach_products(

@@ -8,21 +8,37 @@ vectors get equal costs wherever they are stored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 PAIRS_AT_ONCE = 4_000_000
 CELLS_AT_ONCE = 1 << 19
 FLOAT32_STEP = 6e-8
+LONG_ROWS = 256  # pairs per query from which on parting them is faster than sorting all
+
+
+def smallest(cost: np.ndarray, item: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k cheapest, ties by item, in no order."""
+    last = np.partition(cost, k - 1)[k - 1]
+    below = np.flatnonzero(cost < last)
+    same = np.flatnonzero(cost == last)
+    room = k - len(below)
+    if len(same) > room:
+        same = same[np.argpartition(item[same], room - 1)[:room]]
+    return np.concatenate([below, same])
 
 
 class BestPairs:
     """The k cheapest (cost, item) pairs seen so far, per query.
 
-    ``bound`` is a cost above which a pair cannot be among the k cheapest.
+    ``bound`` is a cost above which a pair cannot be among the k cheapest. ``repeated``: an item may come in twice, as
+    when items are stored in several cells.
     """
 
-    def __init__(self, queries: int, k: int, bound: np.ndarray | None = None):
+    def __init__(self, queries: int, k: int, bound: np.ndarray | None = None, repeated: bool = True):
         self.k = k
+        self.repeated = repeated
         self.bound = np.full(queries, np.inf) if bound is None else bound.copy()
         self.room = max(2 * queries * k, 1_000_000)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -35,26 +51,52 @@ class BestPairs:
         if open_ended or self.waiting > self.room:
             self._settle()
 
+    def _by_query(self, query: np.ndarray) -> np.ndarray:
+        if len(self.bound) <= 1 << 16:  # 16-bit keys are sorted by radix
+            return np.argsort(query.astype(np.uint16), kind="stable")
+        return np.argsort(query, kind="stable")
+
     def _settle(self) -> None:
         query, item, cost = (np.concatenate(column) for column in zip(*self.parts))
-        order = np.lexsort((item, cost))
-        if len(self.bound) <= 1 << 16:  # 16-bit keys are sorted by radix
-            order = order[np.argsort(query[order].astype(np.uint16), kind="stable")]
+        if not self.repeated and len(query) >= LONG_ROWS * len(self.bound):
+            self._cut(query, item, cost)
         else:
-            order = order[np.argsort(query[order], kind="stable")]
+            self._sort(query, item, cost)
+        self.waiting = 0
+
+    def _cut(self, query: np.ndarray, item: np.ndarray, cost: np.ndarray) -> None:
+        """With many pairs per query, each query's are parted at the k-th; nothing is sorted."""
+        order = self._by_query(query)
+        query, item, cost = query[order], item[order], cost[order]
+        names, begins = np.unique(query, return_index=True)
+        kept = []
+        for name, begin, end in zip(names, begins, np.append(begins[1:], len(query))):
+            if end - begin < self.k:
+                kept.append(np.arange(begin, end))
+                continue
+            some = cost[begin:end]
+            chosen = smallest(some, item[begin:end], self.k) if end - begin > self.k else np.arange(self.k)
+            self.bound[name] = some[chosen].max()
+            kept.append(chosen + begin)
+        kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        self.parts = [(query[kept], item[kept], cost[kept])]
+
+    def _sort(self, query: np.ndarray, item: np.ndarray, cost: np.ndarray) -> None:
+        order = np.lexsort((item, cost))
+        order = order[self._by_query(query[order])]
         query, item, cost = query[order], item[order], cost[order]
-        # the same item may come in twice when items are stored in several cells
-        fresh = np.ones(len(query), dtype=bool)
-        fresh[1:] = (query[1:] != query[:-1]) | (item[1:] != item[:-1])
-        query, item, cost = query[fresh], item[fresh], cost[fresh]
+        if self.repeated:
+            fresh = np.ones(len(query), dtype=bool)
+            fresh[1:] = (query[1:] != query[:-1]) | (item[1:] != item[:-1])
+            query, item, cost = query[fresh], item[fresh], cost[fresh]
         nth = np.arange(len(query)) - np.searchsorted(query, query)
         last = nth == self.k - 1
         self.bound[query[last]] = cost[last]
         kept = nth < self.k
         self.parts = [(query[kept], item[kept], cost[kept])]
-        self.waiting = 0
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, cost) of the best; the rows of a query follow each other."""
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if self.waiting:
@@ -82,8 +124,12 @@ def scan_block(
     items: np.ndarray,
     item_ids: np.ndarray,
     metric: str,
+    allowed: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> None:
-    """Offer the items that may be near queries ``rows`` to ``best``."""
+    """Offer the items that may be near queries ``rows`` to ``best``.
+
+    ``allowed`` gives, for some of the rows, which items each of them may find.
+    """
     if len(items) == 0 or len(rows) == 0:
         return
     dim = queries.shape[1]
@@ -91,6 +137,13 @@ def scan_block(
     step = max(1, PAIRS_AT_ONCE // len(items))
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
+        mask = None
+        if allowed is not None:
+            mask = allowed(part)
+            some = mask.any(axis=1)
+            part, mask = part[some], mask[some]
+            if len(part) == 0:
+                continue
         block = queries[part]
         norms = squared_norms(block)
         # the cost without the query's own part, which is the same for all items
@@ -99,13 +152,18 @@ def scan_block(
         own = 0 if metric == "ip" else norms
         if metric != "ip":
             rough += item_norms.astype(np.float32)
+        if mask is not None:
+            rough[~mask] = np.inf
         slack = (2 * dim + 16) * FLOAT32_STEP * (norms + item_norms.max())
         limit = best.bound[part] - own
         if len(items) > best.k and np.isinf(limit).any():
             nearest = np.partition(rough, best.k - 1, axis=1)[:, best.k - 1]
             limit = np.minimum(limit, nearest + slack)
         limit = np.nextafter((limit + slack).astype(np.float32), np.float32(np.inf))
-        hit_query, hit_item = np.nonzero(rough <= limit[:, None])
+        hits = rough <= limit[:, None]
+        if mask is not None:
+            hits &= mask
+        hit_query, hit_item = np.nonzero(hits)
         pairs = max(1, CELLS_AT_ONCE // dim)  # a portion that stays in the cache
         costs = []
         for low in range(0, len(hit_query), pairs):

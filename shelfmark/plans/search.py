@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import query_text as q
 from shelfmark.operators import blocks, filters
 from shelfmark.operators.categories import filter_category, with_category_keywords
+from shelfmark.operators.filtered import STORE_RULE, MatchRule, nearest_matching
 from shelfmark.operators.ivf import search_cells
 from shelfmark.operators.knn import PROBE, QUERY, VECTOR, attach_products, nearest
 from shelfmark.operators.ranking import rank
@@ -46,6 +47,14 @@ def ivf_index(
     return lambda queries, k: search_cells(queries, cell_vectors, centroids, k, probes, metric)
 
 
+def matching_index(vectors: DataFrame, metric: str = "l2", rule: MatchRule = STORE_RULE) -> Searcher:
+    """Exact search among the products that pass a search's filters (``sources.indexes.write_matching``).
+
+    Give it to a search with ``filter_first``.
+    """
+    return lambda queries, k: nearest_matching(queries, vectors, k, metric, rule)
+
+
 def parsed_prices(searches: DataFrame) -> DataFrame:
     """Add price bounds and the remaining text of every search."""
     low, high, rest = q.price_bounds(F.col("query_text"))
@@ -109,9 +118,15 @@ def candidates(
     index: Searcher,
     fetch: int,
     encode: TextEncoder | None,
+    conditions: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``fetch`` nearest products of all ``searches``, with their attributes."""
+    """The ``fetch`` nearest products of all ``searches``, with their attributes.
+
+    ``conditions`` are columns of the searches that the index is given, too.
+    """
     queries = _vectors_of(asked, text, encode)
+    if conditions:
+        queries = queries.join(asked.select(QUERY, *conditions), QUERY)
     few = searches <= min(blocks.HINTED_PAIRS // fetch, blocks.SIDE_ROWS)
     return attach_products(index(queries, fetch), products, few)
 
@@ -134,26 +149,33 @@ def store_search(
     taxonomy: DataFrame,
     options: StoreSearchOptions = StoreSearchOptions(),
     encode: TextEncoder | None = None,
+    filter_first: bool = False,
 ) -> DataFrame:
     """Storefront search.
 
     Read prices from the text, fetch many candidates, filter by attributes,
     keep a few times ``top_k``, prefer products of the category named in the
     text, and return the first ``top_k`` with display columns.
+
+    With ``filter_first`` the index filters (``matching_index``): the candidates
+    are the nearest products that pass, and none is lost behind a cut.
     """
     asked = with_defaults(parsed_prices(searches), options)
     count = count_searches(searches)
     few = count <= blocks.SIDE_ROWS
-    fetch = options.fetch_multiplier * options.top_k
-    found = candidates(asked, count, "cleaned_query", products, index, fetch, encode)
-    found = join_searches(
-        found, asked, few, "min_price", "max_price", "min_rating", "bestsellers_only"
-    )
-    found = filters.valid_price(found, options.min_valid_price)
-    found = filters.price_between(found)
-    found = filters.rating_at_least(found)
-    found = filters.bestsellers(found)
-    found = rank(found, "distance", options.category_multiplier * options.top_k).drop("rank")
+    kept = options.category_multiplier * options.top_k
+    conditions = ("min_price", "max_price", "min_rating", "bestsellers_only")
+    if filter_first:
+        found = candidates(asked, count, "cleaned_query", products, index, kept, encode, conditions)
+    else:
+        fetch = options.fetch_multiplier * options.top_k
+        found = candidates(asked, count, "cleaned_query", products, index, fetch, encode)
+        found = join_searches(found, asked, few, *conditions)
+        found = filters.valid_price(found, options.min_valid_price)
+        found = filters.price_between(found)
+        found = filters.rating_at_least(found)
+        found = filters.bestsellers(found)
+        found = rank(found, "distance", kept).drop("rank")
     named = with_category_keywords(searches.select(QUERY, "query_text"), taxonomy)
     found = join_searches(found, named, few, "primary_keywords", "secondary_keywords")
     found = rank(filter_category(found), "category", options.top_k)
@@ -167,11 +189,13 @@ def ranked_search(
     options: RankedSearchOptions = RankedSearchOptions(),
     encode: TextEncoder | None = None,
     given_filters: bool = False,
+    filter_first: bool = False,
 ) -> DataFrame:
     """Re-ranked search: nearest products, filtered, then ordered by ``method``.
 
     Filters come from the text, unless ``given_filters`` says that the table
-    carries them: ``min_price, max_price, min_rating, brand_hint``.
+    carries them: ``min_price, max_price, min_rating, brand_hint``. With
+    ``filter_first`` the index filters, by the ``RANKED_RULE``.
     """
     asked = extracted_filters(searches)
     names = ["min_price", "max_price", "brand_hint", "min_rating"]
@@ -181,6 +205,9 @@ def ranked_search(
         names = [name for name in names if name in searches.columns]
     count = count_searches(searches)
     fetch = options.fetch_multiplier * options.top_k
+    if filter_first:
+        found = candidates(asked, count, "processed_query", products, index, fetch, encode, names)
+        return with_labels(rank(found, options.method, options.top_k, options.weights))
     found = candidates(asked, count, "processed_query", products, index, fetch, encode)
     found = join_searches(found, asked, count <= blocks.SIDE_ROWS, *names)
     if {"min_price", "max_price"} <= set(names):

@@ -60,7 +60,7 @@ def by_query(df, value="distance"):
 PLANS = {
     "scan queries": {},
     "scan vectors": {"side_rows": 0},
-    "rounds": {"side_rows": 0, "block_rows": 0, "round_bytes": 2000},
+    "one pass": {"side_rows": 0, "block_rows": 0, "held_bytes": 2000},
 }
 
 
@@ -94,14 +94,14 @@ def test_small_batches_are_joined(data):
     assert sum(sizes) == ITEMS and min(sizes[:-1]) > 10
 
 
-@pytest.mark.parametrize("round_bytes", [1000, 20_000, 1 << 20])
-def test_rounds_of_two_large_sides(tables, data, round_bytes):
-    found = knn.nearest(*tables, 9, side_rows=0, block_rows=0, round_bytes=round_bytes)
+@pytest.mark.parametrize("held_bytes", [1000, 20_000, 1 << 20])
+def test_groups_of_two_large_sides(tables, data, held_bytes):
+    found = knn.nearest(*tables, 9, side_rows=0, block_rows=0, held_bytes=held_bytes)
     assert by_query(found) == brute(data[1], data[0], 9)
 
 
 def test_large_sides_are_scanned_in_place(spark, tables, data, tmp_path):
-    """More vectors than queries: the queries go round, no exchange lies below a vector scan."""
+    """Few queries travel: no exchange lies below a vector scan."""
     tables[1].write.parquet(f"{tmp_path}/vectors")
     stored = spark.read.parquet(f"{tmp_path}/vectors")
     block = knn.query_block(tables[0], 9)
