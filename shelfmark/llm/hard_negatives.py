@@ -346,6 +346,15 @@ def _search(blocks: DataFrame, asked: DataFrame, same: bool, k: int, name: str)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _in_parts(anchors: DataFrame) -> DataFrame:
+    """Anchors with their part: consecutive slices, until they hold PART anchors."""
+    counted = anchors.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))  # a row per slice
+    parts = counted.select("slice", F.floor(F.coalesce(before, F.lit(0)) / PART).cast("int").alias("at"))
+    numbered = parts.select("slice", (F.dense_rank().over(Window.orderBy("at")) - 1).alias("part"))
+    return anchors.join(numbered, "slice").drop("slice")
+
+
 def mine(
     vectors: DataFrame, is_anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, window: tuple[int, int] = WINDOW, scale: int = SCALE
 ) -> DataFrame:
@@ -355,10 +364,8 @@ def mine(
     positive's score, ends included.
     """
     blocks = candidate_blocks(vectors, scale)
-    anchors = blocks.filter(is_anchor).select(F.col("vec_id").alias("anchor_id"), "dim", "label", "vec", "place")
-    order = ["dim", "label", "place", "anchor_id"]
-    parts = max(math.ceil(anchors.count() / PART), 1)
-    anchors = stored(anchors.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).drop("place"), "anchors")
+    anchors = blocks.filter(is_anchor).select(F.col("vec_id").alias("anchor_id"), "dim", "label", "vec", "slice")
+    anchors = stored(_in_parts(anchors), "anchors")
     limit = (1 << 63) - 1
     all_ = F.array(F.struct(F.lit(0).alias("window"), F.lit(-limit).cast("bigint").alias("low"), F.lit(limit).cast("bigint").alias("high")))
     near = stored(_search(blocks, anchors.withColumn("windows", all_), True, positives, "positives"), "positives")
