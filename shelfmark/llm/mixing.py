@@ -3,15 +3,21 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). A small flow network routes
 each pattern's words to the quotas of its sources; a pattern's first, second and third use are parallel edges of
 rising cost, so repetition is convex and spread evenly. The flow says how often each pattern is taken; within a
-pattern, documents are selected by a seeded hash. Only the sums per pattern reach the driver.
+pattern, documents are selected by a seeded hash of id and text. Only the sums per pattern reach the driver.
+
+The rest of a pattern's flow that whole uses leave is filled in two steps. Documents are taken in hash order up to the
+first that doesn't fit. The gap left is less than that document's size; it is filled from the counts of the remaining
+documents by size, largest fitting size first, so in the end it is smaller than the smallest document left (one more
+document follows where that brings the words nearer). Of each size, the first documents in hash order are taken.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a document of size 0
-is never taken; repeated rows share one hash and are taken alike; an empty table gives no rows.
+is never taken; rows that share id (or have none) and text are taken one by one like others, and of such a group as
+many as it takes; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +25,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import WORD, stored, text_of
 
 MAX_PATTERNS = 100_000  # rows of the flow network on the driver; more is an error, not a cut
-MAX_EXTRA = 16  # documents that fill the gap which whole documents in hash order leave
-ROWS_PER_BIN = 2048  # documents in the one hash bin of a pattern that is looked at row by row
+ROWS_PER_BIN = 2048  # documents in the one hash bin of a pattern, or of a size, that is looked at row by row
 REPEATS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -48,59 +53,82 @@ def capped_targets(sizes: list[int], weights: list[float], most: float = REPEATS
     return targets
 
 
+class Network:
+    """A flow network whose flow is raised to the most by blocking flows."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.left: list[int] = []
+
+    def edge(self, a: int, b: int, most: int) -> int:
+        for x, y, c in ((a, b, most), (b, a, 0)):  # the edge back follows
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.left.append(c)
+        return len(self.to) - 2
+
+    def _levels(self, start: int, end: int) -> list[int]:
+        level = [-1] * len(self.out)
+        level[start] = 0
+        waiting = deque([start])
+        while waiting:
+            x = waiting.popleft()
+            for e in self.out[x]:
+                if self.left[e] > 0 and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[x] + 1
+                    waiting.append(self.to[e])
+        return level
+
+    def raise_flow(self, start: int, end: int) -> None:
+        while (level := self._levels(start, end))[end] >= 0:
+            at = [0] * len(self.out)
+            path: list[int] = []
+            x = start
+            while True:
+                if x == end:
+                    amount = min(self.left[e] for e in path)
+                    for e in path:
+                        self.left[e] -= amount
+                        self.left[e ^ 1] += amount
+                    full = next(i for i, e in enumerate(path) if not self.left[e])
+                    x = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while at[x] < len(self.out[x]):
+                    e = self.out[x][at[x]]
+                    if self.left[e] > 0 and level[self.to[e]] == level[x] + 1:
+                        break
+                    at[x] += 1
+                else:
+                    if x == start:
+                        break
+                    x = self.to[path.pop() ^ 1]
+                    at[x] += 1
+                    continue
+                path.append(e)
+                x = self.to[e]
+
+
 def route(capacity: list[tuple[tuple[int, ...], int]], quota: list[int], repeats: int = REPEATS) -> list[dict[int, int]]:
     """Words that flow from each pattern to each of its sources, at least repetition cost.
 
-    capacity: (sources of a pattern, its words). Successive shortest paths with potentials; the cost of a pattern's
-    k-th use is k - 1 a word.
+    capacity: (sources of a pattern, its words). The k-th use of a pattern costs k - 1 a word. Costs lie only on the
+    edges out of the start, so cheapest paths are those over the earliest use that is still open: the most flow with
+    first uses, raised with second ones, and so on, is the cheapest.
     """
     n = len(capacity)
-    start, end, first_source = n + len(quota), n + len(quota) + 1, n
-    edges: list[list[int]] = []  # to, capacity, cost; the reverse edge follows
-    out: list[list[int]] = [[] for _ in range(end + 1)]
-
-    def edge(a: int, b: int, most: int, cost: int) -> None:
-        for x, y, c, w in ((a, b, most, cost), (b, a, 0, -cost)):
-            out[x].append(len(edges))
-            edges.append([y, c, w])
-
-    for p, (members, words) in enumerate(capacity):
-        for k in range(repeats):
-            edge(start, p, words, k)
-        for s in members:
-            edge(p, first_source + s, repeats * words, 0)
+    start, end = n + len(quota), n + len(quota) + 1
+    net = Network(end + 1)
+    uses = [net.edge(start, p, 0) for p in range(n)]
+    flows = [[(s, net.edge(p, n + s, repeats * words)) for s in members] for p, (members, words) in enumerate(capacity)]
     for s, most in enumerate(quota):
-        edge(first_source + s, end, most, 0)
-    potential = [0] * (end + 1)
-    while True:
-        cost, via = {start: 0}, {}
-        heap, done = [(0, start)], set()
-        while heap:
-            c, x = heapq.heappop(heap)
-            if x in done:
-                continue
-            done.add(x)
-            for e in out[x]:
-                to, left, w = edges[e]
-                if left > 0 and (new := c + w + potential[x] - potential[to]) < cost.get(to, 1 << 60):
-                    cost[to], via[to] = new, e
-                    heapq.heappush(heap, (new, to))
-        if end not in cost:
-            break
-        for x in range(end + 1):
-            potential[x] += cost.get(x, cost[end])
-        path, x = [], end
-        while x != start:
-            path.append(via[x])
-            x = edges[via[x] ^ 1][0]
-        amount = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= amount
-            edges[e ^ 1][1] += amount
-    return [
-        {edges[e][0] - first_source: edges[e ^ 1][1] for e in out[p] if first_source <= edges[e][0] < start and edges[e ^ 1][1]}
-        for p in range(n)
-    ]
+        net.edge(n + s, end, most)
+    for _ in range(repeats):
+        for p, (_, words) in enumerate(capacity):
+            net.left[uses[p]] += words
+        net.raise_flow(start, end)
+    return [{s: net.left[e ^ 1] for s, e in some if net.left[e ^ 1]} for some in flows]
 
 
 def plan_mix(sized: DataFrame, weights: tuple[float, ...], repeats: int = REPEATS) -> DataFrame:
@@ -138,75 +166,140 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...], repeats: int = REPEAT
     return spark.createDataFrame(plan, kind)
 
 
-def hashed(key: str, seed: int) -> Column:
-    """A seeded hash of the key as a number below 2^62."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 2)
+def hashed(seed: int) -> Column:
+    """A seeded hash of a row's id and text as a number below 2^62."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", text_of(), F.lit(seed)), 2)
+
+
+def _of(*names: str) -> Column:
+    """Whether the keys of two tables are equal, nulls too: m_<name> on the right."""
+    both = [F.col(n).eqNullSafe(F.col(f"m_{n}")) for n in names]
+    return both[0] if len(both) == 1 else both[0] & both[1]
 
 
-def choose(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per pattern: full uses, and which hashes are taken once more so that the words taken come nearest the flow.
+def _first_by_hash(rows: DataFrame, budget: DataFrame, *keys: str) -> DataFrame:
+    """Per key: the hash below which rows are taken, the words that they have, and the size of the first that is not.
 
-    Hashes below `below` are taken, and those in `also`: further ones that fit the gap left, a few at most. The pattern's hash bins are summed first; only the bin in
-    which the remainder ends is read row by row.
+    rows: keys, hash, size; budget: keys, rest, documents. Rows are taken whole in hash order as long as their words
+    do not exceed the rest; rows of one hash together. Hash bins are summed first, only the bin in which the rest ends
+    is read row by row.
     """
-    plan = plan.withColumn("uses", F.expr("IF(words > 0, taken_words DIV words, 0)")).withColumn(
-        "rest", F.expr("taken_words - uses * words")
-    )
-    plan = plan.withColumn("bins", F.greatest(F.lit(1), F.expr(f"documents DIV {ROWS_PER_BIN}")))
+    bins = F.greatest(F.lit(1), F.expr(f"documents DIV {ROWS_PER_BIN}")).cast("bigint")
+    known = budget.select(*[F.col(k).alias(f"m_{k}") for k in keys], "rest", bins.alias("bins"))
     at = F.floor(F.col("hash") / F.lit(float(1 << 62)) * F.col("bins")).cast("bigint")
-    known = plan.select(F.col("members").alias("m"), "bins", "rest").filter("rest > 0")
-    binned = sized.join(F.broadcast(known), F.col("members").eqNullSafe(F.col("m"))).withColumn("bin", at)
-    sums = binned.groupBy("members", "rest", "bin").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("members").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = (
-        sums.withColumn("before", before)
-        .filter("before <= rest AND rest < before + words")
-        .groupBy("members")
-        .agg(F.min(F.struct("bin", "before")).alias("x"))
-        .select(F.col("members").alias("m2"), F.col("x.bin").alias("bin2"), F.col("x.before").alias("before"))
+    binned = rows.join(F.broadcast(known), _of(*keys)).withColumn("bin", at).select(*keys, "rest", "bin", "hash", "size")
+    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = binned.groupBy(*keys, "rest", "bin").agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    last = sums.filter("before <= rest AND rest < before + words").groupBy(*keys).agg(F.min(F.struct("bin", "before")).alias("x"))
+    last = last.select(*[F.col(k).alias(f"m_{k}") for k in keys], F.col("x.bin").alias("last_bin"), F.col("x.before").alias("before"))
+    near = binned.join(F.broadcast(last), _of(*keys) & (F.col("bin") == F.col("last_bin")))
+    entries = near.groupBy(*keys, "rest", "before", "hash").agg(F.sum("size").alias("words"))
+    order = Window.partitionBy(*keys).orderBy("hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = entries.withColumn("upto", F.col("before") + F.sum("words").over(order)).filter("upto > rest")
+    first = run.groupBy(*keys).agg(F.min(F.struct("hash", (F.col("upto") - F.col("words")).alias("taken"), "words")).alias("x"))
+    return first.select(*keys, F.col("x.hash").alias("below"), F.col("x.taken").alias("taken"))
+
+
+def _fill(sizes: list[tuple[int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """(size, how many, of how many) that fill the gap, largest fitting size first; sizes: (size, documents).
+
+    In the end the gap is below the smallest size left, or is overstepped by it if that is nearer.
+    """
+    out, first_left = {}, None
+    for size, number in sorted(sizes, reverse=True):
+        use = min(number, gap // size)
+        gap -= use * size
+        if use:
+            out[size] = [use, number]
+        if use < number:
+            first_left = size
+    if first_left is not None and first_left - gap < gap:
+        number = dict(sizes)[first_left]
+        out.setdefault(first_left, [0, number])[0] += 1
+    return [(size, use, number) for size, (use, number) in out.items()]
+
+
+def choose(sized: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is taken once more than a pattern's full uses, so that the words taken come nearest the flow.
+
+    Gives per pattern: uses, quotas and the hash below which all are taken; per pattern and size: the hash below which
+    those of that size are taken; per hash: of rows that are alike, how many are taken (ties).
+    """
+    plan = plan.withColumn("uses", F.expr("IF(words > 0, taken_words DIV words, 0)")).withColumn("rest", F.expr("taken_words - uses * words"))
+    rows = sized.filter("size > 0").select("members", "hash", "size")
+    budget = plan.filter("rest > 0")
+    first = stored(_first_by_hash(rows, budget.select("members", "rest", "documents"), "members"), "mix-first")
+    left = first.join(plan.select(F.col("members").alias("m_members"), "rest"), _of("members")).select(
+        F.col("members").alias("m_members"), "below", (F.col("rest") - F.col("taken")).alias("gap")
     )
-    near = (
-        binned.join(F.broadcast(last), F.col("members").eqNullSafe(F.col("m2")) & (F.col("bin") == F.col("bin2")))
-        .groupBy("members", "rest", "before", "hash")
-        .agg(F.sum("size").alias("size"))
+    # every size that a gap can take is below the size of one document, and sizes that fit twice become ever fewer
+    counted = (
+        rows.join(F.broadcast(left), _of("members"))
+        .filter("hash >= below AND size < 2 * gap")
+        .groupBy("members", "gap", "size")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    def cut(pdf):
+    def fill(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("hash")
-        left = int(pdf["rest"].iloc[0] - pdf["before"].iloc[0])
-        sums = pdf["size"].cumsum()
-        fits = int((sums <= left).sum())
-        gap = left - (int(sums.iloc[fits - 1]) if fits else 0)
-        below = int(pdf["hash"].iloc[fits]) if fits < len(pdf) else int(pdf["hash"].iloc[-1]) + 1
-        beyond, also = pdf.iloc[fits:], []
-        while len(also) < MAX_EXTRA and len(small := beyond[(beyond["size"] <= gap) & (beyond["size"] > 0)]):
-            best = small["size"].idxmax()
-            also.append(int(small["hash"][best]))
-            gap -= int(small["size"][best])
-            beyond = beyond.drop(best)
-        if len(beyond) and abs(int(beyond["size"].min()) - gap) < gap:
-            also.append(int(beyond["hash"][beyond["size"].idxmin()]))
-        return pd.DataFrame({"members": [pdf["members"].iloc[0]], "below": [below], "also": [also]})
-
-    keyed = near.withColumn("pattern", F.to_json(F.struct("members")))
-    cuts = keyed.groupBy("pattern").applyInPandas(cut, "members array<string>, below bigint, also array<bigint>")
-    return (
-        plan.join(cuts.withColumnRenamed("members", "m3"), F.col("members").eqNullSafe(F.col("m3")), "left")
-        .withColumn("below", F.coalesce("below", F.lit(0)))
-        .withColumn("also", F.coalesce("also", F.array().cast("array<bigint>")))
-        .select(F.col("members").alias("of_members"), "uses", "below", "also", "quotas")
+        members = pdf["members"].iloc[0]
+        found = _fill(list(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["gap"].iloc[0]))
+        rows = [(members, size, size * use, number) for size, use, number in found]
+        return pd.DataFrame(rows, columns=["members", "size", "rest", "documents"])
+
+    kind = "members array<string>, size bigint, rest bigint, documents bigint"
+    fills = stored(counted.withColumn("pattern", F.to_json(F.struct("members"))).groupBy("pattern").applyInPandas(fill, kind), "mix-fills")
+    beyond = rows.join(F.broadcast(left.drop("gap")), _of("members")).filter("hash >= below").select("members", "hash", "size")
+    cuts = _first_by_hash(beyond, fills, "members", "size")
+    named = fills.select(F.col("members").alias("m_members"), F.col("size").alias("m_size"), "rest")
+    # without a cut all documents of that size are taken
+    cut = named.join(
+        cuts.select(F.col("members").alias("c_members"), F.col("size").alias("c_size"), F.col("below").alias("also_below"), "taken"),
+        F.col("m_members").eqNullSafe(F.col("c_members")) & (F.col("m_size") == F.col("c_size")),
+        "left",
+    )
+    cut = stored(
+        cut.select(
+            "m_members", "m_size", F.coalesce("also_below", F.lit(1 << 62)).alias("also_below"),
+            F.expr("coalesce((rest - taken) DIV m_size, 0)").alias("alike"),
+        ),
+        "mix-cuts",
+    )
+    whole = plan.select(F.col("members").alias("m_members"), "uses", "quotas").join(
+        first.select(F.col("members").alias("c_members"), "below"), F.col("m_members").eqNullSafe(F.col("c_members")), "left"
     )
+    whole = whole.select("m_members", "uses", "quotas", F.coalesce("below", F.lit(0).cast("bigint")).alias("below"))
+    ties = cut.filter("alike > 0").select(F.col("m_members"), F.col("also_below").alias("m_hash"), "alike")
+    return whole, cut.drop("alike"), ties
+
+
+def _taken(rows: DataFrame, sized: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """rows (members, hash, size and others) with quotas and copies: how often each row is taken."""
+    whole, cut, ties = choose(sized, plan_mix(sized, weights))
+    cut = cut.withColumnsRenamed({"m_members": "c_members"})
+    ruled = rows.join(F.broadcast(whole), _of("members")).drop("m_members")
+    ruled = ruled.join(F.broadcast(cut), F.col("members").eqNullSafe(F.col("c_members")) & (F.col("size") == F.col("m_size")), "left")
+    more = (F.col("hash") < F.col("below")) | ((F.col("hash") >= F.col("below")) & (F.col("hash") < F.col("also_below")))
+    copies = F.when(F.col("size") > 0, F.col("uses") + F.when(more, 1).otherwise(0)).otherwise(0).cast("bigint")
+    ruled = ruled.withColumn("copies", copies).drop("uses", "below", "also_below", "m_size", "c_members")
+    if ties.isEmpty():
+        return ruled
+    # of rows that share a hash some are taken: alike rows become one with their number, and the first ones are taken
+    names = [c for c in ruled.columns if c != "copies"]
+    marked = ruled.join(F.broadcast(ties), _of("members") & (F.col("hash") == F.col("m_hash")), "left")
+    alone = marked.filter("alike IS NULL").select(*ruled.columns)
+    groups = marked.filter("alike IS NOT NULL").groupBy(*names, "copies", "alike").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("members", "hash").orderBy(*[F.to_json(F.struct(F.col(c))) for c in names]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("more", F.greatest(F.lit(0), F.col("alike") - F.coalesce(F.sum("n").over(order), F.lit(0))))
+    each = groups.withColumn("at", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    each = each.withColumn("copies", F.col("copies") + F.when(F.col("at") <= F.col("more"), 1).otherwise(0))
+    return alone.unionByName(each.select(*ruled.columns))
 
 
 def sized_rows(docs: DataFrame, members: Column, seed: int, *keep: str) -> DataFrame:
-    return docs.select(*keep, members.alias("members"), hashed("doc_id", seed).alias("hash"), word_count(text_of()).alias("size"))
-
-
-def copies() -> Column:
-    """How often a row with columns hash, uses, below and also is taken, its size left aside."""
-    return F.col("uses") + F.when((F.col("hash") < F.col("below")) | F.array_contains("also", F.col("hash")), 1).otherwise(0)
+    return docs.select(*keep, members.alias("members"), hashed(seed).alias("hash"), word_count(text_of()).alias("size"))
 
 
 def mix(docs: DataFrame, members: Column, weights: tuple[float, ...] = WEIGHTS, seed: int = 20) -> DataFrame:
@@ -215,21 +308,13 @@ def mix(docs: DataFrame, members: Column, weights: tuple[float, ...] = WEIGHTS,
     members: sorted array of the names of the sources a row belongs to.
     """
     sized = stored(sized_rows(docs, members, seed, "doc_id"), "mix-sizes")
-    chosen = choose(sized, plan_mix(sized, weights))
-    return sized.join(F.broadcast(chosen), F.col("members").eqNullSafe(F.col("of_members"))).select(
-        "doc_id", "size", (F.col("size") * copies()).cast("bigint").alias("taken"), "quotas"
-    )
+    taken = (F.col("size") * F.col("copies")).cast("bigint")
+    return _taken(sized, sized, weights).select("doc_id", "size", taken.alias("taken"), "quotas")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 20) -> DataFrame:
     """The mix of whole documents by their column source: each row as often as it is taken, with the columns of docs."""
     sized = stored(sized_rows(docs, F.array("source"), seed), "mix-sizes")
-    chosen = stored(choose(sized, plan_mix(sized, weights)), "mix-plan")
-    rows = docs.select(F.struct("*").alias("row"), F.array("source").alias("members"), hashed("doc_id", seed).alias("hash"))
-    taken = (
-        rows.join(F.broadcast(chosen), F.col("members").eqNullSafe(F.col("of_members")))
-        .filter(F.col("row.text").rlike(WORD))
-        .select("row", copies().alias("copies"))
-        .filter("copies > 0")
-    )
+    rows = docs.select(F.struct("*").alias("row"), F.array("source").alias("members"), hashed(seed).alias("hash"), word_count(text_of()).alias("size"))
+    taken = _taken(rows, sized, weights).filter("copies > 0").select("row", "copies")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

@@ -1,16 +1,17 @@
 """Token ids of whole texts by the tokenizers library, as a stored table of packed ids.
 
-A text is cut where the vocabulary's own pre-splitting always cuts (before a single blank between two other
-characters), and each distinct part is encoded once by the library. Texts in which blanks meet, or end the text, or
-that hold the vocabulary's special string, go to the library whole.
+A text is cut where the vocabulary's own pre-splitting always cuts: before a single blank with other characters beside
+it. Each distinct part is encoded once by the library, many parts in one call, and kept for a worker's further texts.
+Texts where white space of any kind lies on both sides of a blank, or which end with one, or that hold the
+vocabulary's special string, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import struct
+import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import batch_bytes, pieces_of, stored, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
-MAX_PARTS = 500_000  # entries of a worker's cache of encoded parts
-LETTERS = 0x250  # letters below it (Latin ones) are known to be letters for the pre-splitting
-MARKS = ".,;:!?%&*#$"
+KEPT_PARTS = 300_000  # parts that a worker keeps; beyond it, those it hasn't met for as many further parts go
+TOGETHER = 20_000  # parts that one call encodes
 SPECIAL = "<|endoftext|>"
 
 
@@ -33,65 +33,75 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+# White space between two of which a blank doesn't part a text (Unicode's, and some that only Python counts as such).
+OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+AROUND = re.compile(r"\s \s")
+
+
+def parted(text: str) -> bool:
+    """Whether every blank of the text begins a piece of the vocabulary's pre-splitting."""
+    if text[-1:] == " " or "  " in text or SPECIAL in text:
+        return False
+    beside = any(c in text and c + " " in text for c in OTHER_BLANKS if c < "\x80" or not text.isascii())
+    return not (beside and AROUND.search(text))
+
+
 class Encoder:
     """Ids as packed little-endian 16-bit numbers."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, kept: int = KEPT_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.model = self.tokenizer.model
+        self.kept = kept
         self.parts: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-        shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        # How the vocabulary writes the bytes of letters: as the characters that it shows for them.
-        self.written = {i: i for i in range(256)}
-        for c in map(chr, range(0xC0, LETTERS)):
-            for raw, char in zip(c.encode(), shown(c)[0][0], strict=True):
-                self.written[raw] = ord(char)
-        self.blank = shown(" a")[0][0][0]
-
-    def _pack(self, ids: Iterable[int]) -> bytes:
-        return np.array(ids, np.uint16).tobytes()
+        self.before: dict[str, bytes] = {}  # the generation before
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
+        self.begins = np.zeros(1 << 16, bool)  # ids that begin with a blank
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, each with a blank before it: they follow each other in one text, a blank begins the next."""
+        out: list[bytes] = []
+        for low in range(0, len(parts), TOGETHER):
+            some = parts[low : low + TOGETHER]
+            if any(p[0].isspace() for p in some):  # it would meet white space of the part before it
+                out += self._encode([" " + p for p in some])
+                continue
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint16)
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(some):
+                out += self._encode([" " + p for p in some])
+                continue
+            raw, at = ids.tobytes(), (2 * first).tolist() + [2 * len(ids)]
+            out += [raw[i:j] for i, j in zip(at, at[1:])]
+        return out
 
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of all parts, each with a blank before it."""
         known = dict(zip(parts, map(self.parts.get, parts), strict=True))  # small, so that looking up stays in the caches
-        new = [p for p, ids in known.items() if ids is None]
-        rest, words, tokenize = [], {}, self.model.tokenize
-        for p in new:
-            word = p.rstrip(MARKS)
-            if word.isalpha() and ord(max(word)) < LETTERS:  # one piece of the pre-splitting, then one of marks
-                mark = p[len(word) :]
-                if mark not in self.marks:
-                    self.marks[mark] = self._encode([mark])[0]
-                ids = words.get(word) or self.parts.get(word)
-                if ids is None:
-                    if not word.isascii():
-                        written = word.encode().decode("latin-1").translate(self.written)
-                    else:
-                        written = word
-                    found = [t.id for t in tokenize(self.blank + written)]
-                    ids = words[word] = struct.pack(f"<{len(found)}H", *found)
-                known[p] = ids + self.marks[mark]
-            else:
-                rest.append(p)
-        known.update(zip(rest, self._encode([" " + p for p in rest]), strict=True))
-        if len(self.parts) < MAX_PARTS:  # what is met first is the most frequent
-            self.parts.update((p, known[p]) for p in new)
+        missed = [p for p, ids in known.items() if ids is None]
+        if self.before:
+            again = {p: ids for p, ids in zip(missed, map(self.before.get, missed)) if ids is not None}
+            known.update(again)
+            self.parts.update(again)
+            missed = [p for p in missed if p not in again]
+        new = dict(zip(missed, self._new(missed), strict=True))
+        known.update(new)
+        self.parts.update(new)
+        if len(self.parts) > self.kept:
+            self.before, self.parts = self.parts, {}
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            whole = "  " in text or text[-1:] == " " or SPECIAL in text
-            cut.append(None if whole else text.split(" "))
+        cut = [text.split(" ") if parted(text) else None for text in texts]
         distinct: set[str] = set()
         for parts in cut:
             if parts:

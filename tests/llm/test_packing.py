@@ -1,5 +1,7 @@
 """Packed pieces and coded files against the tokenizers library."""
 
+import itertools
+import random
 import zlib
 
 import numpy as np
@@ -29,6 +31,20 @@ def test_parts_give_the_library_s_ids(tokenizer, corpus, edge):
     assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [ids_of(tokenizer, t, 0)[:-1] for t in texts]
 
 
+def test_short_texts_of_all_white_space(tokenizer):
+    """Every text of up to five of these characters, and longer ones at random over all white space."""
+    texts = ["".join(t) for n in range(6) for t in itertools.product("a \n\t\xa0\u2003", repeat=n)]
+    rng = random.Random(1)
+    others = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    for _ in range(3000):
+        texts.append("".join(rng.choice([" ", " ", "a", "Bc", "1", ".", "'s", rng.choice(others)]) for _ in range(rng.randrange(2, 14))))
+    texts += [" \xa0 \xa0", "intro \xa0 \xa0 end", "x\u3000 y", "x \u3000y", "x \u3000 y"]
+    want = [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Encoder().encode(texts) == want
+    one_by_one = tokens.Encoder(kept=3)  # parts come and go
+    assert [one_by_one.encode([t])[0] for t in texts[-1500:]] == want[-1500:]
+
+
 def check_pieces(tokenizer, rows, found, window):
     want = {}
     for doc_id, text in rows:
