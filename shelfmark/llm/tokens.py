@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, as a stored table of packed ids.
 
 A text is cut where the vocabulary's own pre-splitting always cuts: before a single blank with other characters beside
-it. Each distinct part is encoded once by the library, many parts in one call, and kept for a worker's further texts.
+it. Each distinct part is encoded once by the library, many parts as one text, and kept for a worker's further texts;
+texts are put together from the parts' ids by array arithmetic.
 Texts where white space of any kind lies on both sides of a blank, or which end with one, or that hold the
 vocabulary's special string, go to the library whole.
 """
@@ -12,10 +13,10 @@ import os
 import re
 import sys
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from shelfmark.llm.common import batch_bytes, pieces_of, stored, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 KEPT_PARTS = 300_000  # parts that a worker keeps; beyond it, those it hasn't met for as many further parts go
-TOGETHER = 20_000  # parts that one call encodes
+TOGETHER = 500  # parts that are encoded as one text
 SPECIAL = "<|endoftext|>"
 
 
@@ -35,7 +36,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 # White space between two of which a blank doesn't part a text (Unicode's, and some that only Python counts as such).
 OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-AROUND = re.compile(r"\s \s")
+AROUND, AFTER = re.compile(r"\s \s"), re.compile(r" \s")
 
 
 def parted(text: str) -> bool:
@@ -70,48 +71,72 @@ class Encoder:
     def _new(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, each with a blank before it: they follow each other in one text, a blank begins the next."""
         out: list[bytes] = []
-        for low in range(0, len(parts), TOGETHER):
-            some = parts[low : low + TOGETHER]
-            if any(p[0].isspace() for p in some):  # it would meet white space of the part before it
+        texts = [" " + " ".join(parts[low : low + TOGETHER]) for low in range(0, len(parts), TOGETHER)]
+        for at, raw in enumerate(self._encode(texts)):
+            some = parts[at * TOGETHER : (at + 1) * TOGETHER]
+            first = np.flatnonzero(self.begins[np.frombuffer(raw, np.uint16)])
+            # white space at a part's begin would meet that of the part before it
+            if len(first) != len(some) or AFTER.search(texts[at]):
                 out += self._encode([" " + p for p in some])
                 continue
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint16)
-            first = np.flatnonzero(self.begins[ids])
-            if len(first) != len(some):
-                out += self._encode([" " + p for p in some])
-                continue
-            raw, at = ids.tobytes(), (2 * first).tolist() + [2 * len(ids)]
-            out += [raw[i:j] for i, j in zip(at, at[1:])]
+            place = (2 * first).tolist() + [len(raw)]
+            out += [raw[i:j] for i, j in zip(place, place[1:])]
         return out
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of all parts, each with a blank before it."""
-        known = dict(zip(parts, map(self.parts.get, parts), strict=True))  # small, so that looking up stays in the caches
-        missed = [p for p, ids in known.items() if ids is None]
-        if self.before:
-            again = {p: ids for p, ids in zip(missed, map(self.before.get, missed)) if ids is not None}
-            known.update(again)
-            self.parts.update(again)
-            missed = [p for p in missed if p not in again]
-        new = dict(zip(missed, self._new(missed), strict=True))
-        known.update(new)
-        self.parts.update(new)
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, each with a blank before it."""
+        found = list(map(self.parts.get, parts))
+        missed = [i for i, ids in enumerate(found) if ids is None]
+        if self.before and missed:
+            for i, ids in zip(missed, map(self.before.get, [parts[i] for i in missed])):
+                found[i] = ids
+            self.parts.update((parts[i], found[i]) for i in missed if found[i] is not None)
+            missed = [i for i in missed if found[i] is None]
+        names = [parts[i] for i in missed]
+        new = self._new(names)
+        for i, ids in zip(missed, new, strict=True):
+            found[i] = ids
+        self.parts.update(zip(names, new))
         if len(self.parts) > self.kept:
             self.before, self.parts = self.parts, {}
-        return known
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") if parted(text) else None for text in texts]
-        distinct: set[str] = set()
-        for parts in cut:
-            if parts:
-                distinct.update(islice(parts, 1, None))
-        get = self._learn(distinct).__getitem__
-        firsts = self._encode([parts[0] if parts else text for parts, text in zip(cut, texts, strict=True)])
-        return [
-            first + b"".join(map(get, islice(parts, 1, None))) if parts is not None else first
-            for parts, first in zip(cut, firsts, strict=True)
-        ]
+        cut = [i for i, text in enumerate(texts) if parted(text)]
+        out: list[bytes] = [b""] * len(texts)
+        whole = sorted(set(range(len(texts))) - set(cut))
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        if not cut:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
+        begins = split.offsets.to_numpy()[:-1]
+        coded = split.values.dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        parts = coded.dictionary.to_pylist()
+        # a text's first part has no blank before it: an entry of its own
+        firsts = self._encode([parts[p] for p in place[begins]])
+        used = np.ones(len(place), bool)
+        used[begins] = False
+        others = np.unique(place[used])
+        known = self._learn([parts[p] for p in others])
+        entry = np.zeros(len(parts), np.int64)
+        entry[others] = np.arange(len(others))
+        place = entry[place]
+        place[begins] = len(others) + np.arange(len(cut))
+        packed = known + firsts
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+        ids = np.frombuffer(b"".join(packed), np.uint16)
+        start = np.cumsum(size) - size
+        number = size[place]
+        upto = np.cumsum(number)
+        gathered = ids[np.arange(upto[-1]) + np.repeat(start[place] - (upto - number), number)].tobytes()
+        ends = np.append((upto - number)[begins][1:], upto[-1]) * 2
+        low = 0
+        for i, high in zip(cut, ends.tolist(), strict=True):
+            out[i] = gathered[low:high]
+            low = high
+        return out
 
 
 def encoder(path: str | None = None) -> Encoder:
