@@ -3,10 +3,12 @@
 Copies of a text are one class from the start. Signatures of the classes' least documents are banded; documents
 that agree in a band share a bucket. First each bucket's members are compared with its least member; the verified
 links are contracted to components. Only buckets in which several components remain are looked at again: all their
-pairs across components whose signatures agree enough are verified on the spot (large buckets in slices, so that no
-task holds a whole one), and those that link give the rest of the classes. Pairs inside a component can't change the
+pairs across components whose signatures agree enough are verified on the spot (large buckets in slices of bounded
+rows and bytes, so that no task holds a whole one), and those that link give the rest of the classes. Pairs inside a component can't change the
 result and are left out.
 
+Joins that carry a bucket or its least member spread hot keys over several tasks.
+
 A pair is dropped unverified only if its signatures agree in fewer entries than the threshold less four standard
 deviations, or if it agrees in no band.
 """
@@ -25,7 +27,11 @@ from shelfmark.llm.components import components
 from shelfmark.llm.shingles import shingles
 
 SIMILARITY = (4, 5)  # the least similarity, as a fraction
-SLICE = 1024  # members of a bucket that a task compares with as many others
+SLICE = 1024  # members of a bucket that a task compares with as many others, at most
+SLICE_BYTES = 4 << 20  # of their shingles
+TOGETHER = 1 << 18  # shingles that are looked up at a time
+SPREAD = 2048  # rows of a join key that stay together
+PIECE = 1 << 20  # bytes of text that are signed at a time: it takes some fifty times as much memory
 Sign = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
@@ -52,7 +58,7 @@ def signed(docs: DataFrame, copies: DataFrame, sign: Sign) -> DataFrame:
     """rep, signature and bands of every class of copies that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, PIECE):
             signature, bands = sign(batch.column(2))
             full = np.flatnonzero(bands[:, 0] != 0)
             yield pa.RecordBatch.from_arrays(
@@ -71,11 +77,26 @@ def signed(docs: DataFrame, copies: DataFrame, sign: Sign) -> DataFrame:
     return stored(single.select(F.col("doc_id").alias("rep"), "signature", "bands"), "signatures")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame | None = None) -> DataFrame:
+    """left joined to right, which has one row per key; the rows of a hot key are spread by a hash of another column.
+
+    counts: key and n, the rows of left per key, if they are known.
+    """
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(counts.filter(F.col("n") > SPREAD).select(key, F.ceil(F.col("n") / SPREAD).cast("int").alias("parts")), "hot-keys")
+    parts = F.coalesce("parts", F.lit(1))
+    many = left.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+    one = right.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return many.join(one, [key, "part"]).drop("part")
+
+
 def buckets(signatures: DataFrame) -> DataFrame:
     """key, band, rep and least of every bucket with several members."""
     each = signatures.select(F.posexplode("bands").alias("band", "key"), "rep")
-    several = each.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-    return stored(each.join(several.select("key", "least"), "key"), "buckets")
+    several = each.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n"))
+    several = stored(several.filter("least < most").select("key", "least", "n"), "bucket-keys")
+    return stored(spread_join(each, several.select("key", "least"), "key", "rep", several), "buckets")
 
 
 def least_agreement(entries: int) -> int:
@@ -94,7 +115,8 @@ def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
     one = signatures.select(F.col("rep").alias("a"), F.col("signature").alias("x"))
     two = signatures.select(F.col("rep").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    both = spread_join(pairs.join(two, "b"), one, "a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -106,7 +128,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, multiset: bool) -> DataFrame:
     """rep and the packed, sorted 32-bit hashes of its shingles, for the given documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, PIECE):
             hashes, number = shingles(batch.column(1))
             ends = np.cumsum(number)
             out = []
@@ -143,7 +165,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     s.append(both / union)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = stored(pairs, "pairs")
+    joined = spread_join(pairs.join(sets.toDF("b", "y"), "b"), sets.toDF("a", "x"), "a", "b", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    joined = joined.select("a", "b", "x", "y")
     return stored(joined.mapInArrow(run, "a bigint, b bigint, similarity double"), "links")
 
 
@@ -161,17 +185,19 @@ def across(members: DataFrame, roots: DataFrame, signatures: DataFrame, sets: Da
     members meet, so pairs that fail are never rows.
     """
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = stored(placed.select("key", "band", "rep", "root"), "placed")
-    mixed = (
+    placed = placed.join(sets.select("rep", F.octet_length("hashes").alias("bytes")), "rep")
+    placed = stored(placed.select("key", "band", "rep", "root", "bytes"), "placed")
+    mixed = stored(
         placed.groupBy("key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
         .filter("low < high")
-        .select("key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+        .select("key", "n", F.greatest(F.ceil(F.col("n") / SLICE), F.ceil(F.col("bytes") / SLICE_BYTES)).cast("int").alias("slices")),
+        "mixed",
     )
     own = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     rows = (
-        placed.join(mixed, "key")
+        spread_join(placed.drop("bytes"), mixed.select("key", "slices"), "key", "rep", mixed)
         .join(signatures.select("rep", "signature", F.size("bands").alias("bands")), "rep")
         .join(sets, "rep")
         .withColumn("own", own)
@@ -199,8 +225,12 @@ def across(members: DataFrame, roots: DataFrame, signatures: DataFrame, sets: Da
             if not len(some):
                 continue
             length = np.array([len(sets[x]) for x in some])
-            same = np.isin(np.concatenate([sets[x] for x in some]), sets[at], kind="sort")
-            both = np.bincount(np.repeat(np.arange(len(some)), length), same, len(some)).astype(np.int64)
+            both = np.zeros(len(some), np.int64)
+            part = np.cumsum(length) // TOGETHER
+            for p in np.unique(part):
+                few = np.flatnonzero(part == p)
+                same = np.isin(np.concatenate([sets[x] for x in some[few]]), sets[at], kind="sort")
+                both[few] = np.bincount(np.repeat(np.arange(len(few)), length[few]), same, len(few))
             union = length + len(sets[at]) - both
             for n in np.flatnonzero(both * SIMILARITY[1] >= union * SIMILARITY[0]):
                 x = some[n]
