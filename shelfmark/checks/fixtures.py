@@ -121,9 +121,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches that have a vector of the same number."""
-    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return searches(spark, sf_dir).join(given, "query_id")
+    """All searches, each with the vector whose number is the search's modulo the number of vectors."""
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    place = F.col("query_id") % given.count()
+    return searches(spark, sf_dir).withColumn("vec_id", place).join(given, "vec_id").drop("vec_id")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,15 @@ from shelfmark.checks.registry import (
     CELLS,
     DIM,
     FETCH,
+    PQ,
     PROBES,
     SAMPLE,
     SMALL_FETCH,
+    STEPS,
     K,
 )
-from shelfmark.options import HybridWeights, StoreSearchOptions
+from shelfmark.operators import lsh
+from shelfmark.options import HybridWeights, LshOptions, StoreSearchOptions
 from shelfmark.plans.taxonomy import STARTER_CATEGORIES
 
 ORACLE: dict[str, str] = {}
@@ -89,7 +92,7 @@ ASKED = {
     **SEARCHES,
     **VECTORS,
     "asked": """SELECT s.query_id, s.query_text, e.embedding
-FROM searches s JOIN embeddings e ON e.vec_id = s.query_id""",
+FROM searches s JOIN embeddings e ON e.vec_id = s.query_id % (SELECT count(*) FROM embeddings)""",
 }
 
 
@@ -468,6 +471,113 @@ GROUP BY product_id""",
     NEIGHBOURS,
 )
 
+
+
+def first_vectors(number: int, source: str = "vectors") -> str:
+    return f"""SELECT product_id, embedding FROM {source}
+ORDER BY md5(CAST(product_id AS VARCHAR) || ':42'), product_id LIMIT {number}"""
+
+
+def trained(steps: int, number: int, rows: str, width: int) -> dict[str, str]:
+    """Centres after some steps of k-means in every slice of ``width`` components; the parts end in ``trained``."""
+    parts = {
+        "trained_on": f"SELECT e.* FROM elements e JOIN ({rows}) USING (product_id)",
+        "centres_0": f"""SELECT row_number() OVER (PARTITION BY e.pos ORDER BY e.product_id) - 1 AS code, e.pos, e.x AS c
+FROM elements e JOIN ({first_vectors(number, f"({rows})")}) USING (product_id)""",
+    }
+    for i in range(steps):
+        parts[f"nearest_{i}"] = nearest_codes("trained_on", f"centres_{i}", width)
+        parts[f"centres_{i + 1}"] = f"""SELECT o.code, o.pos, coalesce(n.c, o.c) AS c FROM centres_{i} o LEFT JOIN (
+  SELECT k.code, e.pos, CAST(CAST(CAST(sum(CAST(floor(e.x * 1048576 + 0.5) AS BIGINT)) AS DOUBLE) / 1048576 / count(*) AS FLOAT) AS DOUBLE) AS c
+  FROM trained_on e JOIN nearest_{i} k ON e.product_id = k.product_id AND e.pos // {width} = k.subspace
+  GROUP BY k.code, e.pos) n ON o.code = n.code AND o.pos = n.pos"""
+    return parts | {"trained": f"SELECT * FROM centres_{steps}"}
+
+
+def nearest_codes(elements: str, centres: str, width: int) -> str:
+    return f"""SELECT product_id, subspace, code FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_id, subspace ORDER BY d, code) AS nth FROM (
+    SELECT e.product_id, e.pos // {width} AS subspace, c.code, sum((e.x - c.c) * (e.x - c.c)) AS d
+    FROM {elements} e JOIN {centres} c ON e.pos = c.pos
+    GROUP BY e.product_id, subspace, c.code))
+WHERE nth = 1"""
+
+
+ALL_VECTORS = "SELECT product_id, embedding FROM vectors"
+ORACLE["ivf_assign"] = statement(
+    {
+        **ELEMENTS,
+        **trained(STEPS, CELLS, ALL_VECTORS, DIM),
+        "assigned": nearest_codes("elements", "trained", DIM),
+    },
+    "SELECT product_id, code AS cell FROM assigned",
+)
+ORACLE["ivf_knn"] = statement(
+    {
+        **ASKED,
+        **ELEMENTS,
+        **trained(STEPS, CELLS, first_vectors(4 * SAMPLE), DIM),
+        "assigned": nearest_codes("elements", "trained", DIM),
+        "learned": "SELECT code AS cell, list(c ORDER BY pos) AS centre FROM trained GROUP BY code",
+        "probed": f"""SELECT query_id, cell FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, cell) AS nth FROM (
+    SELECT q.query_id, c.cell, {squared('q.embedding', 'c.centre')} AS d
+    FROM asked q, learned c))
+WHERE nth <= {PROBES}""",
+        "found": ranked_pairs(
+            squared("q.embedding", "v.embedding"),
+            K,
+            """asked q JOIN probed p USING (query_id) JOIN assigned a ON a.code = p.cell
+JOIN vectors v ON v.product_id = a.product_id""",
+        ),
+    },
+    NEIGHBOURS,
+)
+LEARNED_CODES = {
+    **ELEMENTS,
+    **trained(PQ.iterations, 1 << PQ.bits, ALL_VECTORS, DIM // PQ.subspaces),
+    "codes": nearest_codes("elements", "trained", DIM // PQ.subspaces),
+}
+ORACLE["pq_encode"] = statement(
+    LEARNED_CODES,
+    "SELECT product_id, CAST(subspace AS INTEGER) AS subspace, CAST(code AS INTEGER) AS code FROM codes",
+)
+ORACLE["pq_knn"] = statement(
+    {
+        **ASKED,
+        **LEARNED_CODES,
+        "decoded": f"""SELECT product_id, list(c.c ORDER BY c.pos) AS embedding
+FROM codes k JOIN trained c ON c.code = k.code AND c.pos // {DIM // PQ.subspaces} = k.subspace
+GROUP BY product_id""",
+        "found": ranked_pairs(squared("q.embedding", "v.embedding"), K, "asked q, decoded v"),
+    },
+    NEIGHBOURS,
+)
+# The hashed index's directions are parameters: seeded random numbers, written out.
+LINES = ", ".join(
+    f"({at}, {[float(x) for x in line]})" for at, line in enumerate(lsh.directions(DIM, LshOptions()))
+)
+IN_BUCKET = (
+    "CAST(floor(list_sum(list_transform(list_zip(v.embedding, c.direction),"
+    f" lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / {LshOptions.bucket_length}) AS BIGINT)"
+)
+ORACLE["lsh_knn"] = statement(
+    {
+        **ASKED,
+        "lines": f"SELECT * FROM (VALUES {LINES}) AS l(line, direction)",
+        "buckets": f"SELECT product_id, c.line, {IN_BUCKET} AS bucket FROM vectors v, lines c",
+        "asked_buckets": f"SELECT query_id, c.line, {IN_BUCKET} AS bucket FROM asked v, lines c",
+        "near": """SELECT DISTINCT a.query_id, b.product_id
+FROM asked_buckets a JOIN buckets b ON a.line = b.line AND a.bucket = b.bucket""",
+        "found": ranked_pairs(
+            squared("q.embedding", "v.embedding"),
+            K,
+            "asked q JOIN near n USING (query_id) JOIN vectors v ON v.product_id = n.product_id",
+        ),
+    },
+    NEIGHBOURS,
+)
+
 # Query understanding
 
 NO_RANGE = f"NOT {has('query_text', RANGE)}"

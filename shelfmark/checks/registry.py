@@ -67,6 +67,7 @@ PROBES = 3
 CELLS = 10
 BUCKET = 0.25
 SAMPLE = 100
+STEPS = 3
 SMALL_FETCH = StoreSearchOptions(top_k=5, fetch_multiplier=8)
 
 
@@ -460,16 +461,18 @@ def ivf_probe_all(spark, sf_dir):
 @query
 def ivf_assign(spark, sf_dir):
     vectors = fx.vectors(spark, sf_dir)
-    centroids = ivf.train_centroids(vectors, IvfOptions(cells=CELLS))
+    centroids = ivf.train_centroids(vectors, IvfOptions(cells=CELLS, iterations=STEPS))
     return ivf.assign_cells(vectors, centroids).select("product_id", "cell")
 
 
 @query
 def ivf_knn(spark, sf_dir):
     vectors = fx.vectors(spark, sf_dir)
-    centroids = ivf.train_centroids(vectors, IvfOptions(cells=CELLS, train_rows=SAMPLE * 4))
+    options = IvfOptions(cells=CELLS, train_rows=SAMPLE * 4, iterations=STEPS)
+    centroids = ivf.train_centroids(vectors, options)
     assigned = ivf.assign_cells(vectors, centroids)
-    return ivf.search_cells(fx.vector_searches(spark, sf_dir), assigned, centroids, K, PROBES)
+    found = ivf.search_cells(fx.vector_searches(spark, sf_dir), assigned, centroids, K, PROBES)
+    return found.select("query_id", "product_id", *rounded("distance"))
 
 
 def _label_lines(vectors: DataFrame) -> np.ndarray:
@@ -502,9 +505,10 @@ def lsh_knn(spark, sf_dir):
     options = LshOptions()
     lines = lsh.directions(DIM, options)
     stored = lsh.bucket_rows(fx.vectors(spark, sf_dir).drop("cell"), lines, options.bucket_length)
-    return lsh.search_buckets(
+    found = lsh.search_buckets(
         fx.vector_searches(spark, sf_dir), stored, lines, options.bucket_length, K
     )
+    return found.select("query_id", "product_id", *rounded("distance"))
 
 
 def _label_codebook(vectors: DataFrame, parts: int = 8) -> DataFrame:
@@ -535,13 +539,16 @@ def pq_label_knn(spark, sf_dir):
     return found.select("query_id", "product_id", *rounded("distance"))
 
 
-PQ = PqOptions(bits=5)
+PQ = PqOptions(bits=5, iterations=2)
 
 
 @query
 def pq_encode(spark, sf_dir):
     vectors = fx.vectors(spark, sf_dir)
-    return pq.encode_vectors(vectors, pq.train_codebook(vectors, PQ)).select("product_id", "codes")
+    coded = pq.encode_vectors(vectors, pq.train_codebook(vectors, PQ))
+    return coded.select("product_id", F.posexplode("codes").alias("subspace", "code")).select(
+        "product_id", "subspace", F.col("code").cast("int").alias("code")
+    )
 
 
 @query
@@ -549,7 +556,8 @@ def pq_knn(spark, sf_dir):
     vectors = fx.vectors(spark, sf_dir)
     codebook = pq.train_codebook(vectors, PQ)
     coded = pq.encode_vectors(vectors, codebook)
-    return pq.search_codes(fx.vector_searches(spark, sf_dir), coded, codebook, K)
+    found = pq.search_codes(fx.vector_searches(spark, sf_dir), coded, codebook, K)
+    return found.select("query_id", "product_id", *rounded("distance"))
 
 
 # Query understanding

@@ -6,14 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.operators import blocks
-from shelfmark.operators.blocks import local_table, matrix_of, small_block, unpack
+from shelfmark.operators import blocks, kmeans
+from shelfmark.operators.blocks import local_table, matrix_of, small_block
 from shelfmark.operators.knn import CELL, ITEM, QUERY, VECTOR, nearest
 from shelfmark.operators.order_statistics import sample_rows
 from shelfmark.operators.topk_kernel import BestPairs, scan_block
@@ -22,9 +20,13 @@ from shelfmark.sources.workspace import new_folder
 
 
 def training_rows(vectors: DataFrame, rows: int | None, seed: int) -> DataFrame:
-    """All vectors, or a seeded sample of them."""
+    """All vectors, or a seeded sample of them, written once as training reads it several times."""
     present = vectors.where(F.col(VECTOR).isNotNull()).select(ITEM, VECTOR)
-    return unpack(present if rows is None else sample_rows(present, ITEM, rows, seed), VECTOR)
+    if rows is None:
+        return present
+    path = new_folder(vectors.sparkSession, "training-rows")
+    sample_rows(present, ITEM, rows, seed).write.parquet(path)
+    return vectors.sparkSession.read.parquet(path)
 
 
 def train_centroids(vectors: DataFrame, options: IvfOptions = IvfOptions()) -> DataFrame:
@@ -32,14 +34,9 @@ def train_centroids(vectors: DataFrame, options: IvfOptions = IvfOptions()) -> D
 
     For inner products the centres are those of the directions.
     """
-    sample = training_rows(vectors, options.train_rows, options.seed).select(
-        array_to_vector(VECTOR).alias("features")
-    )
-    measure = "euclidean" if options.metric == "l2" else "cosine"
-    model = KMeans(
-        k=options.cells, seed=options.seed, maxIter=options.iterations, distanceMeasure=measure
-    ).fit(sample)
-    rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(model.clusterCenters())]
+    sample = training_rows(vectors, options.train_rows, options.seed)
+    (centres,) = kmeans.train(sample, options.cells, options.iterations, options.seed, unit=options.metric != "l2")
+    rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(centres)]
     return local_table(vectors.sparkSession, f"{CELL} bigint, {VECTOR} array<float>", rows)
 
 
