@@ -11,6 +11,7 @@ from shelfmark.checks.registry import (
     BUCKET,
     CELLS,
     DIM,
+    EXTRA_BUCKETS,
     FETCH,
     PQ,
     PROBES,
@@ -578,6 +579,34 @@ FROM asked_buckets a JOIN buckets b ON a.line = b.line AND a.bucket = b.bucket""
     NEIGHBOURS,
 )
 
+ORACLE["lsh_roundtrip"] = ORACLE["lsh_knn"]
+PLACE = IN_BUCKET.removeprefix("CAST(floor(").removesuffix(") AS BIGINT)")
+ORACLE["lsh_probe"] = statement(
+    {
+        **ASKED,
+        "lines": f"SELECT * FROM (VALUES {LINES}) AS l(line, direction)",
+        "buckets": f"SELECT product_id, c.line, {IN_BUCKET} AS bucket FROM vectors v, lines c",
+        "places": f"SELECT query_id, c.line, {PLACE} AS place FROM asked v, lines c",
+        "beside": f"""SELECT query_id, line, bucket FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY away, line, bucket) AS nth FROM (
+    SELECT query_id, line, CAST(floor(place) AS BIGINT) - 1 AS bucket, place - floor(place) AS away FROM places
+    UNION ALL
+    SELECT query_id, line, CAST(floor(place) AS BIGINT) + 1, 1 - (place - floor(place)) FROM places))
+WHERE nth <= {EXTRA_BUCKETS}""",
+        "asked_buckets": """SELECT query_id, line, CAST(floor(place) AS BIGINT) AS bucket FROM places
+UNION ALL SELECT * FROM beside""",
+        "near": """SELECT DISTINCT a.query_id, b.product_id
+FROM asked_buckets a JOIN buckets b ON a.line = b.line AND a.bucket = b.bucket""",
+        "found": ranked_pairs(
+            squared("q.embedding", "v.embedding"),
+            K,
+            "asked q JOIN near n USING (query_id) JOIN vectors v ON v.product_id = n.product_id",
+        ),
+    },
+    NEIGHBOURS,
+)
+ORACLE["pq_roundtrip"] = ORACLE["pq_label_knn"]
+
 # Query understanding
 
 NO_RANGE = f"NOT {has('query_text', RANGE)}"

@@ -54,7 +54,7 @@ from shelfmark.plans.search import (
 )
 from shelfmark.plans.taxonomy import STARTER_CATEGORIES
 from shelfmark.sources import catalog as files
-from shelfmark.sources import indexes
+from shelfmark.sources import indexes, published
 from shelfmark.sources.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,7 @@ CELLS = 10
 BUCKET = 0.25
 SAMPLE = 100
 STEPS = 3
+EXTRA_BUCKETS = 4
 SMALL_FETCH = StoreSearchOptions(top_k=5, fetch_multiplier=8)
 
 
@@ -511,6 +512,41 @@ def lsh_knn(spark, sf_dir):
     return found.select("query_id", "product_id", *rounded("distance"))
 
 
+def _stored_lsh(spark, sf_dir) -> published.Hashed:
+    options = LshOptions()
+    path = new_folder(spark, "hashed")
+    published.save_hashed(
+        fx.vectors(spark, sf_dir).drop("cell"), lsh.directions(DIM, options), options.bucket_length, path
+    )
+    return published.load_hashed(spark, path)
+
+
+@query
+def lsh_roundtrip(spark, sf_dir):
+    """The hashed index with postings, saved, loaded and searched."""
+    index = _stored_lsh(spark, sf_dir)
+    found = lsh.search_postings(
+        fx.vector_searches(spark, sf_dir), index.postings, index.vectors, index.lines, index.bucket_length, K
+    )
+    return found.select("query_id", "product_id", *rounded("distance"))
+
+
+@query
+def lsh_probe(spark, sf_dir):
+    """The same, asking also for the 4 neighbouring buckets whose border is nearest."""
+    index = _stored_lsh(spark, sf_dir)
+    found = lsh.search_postings(
+        fx.vector_searches(spark, sf_dir),
+        index.postings,
+        index.vectors,
+        index.lines,
+        index.bucket_length,
+        K,
+        extra=EXTRA_BUCKETS,
+    )
+    return found.select("query_id", "product_id", *rounded("distance"))
+
+
 def _label_codebook(vectors: DataFrame, parts: int = 8) -> DataFrame:
     """Codes are the labels, centres the slices of the labels' mean vectors."""
     width = DIM // parts
@@ -560,6 +596,17 @@ def pq_knn(spark, sf_dir):
     return found.select("query_id", "product_id", *rounded("distance"))
 
 
+@query
+def pq_roundtrip(spark, sf_dir):
+    """Codes and codebook, saved, loaded and searched."""
+    vectors, path = fx.vectors(spark, sf_dir), new_folder(spark, "codes")
+    codebook = _label_codebook(vectors)
+    published.save_codes(pq.encode_vectors(vectors, codebook), codebook, path)
+    coded, codebook = published.load_codes(spark, path)
+    found = pq.search_codes(fx.vector_searches(spark, sf_dir), coded, codebook, K)
+    return found.select("query_id", "product_id", *rounded("distance"))
+
+
 # Query understanding
 
 
