@@ -1,12 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words (lower-case ASCII letters, split at ASCII marks) and their first bytes, as hashes. Of the labelled
-sample, the terms that occur in toxic documents far more often than in others are kept, a bounded number; a text's
-TF-IDF vector is over these. Equal example vectors are merged with their votes. The index holds, per term, postings
-by example and the greatest weight per block of examples; a look-up takes blocks in the order of their bounds and
-stops when the next bound can't reach the k-th best cosine, so it is exact. The neighbours vote with their cosine as
-weight, with the class shares of the whole sample restored, and a prior of one neighbour as far off as the weakest
-term allows; they are the evidence.
+Terms are words (lower-case ASCII letters, split at ASCII marks) and the first bytes of longer words, as hashes. An
+example's vector holds all of its terms: (1 + log count) times the inverse document frequency times a class weight,
+which is LEAST_WEIGHT for a term that is as frequent in toxic examples as in others, and grows with the logarithm of
+how much more frequent it is there. No term is left out, so a copy of an example has a cosine of 1 with it; a text's
+terms that no example holds add to the length of its vector with the weight of an unseen term.
+
+Equal example vectors are merged with their votes. The index holds, per term, postings by example and the greatest
+weight per block of examples. A look-up adds up bounds per block, computes the blocks of the highest bounds, then all
+others whose bound reaches the k-th best cosine, so it is exact. The neighbours vote with weights that fall with the distance, with
+part of the class shares of the whole labels restored, and a prior of PRIOR votes; they are the evidence.
 
 Defined results: a null or empty text, or one without any of the terms, is scored by the share of toxic examples
 without terms; repeated rows are scored alike; without toxic examples every score is 0; an empty table gives no rows.
@@ -22,19 +25,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import batch_bytes, mix64, pieces_of, text_of
-from shelfmark.llm.labelled import MOST_PER_CLASS, held_out, sample_labels, sampled_texts
+from shelfmark.llm.labelled import held_out, sample_labels, sampled_texts
 from shelfmark.llm.shingles import _BASE, _INVERSE, _power
 
 MODULUS, REMAINDER = 5, 0  # the fold that isn't learned from
 THRESHOLD = 0.5
-STEMS = (4, 5, 6)  # first bytes of longer words that are terms too
-MOST_TERMS = 4096
-LEAST_DOCUMENTS, LEAST_SHARE = 3, 0.015  # toxic examples that hold a term, at least: so many, and so large a share
-LEAST_RATIO = 30.0  # how much more often a term occurs in toxic examples
+MOST = 1000  # labelled rows of a class that examples are made of, at most
+STEM = 5  # first bytes of longer words that are terms too
+LEAST_WEIGHT = 0.05  # class weight of a term that says nothing
 EASE = 1.5  # added to the other examples that hold a term
 NEIGHBOURS = 15
-BLOCK = 64
-PRIOR = 0.25  # weight of the sample's toxic share in a vote
+BLOCK = 32
+FIRST = 4  # blocks that are computed before others are ruled out
+RESTORED = 0.5  # power of the class shares that votes get back: the sample has about as many rows of each class
+PIECE = 1 << 20  # bytes of text that a task looks at at a time
+NEAR = 0.05  # a vote weighs cosine / (NEAR + distance), the distance being 1 - cosine: a copy's as 20 far ones
+PRIOR = 0.25  # weight of the labels' toxic share in a vote
 # Letters and digits keep their place (upper case becomes lower), bytes above ASCII too; all other bytes part words.
 _FOLD = np.zeros(256, np.uint8)
 for _c in (*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(128, 256)):
@@ -64,39 +70,52 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     back = _power(_INVERSE, n)[starts]
     owner = np.searchsorted(offsets, starts, "right") - 1
     found, owners = [mix64((sums[ends] - sums[starts]) * back)], [owner]
-    for m in STEMS:
-        longer = np.flatnonzero(ends - starts > m)
-        found.append(mix64((sums[starts[longer] + m] - sums[starts[longer]]) * back[longer] + np.uint64(m)))
-        owners.append(owner[longer])
+    longer = np.flatnonzero(ends - starts > STEM)
+    found.append(mix64((sums[starts[longer] + STEM] - sums[starts[longer]]) * back[longer] + np.uint64(STEM)))
+    owners.append(owner[longer])
     return np.concatenate(found), np.concatenate(owners)
 
 
+def term_counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct terms, ascending, and how often they occur."""
+    found, owner = terms(texts)
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(fresh)
+    count, of = np.diff(np.append(first, len(found))), owner[first]
+    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield found[first[a:b]], count[a:b]
+
+
+def _ranges(first: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (number[0] of them), first[1], ..."""
+    upto = np.cumsum(number)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - number), number)
+
+
 class Vocabulary:
-    """The kept terms, sorted by hash, with their inverse document frequencies."""
-
-    def __init__(self, hashes: np.ndarray, idf: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.idf = hashes[order], idf[order]
-        self.low = np.zeros(1 << 16, bool)
-        self.low[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def vectors(self, texts: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(text, terms, unit TF-IDF weights) of the texts that hold any of the terms."""
-        found, owner = terms(texts)
-        maybe = np.flatnonzero(self.low[(found & np.uint64(0xFFFF)).astype(np.int64)])
-        found, owner = found[maybe], owner[maybe]
-        at = np.searchsorted(self.hashes, found)
-        hit = at < len(self.hashes)
-        hit[hit] = self.hashes[at[hit]] == found[hit]
-        key, count = np.unique(owner[hit] * MOST_TERMS + at[hit], return_counts=True)
-        texts_of, term = key // MOST_TERMS, key % MOST_TERMS
-        weight = (1 + np.log(count)) * self.idf[term]
-        out = []
-        cuts = np.flatnonzero(np.diff(texts_of, prepend=-1)).tolist()
-        for a, b in zip(cuts, [*cuts, len(key)][1:], strict=True):
-            w = weight[a:b]
-            out.append((int(texts_of[a]), term[a:b], w / np.sqrt(w @ w)))
-        return out
+    """All terms of the examples, sorted by hash, with their weights."""
+
+    def __init__(self, hashes: np.ndarray, weight: np.ndarray, unseen: float):
+        self.hashes, self.weight, self.unseen = hashes, weight, unseen
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def vector(self, found: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and unit TF-IDF weights of a text's terms; unknown ones only make the known weights smaller."""
+        tf = 1 + np.log(count)
+        some = np.flatnonzero(self.maybe[(found & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        at = np.searchsorted(self.hashes, found[some])
+        at[at == len(self.hashes)] = 0
+        hit = self.hashes[at] == found[some] if len(self.hashes) else np.zeros(0, bool)
+        term, known = at[hit], some[hit]
+        weight = tf[known] * self.weight[term]
+        others = tf @ tf - tf[known] @ tf[known]
+        length = np.sqrt(weight @ weight + max(others, 0.0) * self.unseen**2)
+        return term, weight / length if len(weight) else weight
 
 
 class BlockMaxIndex:
@@ -109,149 +128,117 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in examples]) if examples else np.zeros(0)
         doc = np.repeat(np.arange(self.n), [len(t) for t, _ in examples])
         order = np.lexsort((doc, term))
-        self.doc, self.weight, term = doc[order], weight[order], term[order]
+        doc, self.weight, term = doc[order], weight[order], term[order]
         # One entry per term and block: its postings and their greatest weight.
-        key = term * (self.n // BLOCK + 1) + self.doc // BLOCK
+        key = term * (self.n // BLOCK + 1) + doc // BLOCK
         self.begin = np.flatnonzero(np.diff(key, prepend=-1))
-        self.end = np.append(self.begin[1:], len(key))
-        self.block = (self.doc // BLOCK)[self.begin] if len(key) else np.zeros(0, np.int64)
+        self.number = np.diff(np.append(self.begin, len(key)))
+        self.block = (doc // BLOCK)[self.begin] if len(key) else np.zeros(0, np.int64)
         self.greatest = np.maximum.reduceat(self.weight, self.begin) if len(key) else np.zeros(0)
         self.first = np.searchsorted(term[self.begin] if len(key) else term, np.arange(number_of_terms + 1))
         self.blocks = self.n // BLOCK + 1
+        self.doc = doc.astype(np.int32)
 
     def nearest(self, query: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples with the k best cosines above 0, best first (ties: by place), and the cosines."""
-        entries = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in query])
-        of = np.repeat(weights, [self.first[t + 1] - self.first[t] for t in query])
-        bound = np.bincount(self.block[entries], self.greatest[entries] * of, self.blocks)
+        number = self.first[query + 1] - self.first[query]
+        entries = _ranges(self.first[query], number)
+        of, block = np.repeat(weights, number), self.block[entries]
+        bound = np.bincount(block, self.greatest[entries] * of, self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        by_block = np.argsort(self.block[entries], kind="stable")
-        sorted_blocks = self.block[entries][by_block]
-        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while at < len(order):
-            if len(cosine) >= k and bound[order[at]] < cosine[k - 1] - 1e-12:
-                break
-            docs, parts = [], []
-            for b in order[at : at + step]:
-                for e in by_block[np.searchsorted(sorted_blocks, b) : np.searchsorted(sorted_blocks, b, "right")]:
-                    postings = slice(self.begin[entries[e]], self.end[entries[e]])
-                    docs.append(self.doc[postings])
-                    parts.append(self.weight[postings] * of[e])
-            docs, back = np.unique(np.concatenate(docs), return_inverse=True)
-            best = np.concatenate([best, docs])
-            cosine = np.concatenate([cosine, np.bincount(back, np.concatenate(parts))])
+        first = np.zeros(self.blocks, bool)
+        first[order[:FIRST]] = True
+        best, cosine = self._best(entries, of, first[block], k)
+        least = cosine[k - 1] if len(cosine) >= k else 0.0
+        rest = ~first & (bound > 0) & (bound >= least - 1e-9)
+        if rest.any():
+            more, others = self._best(entries, of, rest[block], k)
+            best, cosine = np.concatenate([best, more]), np.concatenate([cosine, others])
             keep = np.lexsort((best, -cosine))[:k]
             best, cosine = best[keep], cosine[keep]
-            at, step = at + step, step * 2
         return best, cosine
 
+    def _best(self, entries: np.ndarray, of: np.ndarray, chosen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the examples in the chosen entries' blocks."""
+        entries = entries[chosen]
+        number = self.number[entries]
+        places = _ranges(self.begin[entries], number)
+        score = np.bincount(self.doc[places], self.weight[places] * np.repeat(of[chosen], number), self.n)
+        some = np.flatnonzero(score > 0)
+        if len(some) > 4 * k:
+            some = some[score[some] >= np.partition(score[some], -k)[-k]]
+        keep = some[np.lexsort((some, -score[some]))[:k]]
+        return keep, score[keep]
+
 
 class Classifier:
     """The index with its examples' votes; scores texts."""
 
-    def __init__(self, vocabulary: Vocabulary, examples: list, without: tuple[float, float], prior: float):
-        """examples: (terms, weights, toxic votes, all votes, smallest doc_id); without: votes of examples without terms."""
-        self.vocabulary, self.prior = vocabulary, prior
-        examples = sorted(examples, key=lambda e: (e[0][np.argmax(e[1])], e[4]))
-        self.index = BlockMaxIndex([(t, w) for t, w, *_ in examples], len(vocabulary.hashes))
-        self.toxic = np.array([e[2] for e in examples])
-        self.votes = np.array([e[3] for e in examples])
-        self.ids = np.array([e[4] for e in examples], np.int64)
-        self.none = without[0] / without[1] if without[1] else prior
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray, int, int]], weight: dict[int, float], number: dict[int, int]):
+        """examples: (terms, counts, label, doc_id) of sampled texts; weight: labelled rows per sampled one by class."""
+        total = {c: number.get(c, 0) * weight.get(c, 1.0) for c in (0, 1)}
+        self.prior = total[1] / sum(total.values()) if total[1] else 0.0
+        hashes, at = np.unique(np.concatenate([e[0] for e in examples]), return_inverse=True) if examples else (np.zeros(0, np.uint64),) * 2
+        label = np.repeat([e[2] for e in examples], [len(e[0]) for e in examples]).astype(np.int64)
+        df = [np.bincount(at[label == c], minlength=len(hashes)) for c in (0, 1)]
+        n = [sum(e[2] == c for e in examples) for c in (0, 1)]
+        ratio = ((df[1] + 0.5) / (n[1] + 1)) / ((df[0] + EASE) / (n[0] + 1))
+        idf = np.log((len(examples) + 1) / (df[0] + df[1] + 1)) + 1
+        unseen = (np.log(len(examples) + 1) + 1) * LEAST_WEIGHT
+        self.vocabulary = Vocabulary(hashes, idf * (LEAST_WEIGHT + np.maximum(np.log(ratio), 0)), unseen)
+        w = {c: weight.get(c, 1.0) ** RESTORED for c in (0, 1)}
+        merged: dict[bytes, list] = {}
+        for found, count, c, doc in examples:
+            held = merged.setdefault(found.tobytes() + count.astype(np.int64).tobytes(), [found, count, 0.0, 0.0, doc])
+            held[2] += w[c] * c
+            held[3] += w[c]
+            held[4] = min(held[4], doc)
+        self.none = self.prior
+        empty = merged.pop(b"", None)
+        if empty:
+            self.none = empty[2] / empty[3]
+        vectors = [(*self.vocabulary.vector(found, count), *votes) for found, count, *votes in merged.values()]
+        vectors.sort(key=lambda e: (e[0][np.argmax(e[1])], e[4]))  # those of one heaviest term share blocks
+        self.index = BlockMaxIndex([(t, x) for t, x, *_ in vectors], len(hashes))
+        self.toxic, self.votes = (np.array([e[i] for e in vectors]) for i in (2, 3))
+        self.ids = np.array([e[4] for e in vectors], np.int64)
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
         """Score of each text, and the ids of the examples that voted."""
         out, evidence = np.full(len(texts), self.none), [[] for _ in range(len(texts))]
-        for at, term, weight in self.vocabulary.vectors(texts):
+        for at, (found, count) in enumerate(term_counts(texts)):
+            term, weight = self.vocabulary.vector(found, count)
+            if len(found):
+                out[at] = self.prior
+            if not len(term):
+                continue
             near, cosine = self.index.nearest(term, weight, NEIGHBOURS)
-            if len(near):
-                # Merged examples vote as often as they occur, until NEIGHBOURS votes are cast.
-                before = np.cumsum(self.votes[near]) - self.votes[near]
-                cast = np.clip(NEIGHBOURS - before, 0, self.votes[near]) * cosine
-                share = self.toxic[near] / self.votes[near]
-                out[at] = (cast @ share + PRIOR * self.prior) / (cast.sum() + PRIOR)
-                evidence[at] = self.ids[near].tolist()
+            close = cosine / (1 + NEAR - cosine)
+            out[at] = (self.toxic[near] @ close + PRIOR * self.prior) / (self.votes[near] @ close + PRIOR)
+            evidence[at] = self.ids[near].tolist()
         return out, evidence
 
 
-def choose_terms(sample: DataFrame, weight: dict[int, float]) -> tuple[Vocabulary, dict[int, float]]:
-    """Terms much more frequent in toxic examples, and the number of examples of each class."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
-            label = batch.column(2).to_numpy()
-            found, owner = terms(batch.column(1))
-            order = np.lexsort((found, owner))
-            found, owner = found[order], owner[order]
-            fresh = np.ones(len(found), bool)
-            fresh[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-            term, back = np.unique(found[fresh], return_inverse=True)
-            toxic = np.bincount(back, label[owner[fresh]], len(term)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(term.view(np.int64)), pa.array(toxic), pa.array(np.bincount(back, minlength=len(term)) - toxic)],
-                names=["term", "toxic", "other"],
-            )
-
-    number = {c: 0 for c in (0, 1)} | {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counted = (
-        sample.select("doc_id", "text", "label")
-        .mapInArrow(count, "term bigint, toxic bigint, other bigint")
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    )
-    ratio = ((F.col("toxic") + 0.5) / (number[1] + 1)) / ((F.col("other") + EASE) / (number[0] + 1))
-    kept = (
-        counted.filter((F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * number[1])) & (ratio >= LEAST_RATIO))
-        .withColumn("gain", F.col("toxic") * F.log(ratio))
-        .orderBy(F.desc("gain"), "term")
-        .limit(MOST_TERMS)
-        .collect()
-    )
-    total = sum(number[c] * weight.get(c, 1.0) for c in number)
-    df = np.array([r["toxic"] * weight.get(1, 1.0) + r["other"] * weight.get(0, 1.0) for r in kept])
-    idf = np.log((total + 1) / (df + 1)) + 1
-    return Vocabulary(np.array([r["term"] for r in kept], np.int64).view(np.uint64), idf), number
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Classifier:
     """Fit on at most about `most` labelled rows a class outside the held-out fold."""
     chosen, weight = sample_labels(labels, "toxic", MODULUS, REMAINDER, most)
     sample = sampled_texts(docs, chosen, "toxic-sample")
-    vocabulary, number = choose_terms(sample, weight)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            rows = vocabulary.vectors(batch.column(1))
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[2].tolist() for r in rows], pa.list_(pa.float64())),
-                    batch.column(2).take(at),
-                    batch.column(0).take(at),
-                ],
-                names=["terms", "weights", "label", "doc_id"],
-            )
+            found = list(term_counts(batch.column(1)))
+            packed = [pa.array([f[i].astype(k).tobytes() for f in found], pa.binary()) for i, k in ((0, np.uint64), (1, np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed], names=["doc_id", "label", "terms", "counts"])
 
-    made = (
+    rows = (
         sample.select("doc_id", "text", "label")
-        .mapInArrow(vectors, "terms array<bigint>, weights array<double>, label int, doc_id bigint")
-        .groupBy("terms", "weights")
-        .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"), F.min("doc_id").alias("doc_id"))
-        .orderBy("doc_id")
+        .mapInArrow(count, "doc_id bigint, label int, terms binary, counts binary")
+        .orderBy("doc_id", "label")
         .collect()  # at most as many rows as the sample
     )
-    w = {c: weight.get(c, 1.0) for c in (0, 1)}
-    examples = [
-        (np.array(r["terms"]), np.array(r["weights"]), r["toxic"] * w[1], r["toxic"] * w[1] + r["other"] * w[0], r["doc_id"])
-        for r in made
-    ]
-    seen = {1: sum(r["toxic"] for r in made), 0: sum(r["other"] for r in made)}
-    left = {c: (number[c] - seen[c]) * w[c] for c in (0, 1)}
-    total = number[0] * w[0] + number[1] * w[1]
-    prior = number[1] * w[1] / total if total else 0.0
-    return Classifier(vocabulary, examples, (left[1], left[0] + left[1]), prior)
+    examples = [(np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.int64), r["label"], r["doc_id"]) for r in rows]
+    number = {c: sum(r["label"] == c for r in rows) for c in (0, 1)}
+    return Classifier(examples, weight, number)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -259,7 +246,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)  # travels with the function; bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, PIECE):
             s, evidence = model.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [
