@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import batch_bytes, pieces_of, stored, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
-KEPT_PARTS = 300_000  # parts that a worker keeps; beyond it, those it hasn't met for as many further parts go
+KEPT_PARTS = 500_000  # parts that a worker keeps; beyond it, those it hasn't met for as many further parts go
+LETTERS = "\u0250"  # letters below it (Latin ones) are known to be letters for the pre-splitting
+MARKS = ".,;:!?%&*#$"
+MOST_MARKS = 100_000
 TOGETHER = 500  # parts that are encoded as one text
 SPECIAL = "<|endoftext|>"
 
@@ -61,6 +64,7 @@ class Encoder:
         self.kept = kept
         self.parts: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the generation before
+        self.marks: dict[str, bytes] = {}
         blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
         self.begins = np.zeros(1 << 16, bool)  # ids that begin with a blank
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
@@ -93,10 +97,20 @@ class Encoder:
             self.parts.update((parts[i], found[i]) for i in missed if found[i] is not None)
             missed = [i for i in missed if found[i] is None]
         names = [parts[i] for i in missed]
-        new = self._new(names)
-        for i, ids in zip(missed, new, strict=True):
-            found[i] = ids
-        self.parts.update(zip(names, new))
+        # a word with marks behind it is the word and the marks, which many words share
+        words = [p.rstrip(MARKS) for p in names]
+        bare = [w if w != p and w.isalpha() and max(w) < LETTERS else "" for w, p in zip(words, names)]
+        alone = dict.fromkeys(p for p, w in zip(names, bare) if not w)
+        alone.update(dict.fromkeys(w for w in bare if w and w not in self.parts and w not in self.before))
+        self.parts.update(zip(alone, self._new(list(alone))))
+        behind = dict.fromkeys(p[len(w) :] for p, w in zip(names, bare) if w and p[len(w) :] not in self.marks)
+        self.marks.update(zip(behind, self._encode(list(behind))))
+        for i, p, w in zip(missed, names, bare):
+            if w:
+                self.parts[p] = (self.parts.get(w) or self.before[w]) + self.marks[p[len(w) :]]
+            found[i] = self.parts[p]
+        if len(self.marks) > MOST_MARKS:
+            self.marks = {}
         if len(self.parts) > self.kept:
             self.before, self.parts = self.parts, {}
         return found
