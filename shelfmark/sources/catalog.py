@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.prices import without_nan
+from shelfmark.sources import csv_splits
+from shelfmark.sources.workspace import new_folder
 
 # The texts that mean "missing" in a catalog file.
 MISSING_TEXTS = (
@@ -50,22 +52,28 @@ KNOWN_TYPES = {
 
 
 def has_line_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether a quoted value runs over a line's end.
-
-    Quotes inside values are doubled, so such a line, and only such a one, has
-    an odd number of them. The files are looked through in splits.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    """Whether a quoted value runs over a line's end; the files are looked through in splits."""
+    return csv_splits.has_breaks(csv_splits.look_through(spark, path))
 
 
 def _read_text(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool | None
 ) -> DataFrame:
+    """The columns as text, beside the place of each row: file, start of its split, number inside it."""
     if multi_line is None:
-        multi_line = has_line_breaks(spark, path)
+        splits = csv_splits.look_through(spark, path)
+        if csv_splits.has_breaks(splits):
+            found = csv_splits.parsed(csv_splits.records(spark, path, splits), schema, CSV_OPTIONS)
+            fields = [F.col("fields").getField(f.name).alias(f.name) for f in schema]
+            return found.select(F.col("place").alias(ROW_ORDER), *fields)
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    return spark.read.schema(text).options(**CSV_OPTIONS, multiLine=multi_line).csv(path)
+    raw = spark.read.schema(text).options(**CSV_OPTIONS, multiLine=bool(multi_line)).csv(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return raw.select(place.alias(ROW_ORDER), *[F.col(f"`{f.name}`") for f in schema])
 
 
 def read_csv(
@@ -77,9 +85,11 @@ def read_csv(
     """Read catalog CSV files with a declared schema.
 
     Everything is read as text first, missing-value texts become NULL, then the
-    columns are cast. A malformed row raises. Files in which values hold line
-    breaks are read by one task each, others in splits; ``multi_line`` says
-    which, and without it the files are looked through for such values first.
+    columns are cast. A malformed row raises. The files are looked through
+    first, and those in which values hold line breaks are read in splits whose
+    records are put together (``sources.csv_splits``). ``multi_line`` saves the
+    look: False says that there are no such values; with True each file is read
+    by one task.
     """
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     raw = _read_text(spark, path, wanted, multi_line)
@@ -146,16 +156,18 @@ def read_with_backup(
 ) -> DataFrame:
     """Read a catalog; when that fails, the backup.
 
-    Spark reads late, so the file is parsed once here to see a failure now:
-    all of it, or with ``check_all=False`` only up to the first row.
+    Spark reads late, so the file is parsed here to see a failure now. All of
+    it is written down as it is parsed and reread from there, so that no file
+    is parsed twice; with ``check_all=False`` only its first row is looked at.
     """
     try:
         df = read_catalog(spark, path)
-        if check_all:
-            df.write.format("noop").mode("overwrite").save()
-        else:
+        if not check_all:
             df.isEmpty()
-        return df
+            return df
+        folder = new_folder(spark, "checked-catalog")
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
     except (PySparkException, Py4JJavaError):
         if backup is None:
             raise
@@ -173,14 +185,7 @@ def land(
     """
     schema = header_schema(spark, source)
     raw = _read_text(spark, source, schema, multi_line)
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    raw.select(place.alias(ROW_ORDER), *[_typed(field) for field in schema]).write.mode(
-        "overwrite"
-    ).parquet(target)
+    raw.select(ROW_ORDER, *[_typed(field) for field in schema]).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from shelfmark.operators import blocks, ivf
 from shelfmark.sources import catalog as files
-from shelfmark.sources import indexes
+from shelfmark.sources import csv_splits, indexes
 from shelfmark.sources.workspace import new_folder, shared_folder
 
 TEXT = (
@@ -85,6 +87,67 @@ def test_landing_keeps_file_order(spark, tmp_path):
     assert [int(row["price"]) for row in rows] == list(range(5000))
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def broken_lines(rows, seed):
+    """CSV text and its rows: values with breaks, quotes, commas, a few longer than several splits."""
+    draw = random.Random(seed)
+    kept = []
+    for at in range(rows):
+        words = [draw.choice(["x", "two\nlines", 'say ""so""', "a,b", "\n\n", "\r\nend", "é☕"]) for _ in range(draw.randrange(6))]
+        title = " ".join(words) if at % 97 else "long\n" * 900
+        kept.append((str(at), title.replace('""', '"') or None, str(at * 3)))
+    quoted = ['"' + (t or "").replace('"', '""') + '"' if t else "" for _, t, _ in kept]
+    return [f"{a},{q},{p}" for (a, _, p), q in zip(kept, quoted)], kept
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("limit", [blocks.SIDE_ROWS, 1])
+def test_values_with_breaks_are_read_in_splits(spark, tmp_path, small_splits, monkeypatch, end, limit):
+    monkeypatch.setattr(blocks, "SIDE_ROWS", limit)  # with 1, splits are joined by shuffle
+    expected = []
+    (tmp_path / "in").mkdir()
+    for name in range(2):
+        lines, kept = broken_lines(400, name)
+        head = '"asin",title,price'
+        (tmp_path / "in" / f"{name}.csv").write_bytes(end.join([head, *lines, "", ""]).encode())
+        expected += kept
+    source = str(tmp_path / "in")
+    splits = csv_splits.look_through(spark, source)
+    assert splits.count() > 20 and not splits.where("begins_inside and ends_inside").isEmpty()
+    ours = files.read_catalog(spark, source)
+    assert ours.rdd.getNumPartitions() > 5
+    assert sorted(map(tuple, ours.collect()), key=repr) == sorted(expected, key=repr)
+    landed = files.land(spark, source, str(tmp_path / "landed")).orderBy(files.ROW_ORDER)
+    assert [tuple(row) for row in landed.drop(files.ROW_ORDER).collect()] == expected
+    if end == "\n":  # Spark's own reader turns CR LF inside values into LF where lines end in CR LF
+        at_once = files.read_catalog(spark, source, multi_line=True)
+        assert sorted(map(tuple, at_once.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_split_files_with_wrong_records_raise(spark, tmp_path, small_splits):
+    lines, _ = broken_lines(200, 1)
+    for name, wrong in (("more", "1,2,3,4"), ("fewer", "1,2"), ("open", '1,"never closed,3')):
+        path = tmp_path / f"{name}.csv"
+        path.write_text("\n".join(["asin,title,price", *lines, wrong, *([] if name == "open" else lines)]) + "\n")
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            files.read_catalog(spark, str(path)).collect()
+
+
+def test_breaks_in_files_without_rows(spark, tmp_path):
+    (tmp_path / "head.csv").write_text('"as\nin",title\n')
+    assert files.read_csv(spark, str(tmp_path / "head.csv"), "asin string, title string").collect() == []
+    (tmp_path / "empty.csv").write_text("")
+    assert files.read_csv(spark, str(tmp_path / "empty.csv"), "asin string, title string").collect() == []
+
+
 def test_union_of_parts(spark):
     df = spark.range(10)
     parts = [df.where("id < 3"), df.where("id >= 3 and id < 5"), df.where("id >= 5")]
