@@ -14,6 +14,7 @@ from shelfmark.checks.registry import (
     EXTRA_BUCKETS,
     FETCH,
     PQ,
+    LEAVES,
     PROBES,
     SAMPLE,
     SMALL_FETCH,
@@ -387,6 +388,52 @@ WHERE nth <= {PROBES}""",
 )
 ORACLE["ivf_roundtrip"] = ORACLE["ivf_probe"]
 
+LEAF_CENTRES = {
+    **ELEMENTS,
+    "leaf_centres": f"""SELECT cell * {LEAVES} + product_id % {LEAVES} AS leaf, pos, CAST(avg(x) AS FLOAT) AS c
+FROM elements GROUP BY leaf, pos""",
+    "leaves": f"SELECT leaf, leaf // {LEAVES} AS cell, list(c ORDER BY pos) AS centre FROM leaf_centres GROUP BY leaf",
+}
+
+
+def nearest_few(key: str, cell: str, cost: str, source: str, few: int) -> str:
+    return f"""SELECT {key}, {cell} FROM (
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY d, {cell}) AS nth FROM (
+    SELECT {key}, {cell}, {cost} AS d FROM {source}))
+WHERE nth <= {few}"""
+
+
+ORACLE["ivf_tree_label"] = statement(
+    {
+        **ASKED,
+        **LEAF_CENTRES,
+        "kept": nearest_few("query_id", "cell", squared("embedding", "centre"), "asked, centroids", PROBES),
+        "probed": nearest_few(
+            "query_id", "leaf", squared("embedding", "centre"),
+            "asked JOIN kept USING (query_id) JOIN leaves USING (cell)", 2 * PROBES,
+        ),
+        "found": ranked_pairs(
+            squared("q.embedding", "v.embedding"),
+            K,
+            f"""asked q JOIN probed p USING (query_id)
+JOIN vectors v ON v.cell * {LEAVES} + v.product_id % {LEAVES} = p.leaf""",
+        ),
+    },
+    NEIGHBOURS,
+)
+ORACLE["ivf_tree_assign"] = statement(
+    {
+        **LEAF_CENTRES,
+        "bare": "SELECT product_id, embedding FROM vectors",
+        "kept": nearest_few("product_id", "cell", squared("embedding", "centre"), "bare, centroids", 1),
+        "found": nearest_few(
+            "product_id", "leaf", squared("embedding", "centre"),
+            "bare JOIN kept USING (product_id) JOIN leaves USING (cell)", 1,
+        ),
+    },
+    "SELECT product_id, leaf AS cell FROM found",
+)
+
 
 def product(left: str, right: str) -> str:
     pair = "CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)"

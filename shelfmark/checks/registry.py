@@ -21,6 +21,7 @@ from shelfmark.operators import (
     filtered,
     filters,
     ivf,
+    ivf_tree,
     lsh,
     one_pass,
     pq,
@@ -65,6 +66,7 @@ FETCH = 30
 DIM = 64
 PROBES = 3
 CELLS = 10
+LEAVES = 4
 BUCKET = 0.25
 SAMPLE = 100
 STEPS = 3
@@ -476,6 +478,34 @@ def ivf_knn(spark, sf_dir):
     return found.select("query_id", "product_id", *rounded("distance"))
 
 
+def _label_tree(spark, sf_dir) -> tuple[DataFrame, list[DataFrame]]:
+    """Vectors in leaves, four under every label, and the centroids of both levels."""
+    vectors = fx.vectors(spark, sf_dir)
+    top = ivf.label_centroids(vectors, "cell")
+    inside = vectors.withColumn("cell", F.col("cell") * LEAVES + F.col("product_id") % LEAVES)
+    leaves = ivf.label_centroids(inside, "cell")
+    return inside, [top, leaves.withColumn("parent", F.floor(F.col("cell") / LEAVES))]
+
+
+@query
+def ivf_tree_label(spark, sf_dir):
+    """Given levels, written as a tree, read, and searched by descent."""
+    inside, levels = _label_tree(spark, sf_dir)
+    folder = new_folder(spark, "tree")
+    ivf_tree.write_tree(inside, levels, folder, 4)
+    stored, levels = ivf_tree.read_tree(spark, folder, 2)
+    asked = fx.vector_searches(spark, sf_dir)
+    found = ivf_tree.search_tree(asked, stored, levels, K, probes=2 * PROBES, beam=PROBES)
+    return found.select("query_id", "product_id", *rounded("distance"))
+
+
+@query
+def ivf_tree_assign(spark, sf_dir):
+    """The leaf of every vector by descent through given levels."""
+    _, levels = _label_tree(spark, sf_dir)
+    return ivf_tree.assign_leaves(fx.vectors(spark, sf_dir), levels).select("product_id", "cell")
+
+
 def _label_lines(vectors: DataFrame) -> np.ndarray:
     centroids = ivf.label_centroids(vectors, "cell").orderBy("cell")
     return taken_block(centroids, "cell", "embedding").matrix  # a row per label

@@ -67,6 +67,23 @@ class IvfOptions:
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class IvfTreeOptions:
+    """A tree of cells; ``branches`` are the centroids of the first level and those under each of the next."""
+
+    branches: tuple[int, ...] = (100, 100)
+    probes: int = 32
+    beam: int = 8
+    metric: str = "l2"
+    iterations: int = 10
+    train_rows: int | None = None
+    rows_per_centre: int = 64
+    seed: int = 42
+
+    def flat(self, cells: int) -> IvfOptions:
+        return IvfOptions(cells, self.probes, self.metric, self.iterations, self.train_rows, self.seed)
+
+
 @dataclass(frozen=True)
 class PqOptions:
     subspaces: int = 8
