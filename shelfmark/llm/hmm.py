@@ -3,7 +3,8 @@
 Words of the training texts are counted over the whole corpus. The SYMBOLS most frequent words are symbols of their
 own; every other word belongs to one of CLASSES classes by its last bytes, and its probability within the class
 follows its count. Baum-Welch runs over all training texts: each partition adds up expected counts on segments of at
-most SEGMENT tokens, and the sums make the next parameters. A text is then scored by the scaled forward recursion
+most SEGMENT tokens, which overlap by CARRY tokens on either side so that messages pass over the cuts; each token and
+each move counts once. The sums make the next parameters. A text is then scored by the scaled forward recursion
 over all its tokens, whole, from its first token to its end.
 
 Counts of the LOOKUP most frequent words travel with the jobs; those of rarer words are joined in Spark, so the
@@ -37,6 +38,7 @@ CLASSES = 256
 STATES = 8
 ROUNDS = 6
 SEGMENT = 512
+CARRY = 32  # tokens on either side of a segment that carry messages into it
 GROUP = 1_000_000  # tokens that a task trains on at a time
 SCORE_GROUP = 4_000_000
 STICKY = 0.95  # chance of staying in a state at the start
@@ -114,14 +116,26 @@ class Vocabulary:
 
     @staticmethod
     def _most(counts: DataFrame, most: int) -> list:
-        """At most `most` words, all those above a count that steps of a sixteenth of an octave allow."""
-        step = F.floor(F.log2("n") * 16).cast("int")
-        left, cut = most, None
-        for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
-            if r["words"] > left:
-                break
-            left, cut = left - r["words"], r["step"]
-        return counts.filter(step >= cut).collect() if cut is not None else []
+        """The `most` words of the highest counts (all, if fewer), ties by a hash of the word and then by the word.
+
+        Three histograms find where the choice ends: by steps of a sixteenth of an octave, by the counts of the step
+        that doesn't fit whole, and by hash among the words of the count that doesn't. Only the words of the last
+        hash bin, one in 65,536 of those of one count, are ordered.
+        """
+        left, chosen, open_ = most, F.lit(False), F.lit(True)
+        for key in (F.floor(F.log2("n") * 16).cast("int"), F.col("n"), F.shiftrightunsigned(F.xxhash64("word"), 48)):
+            # A bin holds a word at least, so more bins than words wanted can't matter.
+            bins = counts.filter(open_).groupBy(key.alias("bin")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("bin")).limit(left + 1)
+            cut = None
+            for r in bins.collect():
+                if r["words"] > left:
+                    cut = r["bin"]
+                    break
+                left -= r["words"]
+            if cut is None:
+                return counts.filter(chosen | open_).collect()
+            chosen, open_ = chosen | (open_ & (key > cut)), open_ & (key == cut)
+        return counts.filter(chosen).collect() + counts.filter(open_).orderBy("word").limit(left).collect()
 
 
 SEQUENCES = (
@@ -225,37 +239,50 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, symbols: list[np.ndarray], opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions (a row per symbol); opens: which segments begin a text."""
+    def expected(
+        self, symbols: list[np.ndarray], opens: np.ndarray, counted: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, moves and emissions (a row per symbol).
+
+        opens: which segments begin a text; counted: first and last (exclusive) place of each segment that counts, all
+        without it. The others only carry messages. Rows lie step by step, so that each step is one slice.
+        """
         length = np.array([len(s) for s in symbols])
         order = np.argsort(-length, kind="stable")
-        length, opens = length[order], opens[order]
+        bounds = np.column_stack([np.zeros_like(length), length]) if counted is None else counted
+        length, opens, bounds = length[order], opens[order], bounds[order]
         flat = np.concatenate([symbols[i] for i in order]).astype(np.int64)
         begin = np.cumsum(length) - length
         steps = list(self._steps(length))
-        places = [begin[:on] + t for t, on in enumerate(steps)]
-        alphas, scales = [], []
-        for t, at in enumerate(places):
-            seen = self.emit[flat[at]]
-            alpha = seen * (np.where(opens[:, None], self.start, self.share) if t == 0 else alphas[-1][: len(at)] @ self.move)
-            scale = alpha.sum(axis=1, keepdims=True)
-            alphas.append(alpha / scale)
-            scales.append(scale)
-        weight = np.empty((len(flat), STATES))
+        flat = flat[np.concatenate([begin[:on] + t for t, on in enumerate(steps)])]
+        at = np.concatenate([[0], np.cumsum(steps)])
+        ones = np.ones(STATES)
+        rows, scales = self.emit.take(flat, axis=0), np.empty(len(flat))
+        for t, on in enumerate(steps):
+            alpha = rows[at[t] : at[t + 1]]
+            alpha *= np.where(opens[:, None], self.start, self.share) if t == 0 else rows[at[t - 1] : at[t - 1] + on] @ self.move
+            scale = scales[at[t] : at[t + 1]] = alpha @ ones
+            alpha /= scale[:, None]
         moves = np.zeros((STATES, STATES))
-        beta = np.ones((steps[-1], STATES))
-        for t in range(len(places) - 1, -1, -1):
-            on = steps[t]
-            if len(beta) < on:  # sequences that end here
-                beta = np.concatenate([beta, np.ones((on - len(beta), STATES))])
-            weight[places[t]] = alphas[t] * beta
+        betas = np.ones((len(length), STATES))  # rows not yet reached are sequences that end later in this loop
+        for t in range(len(steps) - 1, -1, -1):
+            on, here = steps[t], slice(at[t], at[t + 1])
+            beta = betas[:on]
+            alpha = rows[here]
+            alpha *= beta
+            counts = (bounds[:on, 0] <= t) & (t < bounds[:on, 1])
+            some = not counts.all()
             if t:
-                back = self.emit[flat[places[t]]] * beta / scales[t]
-                moves += alphas[t - 1][:on].T @ back
-                beta = back @ self.move.T
+                beta *= self.emit.take(flat[here], axis=0)
+                beta /= scales[here][:, None]
+                into = beta * counts[:, None] if some else beta
+                moves += rows[at[t - 1] : at[t - 1] + on].T @ into
+                beta[:] = beta @ self.move.T
+            if some:
+                alpha *= counts[:, None]
         size = len(self.emit)
-        emits = np.column_stack([np.bincount(flat, weight[:, k], size) for k in range(STATES)])
-        return weight[begin[opens]].sum(axis=0), moves * self.move, emits
+        emits = np.column_stack([np.bincount(flat, rows[:, k], size) for k in range(STATES)])
+        return rows[: len(length)][opens].sum(axis=0), moves * self.move, emits
 
 
 def train(sequences: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Model:
@@ -268,25 +295,27 @@ def train(sequences: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Mode
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros((size + STATES + 1, STATES))
 
-            def flush(parts: list, opens: list) -> None:
-                start, moves, emits = model.expected(parts, np.array(opens))
+            def flush(parts: list, opens: list, bounds: list) -> None:
+                start, moves, emits = model.expected(parts, np.array(opens), np.array(bounds))
                 counts[:size] += emits
                 counts[size : size + STATES] += moves
                 counts[size + STATES] += start
 
-            parts, opens, held = [], [], 0
+            parts, opens, bounds, held = [], [], [], 0
             for batch in batches:
                 for packed in batch.column(0):
                     symbols = np.frombuffer(packed.as_buffer(), np.uint16)
                     for first in range(0, len(symbols), SEGMENT):
-                        parts.append(symbols[first : first + SEGMENT])
+                        low = max(0, first - CARRY)
+                        parts.append(symbols[low : first + SEGMENT + CARRY])
                         opens.append(first == 0)
+                        bounds.append((first - low, min(len(symbols), first + SEGMENT) - low))
                         held += len(parts[-1])
                         if held >= GROUP:
-                            flush(parts, opens)
-                            parts, opens, held = [], [], 0
+                            flush(parts, opens, bounds)
+                            parts, opens, bounds, held = [], [], [], 0
             if parts:
-                flush(parts, opens)
+                flush(parts, opens, bounds)
             at = np.flatnonzero(counts.any(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at, pa.int32()), *(pa.array(counts[at, k]) for k in range(STATES))],

@@ -96,3 +96,56 @@ def test_only_held_out_rows(spark):
     docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id bigint, text string")
     found = hmm.score(docs).collect()
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in found)
+
+
+def test_uncounted_places_only_carry_messages(two_states):
+    rng = np.random.default_rng(2)
+    model = small_model(rng)
+    sequences = [rng.integers(0, 5, n).astype(np.uint16) for n in (6, 4, 5)]
+    opens = np.array([False, True, False])
+    bounds = np.array([(2, 5), (0, 3), (1, 5)])
+    start, moves, emits = model.expected(sequences, opens, bounds)
+    want = np.zeros(2), np.zeros((2, 2)), np.zeros((5, 2))
+    for seen, first, (low, high) in zip(sequences, opens, bounds, strict=True):
+        each = list(paths(model, seen, model.start if first else model.share))
+        total = sum(p for _, p in each)
+        for path, p in each:
+            if first:
+                want[0][path[0]] += p / total
+            for t in range(low, high):
+                want[2][seen[t], path[t]] += p / total
+                if t:
+                    want[1][path[t - 1], path[t]] += p / total
+    for got, right in zip((start, moves, emits), want, strict=True):
+        assert np.allclose(got, right)
+
+
+def test_cut_texts_train_like_whole_ones(spark, monkeypatch):
+    """With segments of 32 tokens, the moves are those of whole texts up to what lies beyond the tokens carried over a cut."""
+    words = [f"w{(i * i // 7) % 40}" if (i // 50) % 2 else f"v{i % 30}" for i in range(900)]
+    docs = spark.createDataFrame([(d, " ".join(words[d * 17 :])) for d in range(20)], "doc_id bigint, text string")
+    counts = hmm.count_words(docs)
+    ends = docs.filter(~hmm.held_out(hmm.MODULUS, hmm.REMAINDER)).count()
+    known = hmm.Vocabulary(counts, ends)
+    sequences = hmm.encode(docs, known)
+    monkeypatch.setattr(hmm, "SEGMENT", 10_000)
+    whole = hmm.train(sequences, known, 1)
+    monkeypatch.setattr(hmm, "SEGMENT", 32)
+    errors = []
+    for carry in (0, 8, 32, 128):
+        monkeypatch.setattr(hmm, "CARRY", carry)
+        cut = hmm.train(sequences, known, 1)
+        assert np.allclose(cut.start, whole.start, atol=1e-2)
+        errors.append(max(abs(cut.move - whole.move).max(), abs(cut.emit - whole.emit).max()))
+    assert errors == sorted(errors, reverse=True) and errors[-1] < 2e-5 and errors[2] < errors[0] / 4, errors
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 63, 64, 65, 200, 299, 300, 400])
+def test_lookup_is_filled_exactly_from_flat_vocabularies(spark, most):
+    flat = [(f"word{i}".encode(), 0, 3) for i in range(235)]
+    steep = [(f"top{i}".encode(), 0, 1000 + i // 2) for i in range(65)]
+    counts = spark.createDataFrame(flat + steep, "word binary, class int, n bigint")
+    got = hmm.Vocabulary._most(counts, most)
+    assert len({bytes(r["word"]) for r in got}) == len(got) == min(most, 300)
+    best = sorted((r[2] for r in flat + steep), reverse=True)[:most]
+    assert sorted((r["n"] for r in got), reverse=True) == best
