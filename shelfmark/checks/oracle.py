@@ -775,6 +775,7 @@ for _method in ("distance", "reviews", "price"):
     ORACLE[f"rank_{_method}"] = statement(
         CANDIDATES, f"SELECT query_id, product_id, {place(ORDERS[_method])} FROM candidates"
     )
+ORACLE["rank_fallback"] = ORACLE["rank_distance"]
 ORACLE["rank_hybrid"] = statement(
     {**CANDIDATES, **with_scores("candidates")},
     f"""SELECT query_id, product_id, round(relevance_score, 6) AS relevance_score,
