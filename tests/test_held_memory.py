@@ -52,3 +52,10 @@ def test_slices_meet_parts_of_the_queries(tables, data, monkeypatch):  # noqa: F
     monkeypatch.setattr(one_pass, "_grid", lambda *a: shapes.append((3, 4)) or grid(*a) and shapes[-1])
     found = one_pass.search(*tables, 12, hold="vectors")
     assert shapes == [(3, 4)] and by_query(found, "cost") == brute(data[1], data[0], 12)
+
+
+def test_rows_of_a_repeated_id_are_merged(tables):  # noqa: F811
+    queries, vectors = tables
+    twice = queries.unionByName(queries.where("query_id = 3"))
+    found = one_pass.search(twice, vectors, 150, hold="vectors").where("query_id = 3")
+    assert found.count() == 150 and found.select("product_id").distinct().count() == 75
