@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from shelfmark.operators import one_pass
 from shelfmark.operators.topk_kernel import BestPairs, Everything, scan_block
+from test_knn import brute, by_query, data, tables  # noqa: F401
 
 
 @pytest.mark.parametrize("metric", ["l2", "ip"])
@@ -35,3 +38,16 @@ def test_a_rule_is_asked_for_few_pairs(metric, k):
         assert set(item[query == q]) == set(want)
     if k < 300:
         assert sum(looked) < 0.4 * passes.size
+
+
+def test_few_wide_cells_meet_each_vector_once(tables, data, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(one_pass, "_in_cells", None)
+    queries, vectors = tables
+    cells = F.array(F.col("product_id") % 2, F.col("product_id") % 3 + 10, F.lit(70).cast("bigint") + F.col("product_id") % 5)
+    stored = vectors.withColumn("cell", F.explode(cells))
+    own = F.array(F.col("query_id") % 2, F.col("query_id") % 3 + 10, F.lit(70) + F.col("query_id") % 5, F.lit(999))
+    asked = queries.select("query_id", F.explode(own).alias("cell"))
+    found = one_pass.search_groups(queries, stored, asked, 6, repeated=True)
+    ids = np.arange(len(data[0]))
+    allowed = {q: [i for i in ids if any(q % m == i % m for m in (2, 3, 5))] for q in range(len(data[1]))}
+    assert by_query(found, "cost") == brute(data[1], data[0], 6, allowed=allowed)
