@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import one_pass
+from shelfmark.operators import blocks, knn, one_pass
 from shelfmark.operators.topk_kernel import BestPairs, Everything, scan_block
 from test_knn import brute, by_query, data, tables  # noqa: F401
 
@@ -51,3 +51,10 @@ def test_few_wide_cells_meet_each_vector_once(tables, data, monkeypatch):  # noq
     ids = np.arange(len(data[0]))
     allowed = {q: [i for i in ids if any(q % m == i % m for m in (2, 3, 5))] for q in range(len(data[1]))}
     assert by_query(found, "cost") == brute(data[1], data[0], 6, allowed=allowed)
+
+
+def test_queries_of_one_file_are_scanned_by_all_cores(spark, tables, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(blocks, "SIDE_ROWS", 30)
+    side = blocks.taken_block(tables[1], "product_id", "embedding")
+    found = knn._scan_queries(tables[0].coalesce(1), side, 3, "l2")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 120
