@@ -1,14 +1,15 @@
 """Token ids of whole texts by the tokenizers library, as a stored table of packed ids.
 
 A text is cut where the vocabulary's own pre-splitting always cuts: before a single blank with other characters beside
-it. Each distinct part is encoded once by the library, many parts as one text, and kept for a worker's further texts;
-texts are put together from the parts' ids by array arithmetic.
+it, and before marks that end a word. Each distinct word is encoded once by the library, many words as one text, and
+kept for a worker's further texts; texts are put together from the words' ids by Arrow.
 Texts where white space of any kind lies on both sides of a blank, or which end with one, or that hold the
 vocabulary's special string, go to the library whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import sys
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import batch_bytes, pieces_of, stored, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
-KEPT_PARTS = 500_000  # parts that a worker keeps; beyond it, those it hasn't met for as many further parts go
-LETTERS = "\u0250"  # letters below it (Latin ones) are known to be letters for the pre-splitting
+KEPT_WORDS = 1_000_000  # words that a worker keeps; beyond it, the half of them that it hasn't met for longest goes
+LATIN = "".join(filter(str.isalpha, map(chr, range(0x250))))  # known to be letters for the pre-splitting
 MARKS = ".,;:!?%&*#$"
 MOST_MARKS = 100_000
 TOGETHER = 500  # parts that are encoded as one text
+PIECE = 8 << 20  # bytes of text whose words are looked up together
 SPECIAL = "<|endoftext|>"
 
 
@@ -51,23 +53,35 @@ def parted(text: str) -> bool:
 
 
 class Encoder:
-    """Ids as packed little-endian 16-bit numbers."""
+    """Ids as packed little-endian 16-bit numbers.
 
-    def __init__(self, path: str | None = None, kept: int = KEPT_PARTS):
+    What is known of words lies in two Arrow arrays, the words and their ids, so that a table of parts is looked up
+    and put together in a few calls; only words that are met for the first time become Python objects.
+    """
+
+    def __init__(self, path: str | None = None, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
         size = self.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.kept = kept
-        self.parts: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # the generation before
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.binary())
+        self.met = np.zeros(0, np.int64)  # the call in which a word was last met
+        self.calls = 0
         self.marks: dict[str, bytes] = {}
-        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.blank = split(" a")[0][0][0]
         self.begins = np.zeros(1 << 16, bool)  # ids that begin with a blank
-        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(self.blank)]] = True
+        # a blank and letters are one piece of the pre-splitting: the model gets them as the pre-splitting would write them
+        spelled = {b: x for c in LATIN for b, x in zip(c.encode(), split(c)[0][0])} | {ord(" "): self.blank, ord("\n"): " "}
+        self.spelled = "".join(spelled.get(b, "\ufffe") for b in range(256))  # U+FFFE: none
+        self.lettered = Tokenizer(self.tokenizer.model)
+        self.lettered.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,70 +101,97 @@ class Encoder:
             out += [raw[i:j] for i, j in zip(place, place[1:])]
         return out
 
-    def _learn(self, parts: list[str]) -> list[bytes]:
+    def _new_words(self, words: list[str]) -> pa.BinaryArray:
+        """As _new, for words of LATIN letters alone."""
+        if not words:
+            return pa.array([], pa.binary())
+        texts = ["\n ".join(words[low : low + TOGETHER]) for low in range(0, len(words), TOGETHER)]
+        texts = [codecs.charmap_decode(b" " + text.encode(), "strict", self.spelled)[0] for text in texts]
+        raw = np.concatenate([np.array(e.ids, np.uint16) for e in self.lettered.encode_batch_fast(texts, add_special_tokens=False)])
+        first = np.flatnonzero(self.begins[raw])
+        if len(first) != len(words):
+            return pa.array(self._new(words), pa.binary())
+        return _packed(np.append(first, len(raw)) * 2, pa.py_buffer(raw))
+
+    def _known(self, names: pa.Array, lettered: np.ndarray) -> pa.BinaryArray:
+        """Ids of distinct words, each with a blank before it; lettered ones are of LATIN letters alone."""
+        self.calls += 1
+        at = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missed = at < 0
+        if missed.any():
+            groups = [missed & lettered, missed & ~lettered]
+            fresh = [names.filter(pa.array(g)) for g in groups]
+            for group in groups:
+                at[group] = len(self.met) + np.arange(group.sum())
+                self.met = np.append(self.met, np.zeros(group.sum(), np.int64))
+            ids = [self._new_words(fresh[0].to_pylist()), pa.array(self._new(fresh[1].to_pylist()), pa.binary())]
+            self.words, self.ids = pa.concat_arrays([self.words, *fresh]), pa.concat_arrays([self.ids, *ids])
+        self.met[at] = self.calls
+        found = self.ids.take(pa.array(at))
+        if len(self.met) > self.kept:
+            last = np.sort(np.argpartition(-self.met, self.kept // 2)[: self.kept // 2])
+            self.words, self.ids, self.met = self.words.take(pa.array(last)), self.ids.take(pa.array(last)), self.met[last]
+        return found
+
+    def _parts(self, parts: pa.Array) -> pa.BinaryArray:
         """Ids of distinct parts, each with a blank before it."""
-        found = list(map(self.parts.get, parts))
-        missed = [i for i, ids in enumerate(found) if ids is None]
-        if self.before and missed:
-            for i, ids in zip(missed, map(self.before.get, [parts[i] for i in missed])):
-                found[i] = ids
-            self.parts.update((parts[i], found[i]) for i in missed if found[i] is not None)
-            missed = [i for i in missed if found[i] is None]
-        names = [parts[i] for i in missed]
         # a word with marks behind it is the word and the marks, which many words share
-        words = [p.rstrip(MARKS) for p in names]
-        bare = [w if w != p and w.isalpha() and max(w) < LETTERS else "" for w, p in zip(words, names)]
-        alone = dict.fromkeys(p for p, w in zip(names, bare) if not w)
-        alone.update(dict.fromkeys(w for w in bare if w and w not in self.parts and w not in self.before))
-        self.parts.update(zip(alone, self._new(list(alone))))
-        behind = dict.fromkeys(p[len(w) :] for p, w in zip(names, bare) if w and p[len(w) :] not in self.marks)
-        self.marks.update(zip(behind, self._encode(list(behind))))
-        for i, p, w in zip(missed, names, bare):
-            if w:
-                self.parts[p] = (self.parts.get(w) or self.before[w]) + self.marks[p[len(w) :]]
-            found[i] = self.parts[p]
+        words = pc.utf8_rtrim(parts, characters=MARKS)
+        lettered = pc.match_substring_regex(words, f"^[{LATIN}]+$")
+        names = pc.if_else(lettered, words, parts).dictionary_encode()
+        own = np.zeros(len(names.dictionary), bool)
+        place = names.indices.to_numpy()
+        own[place] = lettered.to_numpy(zero_copy_only=False)
+        ids = self._known(names.dictionary, own)
+        marked = pc.and_(lettered, pc.not_equal(pc.binary_length(words), pc.binary_length(parts)))
+        behind = zip(parts.filter(marked).to_pylist(), pc.utf8_length(words.filter(marked)).to_pylist())
+        behind = pa.array([p[n:] for p, n in behind], pa.large_string()).dictionary_encode()
+        kinds = behind.dictionary.to_pylist()
         if len(self.marks) > MOST_MARKS:
             self.marks = {}
-        if len(self.parts) > self.kept:
-            self.before, self.parts = self.parts, {}
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [i for i, text in enumerate(texts) if parted(text)]
-        out: list[bytes] = [b""] * len(texts)
-        whole = sorted(set(range(len(texts))) - set(cut))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if not cut:
-            return out
-        split = pc.split_pattern(pa.array([texts[i] for i in cut], pa.large_string()), " ")
-        begins = split.offsets.to_numpy()[:-1]
+        fresh = [m for m in kinds if m not in self.marks]
+        self.marks.update(zip(fresh, self._encode(fresh)))
+        both = pa.concat_arrays([ids, pa.array([b"", *[self.marks[m] for m in kinds]], pa.binary())])
+        pairs = np.full((len(parts), 2), len(ids), np.int64)  # no marks
+        pairs[:, 0] = place
+        pairs[marked.to_numpy(zero_copy_only=False), 1] += 1 + behind.indices.to_numpy()
+        return _joined(both, pairs.ravel(), np.arange(len(parts) + 1) * 2)
+
+    def packed(self, texts: list[str], end: bytes = b"") -> pa.BinaryArray:
+        """Ids of every text, with `end` behind them."""
+        if not texts:
+            return pa.array([], pa.binary())
+        cut = [parted(text) for text in texts]
+        split = pc.split_pattern(pa.array([text if c else "" for text, c in zip(texts, cut)], pa.large_string()), " ")
+        begins = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        place = coded.indices.to_numpy().astype(np.int64)
-        parts = coded.dictionary.to_pylist()
-        # a text's first part has no blank before it: an entry of its own
-        firsts = self._encode([parts[p] for p in place[begins]])
+        place = coded.indices.to_numpy()
+        # a text's first part has no blank before it: an entry of its own; so has a text that isn't cut
+        firsts = coded.dictionary.take(pa.array(place[begins[:-1]])).to_pylist()
+        firsts = self._encode([first if c else text for first, text, c in zip(firsts, texts, cut)])
         used = np.ones(len(place), bool)
-        used[begins] = False
-        others = np.unique(place[used])
-        known = self._learn([parts[p] for p in others])
-        entry = np.zeros(len(parts), np.int64)
-        entry[others] = np.arange(len(others))
-        place = entry[place]
-        place[begins] = len(others) + np.arange(len(cut))
-        packed = known + firsts
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
-        ids = np.frombuffer(b"".join(packed), np.uint16)
-        start = np.cumsum(size) - size
-        number = size[place]
-        upto = np.cumsum(number)
-        gathered = ids[np.arange(upto[-1]) + np.repeat(start[place] - (upto - number), number)].tobytes()
-        ends = np.append((upto - number)[begins][1:], upto[-1]) * 2
-        low = 0
-        for i, high in zip(cut, ends.tolist(), strict=True):
-            out[i] = gathered[low:high]
-            low = high
-        return out
+        used[begins[:-1]] = False
+        others = np.zeros(len(coded.dictionary), bool)
+        others[place[used]] = True
+        known = self._parts(coded.dictionary.filter(pa.array(others)))
+        place = (np.cumsum(others) - 1)[place]
+        place[begins[:-1]] = len(known) + np.arange(len(texts))
+        entries = pa.concat_arrays([known, pa.array([*firsts, end], pa.binary())])
+        place = np.insert(place, begins[1:], len(entries) - 1)
+        return _joined(entries, place, begins + np.arange(len(begins)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.packed(texts).to_pylist()
+
+
+def _packed(ends: np.ndarray, data: pa.Buffer) -> pa.BinaryArray:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def _joined(entries: pa.BinaryArray, place: np.ndarray, begins: np.ndarray) -> pa.BinaryArray:
+    """The entries at `place`, those from one begin to the next put together."""
+    _, ends, data = entries.take(pa.array(place)).buffers()
+    return _packed(np.frombuffer(ends, np.int32)[begins], data if data is not None else pa.py_buffer(b""))
 
 
 def encoder(path: str | None = None) -> Encoder:
@@ -166,12 +207,10 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None) -> DataFr
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = encoder(path), np.array([end_id], np.uint16).tobytes()
-        for batch in pieces_of(batches):
-            ids = [x + end for x in known.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+        for batch in pieces_of(batches, PIECE):
+            ids = known.packed(batch.column(1).to_pylist(), end)
+            number = pc.divide(pc.binary_length(ids).cast(pa.int64()), 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), number, ids], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, n_tokens bigint, ids binary")
@@ -186,16 +225,18 @@ def token_counts(tokens: DataFrame, per_document: bool = False) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        seen = np.zeros(1 << 16, bool)
+        last = np.zeros(1 << 16, np.int64)  # where an id stands last in a row
         for batch in batches:
             if not per_document:
                 total += np.bincount(batch_bytes(batch.column(0))[0].view(np.uint16), minlength=1 << 16)
                 continue
+            once = [np.zeros(0, np.uint16)]
             for ids in batch.column(0):
                 ids = np.frombuffer(ids.as_buffer(), np.uint16)
-                seen[ids] = True
-                total[np.flatnonzero(seen)] += 1
-                seen[ids] = False
+                at = np.arange(len(ids))
+                last[ids] = at
+                once.append(ids[last[ids] == at])
+            total += np.bincount(np.concatenate(once), minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
 

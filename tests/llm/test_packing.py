@@ -45,6 +45,24 @@ def test_short_texts_of_all_white_space(tokenizer):
     assert [one_by_one.encode([t])[0] for t in texts[-1500:]] == want[-1500:]
 
 
+def test_words_are_encoded_once_and_kept_within_bounds(tokenizer):
+    """Words of all letters, with and without marks; texts that aren't cut lie between others."""
+    rng = random.Random(3)
+    names = ["".join(rng.choices(tokens.LATIN, k=rng.randrange(1, 9))) for _ in range(300)] + list(tokens.LATIN)
+    texts = [" ".join(rng.choice(names) + rng.choice(["", ".", ",;", "!\n"]) for _ in range(40)) for _ in range(60)]
+    texts[7:7] = ["", "two  blanks", "end "]
+    want = [np.array(ids_of(tokenizer, t, 9), np.uint16).tobytes() for t in texts]
+    known = tokens.Encoder(kept=50)
+    assert known.packed(texts, np.array([9], np.uint16).tobytes()).to_pylist() == want
+    assert len(known.words) == len(known.ids) <= 50
+
+    fresh = tokens.Encoder()
+    fresh.packed(["x " + " ".join(names)])
+    fresh._new = fresh._new_words = None  # all are known, whatever marks follow
+    marked = "x " + ". ".join(names) + "?!"
+    assert np.frombuffer(fresh.packed([marked])[0].as_py(), np.uint16).tolist() == ids_of(tokenizer, marked, 0)[:-1]
+
+
 def check_pieces(tokenizer, rows, found, window):
     want = {}
     for doc_id, text in rows:
