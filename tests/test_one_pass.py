@@ -246,3 +246,17 @@ def test_hints_are_looked_up_by_distinct_text():
     items = pa.record_batch({"brand": pa.array(["xax", None, "b", "b"])})
     found = filtered.matches(queries, items, np.arange(4), filtered.RANKED_RULE)
     assert found.tolist() == [[True, False, False, False], [True] * 4, [False, False, True, True], [True, False, False, False]]
+
+
+def test_queries_are_not_sent_to_all_parts_of_few_cells(spark, monkeypatch):
+    """With few cells, each is dealt over many groups; sending every query to all of them moves more than the vectors do."""
+    rng = np.random.default_rng(4)
+    stored, asking = (rng.normal(size=(n, 64)).astype(np.float32) for n in (300, 2000))
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(stored)], "product_id bigint, embedding array<float>, cell bigint")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asking)], "query_id bigint, embedding array<float>")
+    asked = queries.select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cell"))
+    seen, scanned = [], one_pass._scanned
+    monkeypatch.setattr(one_pass, "_scanned", lambda *given: seen.append(given[6:]) or scanned(*given))
+    found = one_pass.search_groups(queries, vectors, asked, 5)
+    assert by_query(found, "cost") == brute(stored, asking, 5, "l2")
+    assert seen == [(True, False)]  # queries held; before, vectors were, in partial results of 32 groups
