@@ -59,3 +59,14 @@ def test_rows_of_a_repeated_id_are_merged(tables):  # noqa: F811
     twice = queries.unionByName(queries.where("query_id = 3"))
     found = one_pass.search(twice, vectors, 150, hold="vectors").where("query_id = 3")
     assert found.count() == 150 and found.select("product_id").distinct().count() == 75
+
+
+def test_groups_of_held_queries_keep_a_part_of_the_pairs(tables, data, monkeypatch):  # noqa: F811
+    """As many results a group as where vectors are held."""
+    held = []
+    dealt = one_pass._dealt
+    monkeypatch.setattr(one_pass, "_dealt", lambda df, kind, n, all: held.append((kind, n)) or dealt(df, kind, n, all))
+    monkeypatch.setattr(one_pass.blocks, "KEPT_PAIRS", tables[0].count() * 12 // 10)
+    found = one_pass.search(*tables, 12, hold="queries")
+    assert max(n for kind, n in held if kind == one_pass.HELD) >= 40
+    assert by_query(found, "cost") == brute(data[1], data[0], 12)
