@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import mix64, pieces_of, slices_by_size, stored
-from shelfmark.llm.tokens import stored_tokens, token_counts
+from shelfmark.llm.tokens import counted, stored_tokens, token_counts
 
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
 CHUNK = 1 << 18
 QUERY_TERMS = 1 << 16  # a seed's terms that are looked up: all
 DENSE = 16  # a term in more than this part of the documents has a row over all of them
+SUMMED_BYTES = 1 << 20  # of rows that are added together
 STEP = 64  # candidates that are sorted at a time
 DIMENSIONS = 64  # of the projected vectors that cells are made of
 MOST_CELLS = 4096  # they travel with the job; larger tables have more shards a cell
@@ -50,29 +51,17 @@ PIECES = (
 )
 
 
-def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids in order, and how often each occurs."""
-    ids = np.sort(ids, kind="stable")  # by radix
-    opens = np.ones(len(ids) + 1, bool)
-    np.not_equal(ids[1:], ids[:-1], out=opens[1:-1])
-    at = np.flatnonzero(opens)
-    return ids[at[:-1]], np.diff(at)
-
-
 class Index:
     """BM25 postings of one shard, by term and by document."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        keys = [counted(x) for x in ids]
+        doc, self.term, count = counted(ids)
         length = np.array([len(x) for x in ids], np.float64)
-        doc = np.repeat(np.arange(len(ids)), [len(k) for k, _ in keys])
-        self.term = np.concatenate([k for k, _ in keys]).astype(np.int64) if keys else np.zeros(0, np.int64)
-        count = np.concatenate([c for _, c in keys]) if keys else np.zeros(0)
         norm = K1 * (1 - B + B * length / max(mean_length, 1.0))
         self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[doc])
-        self.begin = np.concatenate([[0], np.cumsum([len(k) for k, _ in keys])]).astype(np.int64)
+        self.begin = np.searchsorted(doc, np.arange(len(ids) + 1))
         self.doc = doc
-        self.order = np.argsort(self.term, kind="stable")
+        self.order = np.argsort(self.term.astype(np.uint16), kind="stable")  # by radix
         self.slot = np.arange(len(ids))  # where a document's scores lie; kept() closes the gaps
         self.docs = len(ids)
         self._post(self.order)
@@ -105,13 +94,24 @@ class Index:
             terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
         row = self.row[terms]
         rare = terms[row < 0]
-        score = self.rows[row[row >= 0]].sum(axis=0)
+        score = self._summed(row[row >= 0])
         if len(rare):
             lists = list(map(slice, self.first[rare].tolist(), self.first[rare + 1].tolist()))
             docs = np.concatenate([self.by_term[x] for x in lists])
             score += np.bincount(docs, np.concatenate([self.by_weight[x] for x in lists]), self.docs)
         return np.where(unused, score[np.minimum(self.slot, self.docs - 1)], 0.0)
 
+    def _summed(self, rows: np.ndarray) -> np.ndarray:
+        """The sum of these rows in their order, some at a time that stay in the cache."""
+        step = max(1, SUMMED_BYTES // 8 // max(1, self.docs))
+        some, out = np.empty((min(step, len(rows)) + 1, self.docs)), np.zeros(self.docs)
+        for low in range(0, len(rows), step):
+            part = rows[low : low + step]
+            some[0] = out
+            np.take(self.rows, part, axis=0, out=some[1 : len(part) + 1], mode="clip")
+            np.add.reduce(some[: len(part) + 1], axis=0, out=out)
+        return out
+
     def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with the seed, best first; ties by place. Sorted as far as they are asked for."""
         score = self.scores(seed, unused)
@@ -139,10 +139,12 @@ class Sketch:
 
     def vectors(self, ids: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(ids), DIMENSIONS), np.float32)
-        for i, x in enumerate(ids):
-            term, count = counted(x)
-            weight = self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(x) / self.mean_length))
-            out[i] = weight.astype(np.float32) @ self.signs[term]
+        doc, term, count = counted(ids)
+        norm = K1 * (1 - B + B * np.array([len(x) for x in ids], np.int64) / self.mean_length)
+        weight = (self.idf[term] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)
+        begin = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
+        for i, (low, high) in enumerate(zip(begin, begin[1:])):
+            out[i] = weight[low:high] @ self.signs[term[low:high]]
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
 
@@ -288,7 +290,8 @@ def packed(docs: DataFrame, end_id: int = 1, window: int = WINDOW) -> DataFrame:
             sketch = Sketch(idf, mean_length)
             for batch in batches:
                 ids = [np.frombuffer(x.as_buffer(), np.uint16)[:CHUNK] for x in batch.column(1)]
-                found = [v.tobytes() for v in sketch.vectors(ids)]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                found = [v.tobytes() for a, b in slices_by_size(at, SLICE_IDS) for v in sketch.vectors(ids[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["content", "vec"])
 
         rows = sample.select("content", "ids").mapInArrow(sketched, "content bigint, vec binary")
@@ -317,7 +320,8 @@ def packed(docs: DataFrame, end_id: int = 1, window: int = WINDOW) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
                 keys = np.concatenate([overlap_keys(parts[a:b]) for a, b in slices_by_size(at, SLICE_IDS)])
             if sketch:
-                cell, side = two_nearest(sketch.vectors(parts), centres)
+                vectors = [sketch.vectors(parts[a:b]) for a, b in slices_by_size(at, SLICE_IDS)]
+                cell, side = two_nearest(np.concatenate(vectors), centres)
                 side = side * SIDES // len(centres)
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)]
             cuts = pa.array(np.arange(len(rows) + 1) * keys.shape[1], pa.int32())
@@ -358,7 +362,8 @@ def with_shards(dealt: DataFrame, shards: int) -> DataFrame:
     if shards == 1:
         return dealt.withColumn("shard", F.lit(0).cast("bigint")).select(columns)
     spark = dealt.sparkSession
-    dealt = stored(dealt.withColumn("content", F.xxhash64("ids")), "packing-cells")
+    number = (F.length("ids") / 2).cast("bigint")  # sums needn't read the ids
+    dealt = stored(dealt.withColumns({"content": F.xxhash64("ids"), "number": number}), "packing-cells")
     place = F.struct("content", "cell", "side", "fine")
     keyed = dealt.select("content", place.alias("place"), F.explode("keys").alias("key"))
     # Copies of a text have all keys in common: they count once.
@@ -370,8 +375,8 @@ def with_shards(dealt: DataFrame, shards: int) -> DataFrame:
         leads = F.broadcast(leads)
     dealt = dealt.join(leads, "content", "left")
     own = {c: F.coalesce(F.col(f"lead.{c}"), F.col(c)) for c in ("cell", "side", "fine")}
-    dealt = dealt.select(*[x.alias(c) for c, x in own.items()], "turn", "doc_id", "before", "doc_tokens", "ids")
-    ids = F.sum(F.length("ids") / 2).cast("bigint").alias("n")
+    dealt = dealt.select(*[x.alias(c) for c, x in own.items()], "turn", "doc_id", "before", "doc_tokens", "ids", "number")
+    ids = F.sum("number").alias("n")
     # Only what is hot is divided: a cell by sides, a side by content. At most MOST_CELLS * SIDES rows, then FINE a shard.
     sums = [tuple(r) for r in dealt.groupBy("cell", "side").agg(ids).collect()]
     whole: dict[int, int] = {}

@@ -4,7 +4,8 @@ A text is cut where the vocabulary's own pre-splitting always cuts: before a sin
 it, and before marks that end a word. Each distinct word is encoded once by the library, many words as one text, and
 kept for a worker's further texts; texts are put together from the words' ids by Arrow.
 Texts where white space of any kind lies on both sides of a blank, or which end with one, or that hold the
-vocabulary's special string, go to the library whole.
+vocabulary's special string, go to the library whole. A line feed with other characters than white space on both sides
+is a piece of the pre-splitting by itself: it opens a part, too, where all of a text's line feeds are such.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import batch_bytes, pieces_of, stored, text_of
+from shelfmark.llm.common import batch_bytes, pieces_of, slices_by_size, stored, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 KEPT_WORDS = 1_000_000  # words that a worker keeps; beyond it, the half of them that it hasn't met for longest goes
@@ -42,6 +43,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 # White space between two of which a blank doesn't part a text (Unicode's, and some that only Python counts as such).
 OTHER_BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 AROUND, AFTER = re.compile(r"\s \s"), re.compile(r" \s")
+BESIDE = re.compile(r"\n(?:\s|(?<=\s\n))")  # a line feed beside other white space
+LINE = "\ufffe"  # a part that begins with it follows a line feed instead of a blank
 
 
 def parted(text: str) -> bool:
@@ -52,6 +55,15 @@ def parted(text: str) -> bool:
     return not (beside and AROUND.search(text))
 
 
+def in_lines(text: str) -> str | None:
+    """A text that every blank parts with its line feeds as parts' begins; None where LINE can't tell them."""
+    if " " + LINE in text:
+        return None
+    if "\n" not in text or text[0] == "\n" or text[-1] == "\n" or BESIDE.search(text):
+        return text
+    return text.replace("\n", " " + LINE)
+
+
 class Encoder:
     """Ids as packed little-endian 16-bit numbers.
 
@@ -79,6 +91,8 @@ class Encoder:
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(self.blank)]] = True
         # a blank and letters are one piece of the pre-splitting: the model gets them as the pre-splitting would write them
         spelled = {b: x for c in LATIN for b, x in zip(c.encode(), split(c)[0][0])} | {ord(" "): self.blank, ord("\n"): " "}
+        spelled[ord("\r")] = split("\n")[0][0][0]  # a line feed, as "\n" parts the words here
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.spelled = "".join(spelled.get(b, "\ufffe") for b in range(256))  # U+FFFE: none
         self.lettered = Tokenizer(self.tokenizer.model)
         self.lettered.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
@@ -101,30 +115,53 @@ class Encoder:
             out += [raw[i:j] for i, j in zip(place, place[1:])]
         return out
 
-    def _new_words(self, words: list[str]) -> pa.BinaryArray:
-        """As _new, for words of LATIN letters alone."""
+    def _new_lines(self, parts: list[str]) -> list[bytes]:
+        """As _new, for parts that begin with LINE: a line feed is before each."""
+        out: list[bytes] = []
+        texts = ["".join(parts[low : low + TOGETHER]).replace(LINE, "\n") for low in range(0, len(parts), TOGETHER)]
+        for at, raw in enumerate(self._encode(texts)):
+            some = parts[at * TOGETHER : (at + 1) * TOGETHER]
+            first = np.flatnonzero(np.frombuffer(raw, np.uint16) == self.line)
+            # white space at a part's end would meet the next line feed
+            if len(first) != len(some) or BESIDE.search(texts[at]):
+                out += self._encode(["\n" + p[1:] for p in some])
+                continue
+            place = (2 * first).tolist() + [len(raw)]
+            out += [raw[i:j] for i, j in zip(place, place[1:])]
+        return out
+
+    def _new_words(self, words: list[str], lines: bool = False) -> pa.BinaryArray:
+        """As _new or, with lines, as _new_lines, for words of LATIN letters alone."""
         if not words:
             return pa.array([], pa.binary())
-        texts = ["\n ".join(words[low : low + TOGETHER]) for low in range(0, len(words), TOGETHER)]
-        texts = [codecs.charmap_decode(b" " + text.encode(), "strict", self.spelled)[0] for text in texts]
+        if lines:
+            texts = ["".join(words[low : low + TOGETHER])[1:].replace(LINE, "\n\r\n") for low in range(0, len(words), TOGETHER)]
+        else:
+            texts = ["\n ".join(words[low : low + TOGETHER]) for low in range(0, len(words), TOGETHER)]
+        before = b"\r\n" if lines else b" "
+        texts = [codecs.charmap_decode(before + text.encode(), "strict", self.spelled)[0] for text in texts]
         raw = np.concatenate([np.array(e.ids, np.uint16) for e in self.lettered.encode_batch_fast(texts, add_special_tokens=False)])
-        first = np.flatnonzero(self.begins[raw])
+        first = np.flatnonzero(raw == self.line if lines else self.begins[raw])
         if len(first) != len(words):
-            return pa.array(self._new(words), pa.binary())
+            return pa.array(self._new_lines(words) if lines else self._new(words), pa.binary())
         return _packed(np.append(first, len(raw)) * 2, pa.py_buffer(raw))
 
     def _known(self, names: pa.Array, lettered: np.ndarray) -> pa.BinaryArray:
-        """Ids of distinct words, each with a blank before it; lettered ones are of LATIN letters alone."""
+        """Ids of distinct words, each with a blank or, behind LINE, a line feed before it; lettered ones are of LATIN
+        letters alone."""
         self.calls += 1
         at = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         missed = at < 0
         if missed.any():
-            groups = [missed & lettered, missed & ~lettered]
+            lines = pc.starts_with(names, LINE).to_numpy(zero_copy_only=False)
+            groups = [missed & some & kind for some in (lettered, ~lettered) for kind in (~lines, lines)]
             fresh = [names.filter(pa.array(g)) for g in groups]
             for group in groups:
                 at[group] = len(self.met) + np.arange(group.sum())
                 self.met = np.append(self.met, np.zeros(group.sum(), np.int64))
-            ids = [self._new_words(fresh[0].to_pylist()), pa.array(self._new(fresh[1].to_pylist()), pa.binary())]
+            parts = [f.to_pylist() for f in fresh]
+            ids = [self._new_words(parts[0]), self._new_words(parts[1], lines=True)]
+            ids += [pa.array(self._new(parts[2]), pa.binary()), pa.array(self._new_lines(parts[3]), pa.binary())]
             self.words, self.ids = pa.concat_arrays([self.words, *fresh]), pa.concat_arrays([self.ids, *ids])
         self.met[at] = self.calls
         found = self.ids.take(pa.array(at))
@@ -134,10 +171,10 @@ class Encoder:
         return found
 
     def _parts(self, parts: pa.Array) -> pa.BinaryArray:
-        """Ids of distinct parts, each with a blank before it."""
+        """Ids of distinct parts, each with a blank or a line feed before it."""
         # a word with marks behind it is the word and the marks, which many words share
         words = pc.utf8_rtrim(parts, characters=MARKS)
-        lettered = pc.match_substring_regex(words, f"^[{LATIN}]+$")
+        lettered = pc.match_substring_regex(words, f"^{LINE}?[{LATIN}]+$")
         names = pc.if_else(lettered, words, parts).dictionary_encode()
         own = np.zeros(len(names.dictionary), bool)
         place = names.indices.to_numpy()
@@ -161,8 +198,9 @@ class Encoder:
         """Ids of every text, with `end` behind them."""
         if not texts:
             return pa.array([], pa.binary())
-        cut = [parted(text) for text in texts]
-        split = pc.split_pattern(pa.array([text if c else "" for text, c in zip(texts, cut)], pa.large_string()), " ")
+        lined = [in_lines(text) if parted(text) else None for text in texts]
+        cut = [text is not None for text in lined]
+        split = pc.split_pattern(pa.array([text or "" for text in lined], pa.large_string()), " ")
         begins = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
         place = coded.indices.to_numpy()
@@ -220,23 +258,33 @@ def stored_tokens(docs: DataFrame, end_id: int, path: str | None = None) -> Data
     return stored(token_table(docs, end_id, path), "tokens")
 
 
+def counted(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of all documents, by document and id: the document, the id, and how often it occurs there."""
+    if not ids:
+        return (np.zeros(0, np.int64),) * 3
+    kind = np.uint32 if len(ids) <= 1 << 16 else np.uint64
+    keys = np.concatenate(ids).astype(kind)
+    keys |= np.repeat(np.arange(len(ids), dtype=kind) << kind(16), [len(x) for x in ids])
+    keys.sort()
+    opens = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=opens[1:-1])
+    at = np.flatnonzero(opens)
+    keys = keys[at[:-1]].astype(np.int64)
+    return keys >> 16, keys & 0xFFFF, np.diff(at)
+
+
 def token_counts(tokens: DataFrame, per_document: bool = False) -> np.ndarray:
     """How often each id occurs, or in how many rows; the result has one entry per 16-bit id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        last = np.zeros(1 << 16, np.int64)  # where an id stands last in a row
         for batch in batches:
             if not per_document:
                 total += np.bincount(batch_bytes(batch.column(0))[0].view(np.uint16), minlength=1 << 16)
                 continue
-            once = [np.zeros(0, np.uint16)]
-            for ids in batch.column(0):
-                ids = np.frombuffer(ids.as_buffer(), np.uint16)
-                at = np.arange(len(ids))
-                last[ids] = at
-                once.append(ids[last[ids] == at])
-            total += np.bincount(np.concatenate(once), minlength=1 << 16)
+            ids = [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(0)]
+            for low, high in slices_by_size(batch_bytes(batch.column(0))[1], PIECE):
+                total += np.bincount(counted(ids[low:high])[1], minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
 

@@ -63,6 +63,27 @@ def test_words_are_encoded_once_and_kept_within_bounds(tokenizer):
     assert np.frombuffer(fresh.packed([marked])[0].as_py(), np.uint16).tolist() == ids_of(tokenizer, marked, 0)[:-1]
 
 
+def test_words_behind_a_line_feed_are_known_by_themselves(tokenizer):
+    rng = random.Random(4)
+    parts = ["".join(rng.choices(tokens.LATIN, k=rng.randrange(1, 9))) for _ in range(2000)] + ["a1", "it's", "don't!", "¿qué", "漢字", "x\t", "7"]
+    known = tokens.Encoder()
+    marks = ["", ",", "!?"]
+    known.packed(["x " + " ".join(parts) + "." + "".join("\n" + p + rng.choice(marks) for p in parts) + "."])
+    texts = ["x " + " ".join(a + rng.choice(marks) + "\n" + b for a, b in zip(parts[:2000], rng.sample(parts[:2000], 2000)))]
+    want = [np.array(ids_of(tokenizer, t, 9), np.uint16).tobytes() for t in texts]
+    known._new = known._new_words = None  # every pair of words is new, no word is
+    assert known.packed(texts, np.array([9], np.uint16).tobytes()).to_pylist() == want
+
+    mark = tokens.LINE
+    texts = ["a\nb", "a \nb", "a\n b c", "a\n\nb c", "\na\nb", "a\nb\n", "a\r\nb c", "a\n\xa0b", "a\x85\nb"]
+    texts += [mark, mark + "a\nb", "a " + mark + "b\nc", "a\n" + mark + "b c\nd", "a\nb" + mark + "c " + "d\ne", f"a\n{mark}\nb c\nb"]
+    texts += ["".join(rng.choice([*parts, "\n", "\n", " ", mark, "."]) for _ in range(12)) for _ in range(2000)]
+    lined = tokens.Encoder()
+    for some in (texts, *([t] for t in texts[:300])):
+        want = [np.array(ids_of(tokenizer, t, 0)[:-1], np.uint16).tobytes() for t in some]
+        assert lined.encode(some) == want
+
+
 def check_pieces(tokenizer, rows, found, window):
     want = {}
     for doc_id, text in rows:
