@@ -21,8 +21,8 @@ counted in windows of WINDOW characters, whatever their length.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,12 @@ BITS = 21  # of a code point
 BLANK = 32
 
 
-@lru_cache(1)
 def _letters() -> np.ndarray:
-    """Whether a code point is a letter."""
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    """Whether a code point is a letter; the worker process keeps it. (A function under lru_cache would travel by name.)"""
+    kept = sys.__dict__.setdefault("_shelfmark_letters", [])
+    if not kept:
+        kept.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    return kept[0]
 
 
 def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

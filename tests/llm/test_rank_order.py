@@ -115,3 +115,13 @@ def test_tied_languages_give_the_first_by_name(spark):
     rows = [(i, "same text", lang) for i in (1, 2, 3, 4, 5) for lang in ("zz", "aa")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert {(r.lang_pred, r.score) for r in rank_order.languages(docs).collect()} == {("aa", 0.0)}
+
+
+def test_letters_travel_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    work = "import sys, pickle; f = pickle.load(sys.stdin.buffer); assert f()[97] and not f()[48] and 'shelfmark' not in sys.modules"
+    subprocess.run([sys.executable, "-c", work], input=cloudpickle.dumps(rank_order._letters), cwd=tmp_path, check=True)
