@@ -258,5 +258,5 @@ def test_queries_are_not_sent_to_all_parts_of_few_cells(spark, monkeypatch):
     seen, scanned = [], one_pass._scanned
     monkeypatch.setattr(one_pass, "_scanned", lambda *given: seen.append(given[6:]) or scanned(*given))
     found = one_pass.search_groups(queries, vectors, asked, 5)
-    assert by_query(found, "cost") == brute(stored, asking, 5, "l2")
+    assert by_query(found, "cost") == brute(asking, stored, 5, "l2")
     assert seen == [(True, False)]  # queries held; before, vectors were, in partial results of 32 groups
