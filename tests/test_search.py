@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from shelfmark.operators import blocks, categories, encode
 from shelfmark.options import RankedSearchOptions, StoreSearchOptions
+from shelfmark.plans import search as plans_search
 from shelfmark.plans.search import (
     flat_index,
     parsed_prices,
@@ -219,3 +220,12 @@ def test_workers_need_no_copy_of_the_package(spark, store):
         assert "shelfmark" not in sys.modules
 
     assert nearest(asked, vectors, 2).mapInArrow(is_loaded, "query_id bigint, product_id bigint, distance double").count() == 600
+
+
+def test_searches_of_one_file_are_encoded_by_all_cores(spark):
+    """Those of one narrow file were encoded and scanned by one task."""
+    asked = spark.createDataFrame([(i, f"word{i}") for i in range(64)], "query_id int, text string").coalesce(1)
+    found = plans_search._vectors_of(asked, "text", lambda df, text: encode.hashed_embeddings(df, text, 4))
+    files = found.select("query_id", F.input_file_name().alias("file")).collect()
+    assert sorted(row.query_id for row in files) == list(range(64))
+    assert len({row.file for row in files}) == spark.sparkContext.defaultParallelism
