@@ -1,3 +1,6 @@
+import numpy as np
+from pyspark.sql import functions as F
+
 from shelfmark.functions import formatting as fmt
 from shelfmark.operators import results
 
@@ -103,3 +106,14 @@ def test_labels_round_the_binary_value(column):
     values = [1.015, 2.675, 0.005, 0.015, 0.125, 0.375, 9.995, 1e11 + 0.125, 0.004, 4.25, 0.25, 9.95, -1.015, 0.0, 123456.785]
     assert column(values, lambda x: fixed(x, 2), "double") == [f"{x:.2f}" for x in values]
     assert column(values, lambda x: fixed(x, 1), "double") == [f"{x:.1f}" for x in values]
+
+
+def test_labels_are_short_expressions(spark):
+    """Long ones are left uncompiled by the JVM: a row's labels took 38 microseconds. Near ties, they are still exact."""
+    row = spark.range(1).select(F.col("id").cast("double").alias("x"))
+    labels = row.select(fmt.price_label(F.col("x"), 1.0).alias("a"), fmt.star_label(F.col("x")).alias("b"))
+    assert len(labels._jdf.queryExecution().optimizedPlan().toString()) < 1000
+    ties = [i / 1000 * s for i in range(5, 4000, 10) for s in (1, -1)] + [i / 8 + 1e9 for i in range(16)]
+    values = [y for x in ties for y in (x, float(np.nextafter(x, np.inf)), float(np.nextafter(x, -np.inf)))]
+    found = spark.createDataFrame([(x,) for x in values], "x double").select("x", fmt.fixed(F.col("x"), 2).alias("y"))
+    assert all(r.y == f"{r.x:.2f}" for r in found.collect())
